@@ -116,7 +116,7 @@ def receipt_errors(records: DataFrame, refs: DataFrame, runtime_evidence: DataFr
 def apply_validations(findings: DataFrame, validations: DataFrame) -> DataFrame:
     """Latest validation per candidate sets disposition, confidence, next task and lifecycle."""
     last = validations.groupBy("candidate_id").agg(
-        F.max_by(F.struct("conclusion", "method", "confidence", "direct_evidence"), F.struct("at", "seq")).alias("v"))
+        F.max_by(F.struct("conclusion", "method", "confidence", "direct_evidence"), F.struct("recorded_at", "seq")).alias("v"))
     f = findings.drop("confidence", "disposition").join(last, "candidate_id", "left")
     seen = F.col("v").isNotNull()
     reportable = F.coalesce(F.col("v.conclusion") == "reportable", F.lit(False))
@@ -132,7 +132,7 @@ def apply_validations(findings: DataFrame, validations: DataFrame) -> DataFrame:
 
 def apply_attack_paths(findings: DataFrame, paths: DataFrame) -> DataFrame:
     """Latest attack path per reportable candidate; refused rows for other candidates are kept apart."""
-    last = paths.groupBy("candidate_id").agg(F.max_by(F.struct("dataflow", "attacker", "outcome"), F.struct("at", "seq")).alias("p"),
+    last = paths.groupBy("candidate_id").agg(F.max_by(F.struct("dataflow", "attacker", "outcome"), F.struct("recorded_at", "seq")).alias("p"),
                                              F.count("*").alias("n_paths"))
     f = findings.join(last, "candidate_id", "inner")
     ok = F.col("disposition") == "reportable"
@@ -144,7 +144,7 @@ def apply_attack_paths(findings: DataFrame, paths: DataFrame) -> DataFrame:
 def late_receipts(receipts: DataFrame, scans: DataFrame) -> DataFrame:
     """Receipts recorded after their scan was completed: completed scans take no new evidence."""
     return receipts.join(scans.select("scan_id", "completed_at"), "scan_id") \
-        .filter(F.col("completed_at").isNotNull() & (F.col("at") > F.col("completed_at")))
+        .filter(F.col("completed_at").isNotNull() & (F.col("recorded_at") > F.col("completed_at")))
 
 
 # ---- triage decisions --------------------------------------------------------------------------
@@ -164,12 +164,12 @@ def decision_errors(decisions: DataFrame, findings: DataFrame) -> DataFrame:
 def fold_triage(decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(log, state): rows where (status, reason, note) changed, and the current state per finding."""
     d = decisions.withColumn("note", F.when(tx.trim(F.col("note")) != "", tx.trim(F.col("note"))))
-    d = lagged(d, ["finding_id"], ["at", "seq"], ["status", "close_reason", "note"])
+    d = lagged(d, ["finding_id"], ["recorded_at", "seq"], ["status", "close_reason", "note"])
     same = F.col("prev").isNotNull()
     for c in ("status", "close_reason", "note"):
         same = same & F.col(f"prev.{c}").eqNullSafe(F.col(c))
     log = d.filter(~same).drop("prev")
-    last = log.groupBy("finding_id").agg(F.max_by(F.struct("status", "close_reason"), F.struct("at", "seq")).alias("s"),
+    last = log.groupBy("finding_id").agg(F.max_by(F.struct("status", "close_reason"), F.struct("recorded_at", "seq")).alias("s"),
                                          F.count("*").alias("n_decisions"))
     state = last.select("finding_id", F.when(F.col("s.status") == "open", "open").when(F.col("s.close_reason") == "false_positive", "false_positive")
                         .otherwise("resolved").alias("status"), F.col("s.close_reason").alias("close_reason"), "n_decisions")
@@ -199,15 +199,15 @@ def allowed_pair(pairs: dict, a: Column, b: Column) -> Column:
 
 
 def remediation_audit(events: DataFrame) -> DataFrame:
-    """Error rows of ``events(id, version, state, pending_action, at)``: first row, transition, version, action."""
-    e = lagged(events, ["id"], ["at", "version"], ["state", "version"])
+    """Error rows of ``events(id, version, state, pending_action, recorded_at)``: first row, transition, version, action."""
+    e = lagged(events, ["id"], ["recorded_at", "version"], ["state", "version"])
     first = F.col("prev").isNull()
     errors = tx.compact(
         F.when(first & ((F.col("state") != "idle") | (F.col("version") != 1)), "must start idle at version 1"),
         F.when(~first & ~allowed_pair(TRANSITIONS, F.col("prev.state"), F.col("state")), "transition not allowed"),
         F.when(~first & (F.col("version") != F.col("prev.version") + 1), "version not previous plus one"),
         F.when(F.col("pending_action").isNotNull() & ~allowed_pair(PENDING_ACTIONS, F.col("state"), F.col("pending_action")), "action not allowed"))
-    return e.select("id", "version", "state", "at", F.explode(errors).alias("error"))
+    return e.select("id", "version", "state", "recorded_at", F.explode(errors).alias("error"))
 
 
 def resume_tasks(tasks: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -226,7 +226,7 @@ def cancel_tasks(tasks: DataFrame, reason: str) -> DataFrame:
 
 def bulk_retry(attempts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(state, retry): latest status and attempt count per path; what a resume must run."""
-    state = attempts.groupBy("path").agg(F.max_by("status", F.struct("at", "seq")).alias("status"),
+    state = attempts.groupBy("path").agg(F.max_by("status", F.struct("recorded_at", "seq")).alias("status"),
                                          F.sum((F.col("status") != "pending").cast("long")).alias("attempts"))
     return state, state.filter("status <> 'completed'")
 
@@ -242,7 +242,7 @@ def overlay_annotations(findings: DataFrame, annotations: DataFrame) -> DataFram
         .when(F.col("status") == "resolved", F.col("has_attack_path") & given("remediation")) \
         .when(F.col("status") == "unknown", given("validation")).otherwise(False)
     fields = ["status", "validation", "attack_path", "impact", "remediation", "severity"]
-    last = a.filter(ok).groupBy("finding_id").agg(F.max_by(F.struct(*fields), F.struct("at", "seq")).alias("n"))
+    last = a.filter(ok).groupBy("finding_id").agg(F.max_by(F.struct(*fields), F.struct("recorded_at", "seq")).alias("n"))
     out = findings.join(last, "finding_id", "left")
     over = [F.coalesce(F.col(f"n.{x}"), F.col(x)).alias(x) for x in fields]
     return out.select("finding_id", *over, F.col("n").isNotNull().alias("annotated"))

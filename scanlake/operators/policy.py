@@ -98,8 +98,8 @@ def policy_pass(df: DataFrame) -> DataFrame:
         F.when(no_way, "unachievable preconditions are hard-suppressed to ignore"),
         F.when(_any(df, ("privileged_only", "operator_only", "developer_only", "physical_access_only")),
                "privileged/operator/developer/physical-access-only preconditions are hard-suppressed to ignore"))
-    bare = df.drop(*[c for c in SUPPRESSIONS if c in df.columns]).withColumn("_why", reasons).withColumn("scope", F.col("vector"))
-    out = calibrate(bare)
+    known = df.withColumn("_why", reasons).withColumn("scope", F.col("vector"))
+    out = calibrate(known.drop(*[c for c in SUPPRESSIONS if c in df.columns]))
     stop = F.size("_why") > 0
     note = F.when(F.col("auth_scope") == "admin-only", " (authScope admin-only lowers likelihood)") \
         .when(F.col("auth_scope") == "internal-only", " (authScope internal-only lowers likelihood)").otherwise("")

@@ -4,7 +4,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-FAMILIES = ("core",)
+FAMILIES = ("core", "reduction", "policy", "ledger")
 for _family in FAMILIES:
     importlib.import_module(f"{__name__}.{_family}")
 

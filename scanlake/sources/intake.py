@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
+from ..scale import running_sum
 
 SOURCE_TYPES = ("sarif", "cve", "advisory", "scanner_ticket", "bug_bounty", "freeform", "generic", "text")
 LOCATIONS = "array<struct<file:string,line:int>>"
@@ -131,9 +132,8 @@ def sarif_findings(docs: DataFrame) -> DataFrame:
     The index is the number of results in earlier runs plus the position in the own run.
     """
     r = sarif_results(docs)
-    per_run = r.groupBy("source_path", "run").agg(F.count("*").alias("n"))
-    before = per_run.alias("a").join(per_run.alias("b"), (F.col("a.source_path") == F.col("b.source_path")) & (F.col("b.run") < F.col("a.run"))) \
-        .groupBy(F.col("a.source_path").alias("source_path"), F.col("a.run").alias("run")).agg(F.sum("b.n").alias("base"))
+    per_run = running_sum(r.groupBy("source_path", "run").agg(F.count("*").alias("n")), ["source_path"], ["run"], F.col("n"), "upto")
+    before = per_run.select("source_path", "run", (F.col("upto") - F.col("n")).alias("base"))
     r = r.join(before, ["source_path", "run"], "left").withColumn("index", F.col("pos") + F.coalesce("base", F.lit(0)))
     return r.withColumn("id", F.concat(F.lit("imp_"), F.substring(tx.sha256(tx.joined("source_sha256", "index", F.coalesce("title", F.lit("")))), 1, 24))) \
         .drop("base", "run", "pos")
