@@ -98,8 +98,8 @@ def manifest_errors(manifest: DataFrame, actual: DataFrame) -> DataFrame:
     return bad.unionByName(repeated).unionByName(other.select("scan_id", "path", "error"))
 
 
-def size_errors(artifacts: DataFrame) -> DataFrame:
-    limit = tx.lookup(SIZE_LIMITS, F.col("path"))
+def size_errors(artifacts: DataFrame, limits: dict[str, int] = SIZE_LIMITS) -> DataFrame:
+    limit = tx.lookup(limits, F.col("path"))
     return artifacts.filter(F.length("content") > limit).select("scan_id", "path", F.lit("too large").alias("error"))
 
 

@@ -129,11 +129,10 @@ def bundle_errors(spark, sf):
     return cp.manifest_errors(main.unionByName(again).unionByName(lost), actual)
 
 
-@query("oversize_documents", "select 'all' as scan_id, 'coverage.json' as path, 'too large' as error from documents where length(text) * 1000 > 33554432")
+@query("oversize_documents", "select source as scan_id, 'coverage.json' as path, 'too large' as error, count(*) as n from documents where length(text) > 8192 group by all")
 def oversize_documents(spark, sf):
-    # documents stand for coverage documents a thousand times their length
-    d = v.table(spark, sf, "documents").select(F.lit("all").alias("scan_id"), F.lit("coverage.json").alias("path"), F.repeat("text", F.lit(1000)).alias("content"))
-    return cp.size_errors(d)
+    d = v.table(spark, sf, "documents").select(F.col("source").alias("scan_id"), F.lit("coverage.json").alias("path"), F.col("text").alias("content"))
+    return cp.size_errors(d, {"coverage.json": 8192}).groupBy("scan_id", "path", "error").agg(F.count("*").alias("n"))
 
 
 @query("receipt_gaps", """
