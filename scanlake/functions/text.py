@@ -47,7 +47,7 @@ def lookup(mapping: dict, key: Column, default=None) -> Column:
 
 
 def basename(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+    return F.try_element_at(F.split(path, "/"), F.lit(-1))
 
 
 def dirname(path: Column) -> Column:

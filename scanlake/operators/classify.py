@@ -22,7 +22,7 @@ NON_PRODUCT = r"(?i)(?:^|/)(?:test|tests|fixtures?|examples?|docs?)(?:/|$)"
 def path_excluded(path: Column) -> Column:
     parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
     return F.arrays_overlap(parts, F.array(*[F.lit(d) for d in EXCLUDED_DIRS])) \
-        | F.coalesce(F.element_at(parts, -1).isin(EXCLUDED_NAMES), F.lit(False))
+        | F.coalesce(F.try_element_at(parts, F.lit(-1)).isin(EXCLUDED_NAMES), F.lit(False))
 
 
 def ranking_eligible(path: Column) -> Column:

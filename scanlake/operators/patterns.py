@@ -189,7 +189,7 @@ def removed_controls(diff_lines: DataFrame, rules: Sequence[Rule] = REMOVED_CONT
         F.lit(r.rule_id).alias("rule"), F.lit(r.severity).alias("severity"), F.lit(r.cwe).alias("cwe"),
         F.lit(r.rationale).alias("rationale"))) for r in rules])
     out = diff_lines.filter("side = '-'").withColumn("m", chosen).filter("m is not null") \
-        .withColumn("excerpt", tx.excerpt(F.col("text"))).withColumn("line", F.col("new_line").cast("int"))
+        .withColumn("excerpt", tx.excerpt(F.col("text"))).withColumn("line", F.col("old_line").cast("int"))
     place = location("file", F.col("line"), F.col("excerpt"), "expected_control")
     notes = F.array(
         evidence("pattern", F.concat(F.lit("Diff removal matched "), F.col("m.rule"), F.lit(".")), place),
