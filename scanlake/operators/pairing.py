@@ -13,6 +13,7 @@ from ..functions import text as tx
 from ..functions.facts import extract
 from ..functions.rules import AUTHORIZATION_WORDS, CONFIGURATION_RULES, Rule
 from ..scale import stable
+from .graph import reach
 from .patterns import EVIDENCE, evidence, location
 
 KEY = ["scan_id", "path"]
@@ -284,23 +285,6 @@ def paired_settings(files: DataFrame) -> DataFrame:
 
 # ---- routes and guards --------------------------------------------------------------------------------------------
 
-def reach(edges: DataFrame, seeds: DataFrame, keys: list[str], max_rounds: int = 10_000) -> DataFrame:
-    """Nodes reachable from the seeds over ``edges(keys, src, dst)``; frontier joins until nothing is new.
-
-    ``seeds(keys, node)``. Each round joins only the newest nodes, and is checkpointed, so a
-    lost executor repeats one round at most.
-    """
-    seen = stable(seeds.select(*keys, "node").distinct())
-    frontier = seen
-    for _ in range(max_rounds):
-        step = frontier.join(edges.select(*keys, F.col("src").alias("node"), "dst"), [*keys, "node"]).select(*keys, F.col("dst").alias("node")).distinct()
-        frontier = stable(step.join(seen, [*keys, "node"], "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
-    raise RuntimeError("no fixed point within the round limit")
-
-
 _ROUTE = r"(?i)\b([A-Za-z_$][\w$]*)\.(%s)\s*\("
 SCRIPT_ROUTE_FACTS = {
     "use": _ROUTE % "use", "route": _ROUTE % "post|put|patch|delete",
