@@ -76,6 +76,21 @@ def file_facts(text: str, patterns: Mapping[str, re.Pattern]) -> Iterator[tuple]
                [o for o, _ in chain if text[o] == "("], [o for o, _ in chain if text[o] == "{"], text[begin:stop])
 
 
+def _in_frames(batches: Iterator[pd.DataFrame], rows_of, names: list[str], size: int = 20_000) -> Iterator[pd.DataFrame]:
+    """Rows of all texts as frames of bounded size, each row led by its scan and path."""
+    columns = ["scan_id", "path", *names]
+    held: list[tuple] = []
+    for batch in batches:
+        for scan_id, path, content in batch.itertuples(index=False):
+            for r in rows_of(content):
+                held.append((scan_id, path, *r))
+                if len(held) >= size:
+                    yield pd.DataFrame(held, columns=columns, dtype=object)
+                    held = []
+    if held:
+        yield pd.DataFrame(held, columns=columns, dtype=object)
+
+
 def extract(files: DataFrame, patterns: Mapping[str, str], anchor: str) -> DataFrame:
     """Facts of every file whose content matches ``anchor`` (tested in the JVM before any transfer)."""
     names = ["kind", "start", "end", "line", "end_line", "g", "open", "close", "close_line", "args", "parens", "braces", "text"]
@@ -83,14 +98,7 @@ def extract(files: DataFrame, patterns: Mapping[str, str], anchor: str) -> DataF
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         compiled = {k: re.compile(p) for k, p in sources.items()}
-        for batch in batches:
-            for scan_id, path, content in batch.itertuples(index=False):
-                rows = [r for r in file_facts(content, compiled)]
-                if rows:
-                    out = pd.DataFrame(rows, columns=names, dtype=object)
-                    out.insert(0, "path", path)
-                    out.insert(0, "scan_id", scan_id)
-                    yield out
+        yield from _in_frames(batches, lambda text: file_facts(text, compiled), names)
     return files.filter(F.col("content").rlike(anchor)).select("scan_id", "path", "content").mapInPandas(run, SCHEMA)
 
 
@@ -100,13 +108,9 @@ def functions_of(files: DataFrame, header: str, style: str, anchor: str) -> Data
     ``style`` says how a body ends: ``indent`` (next line not deeper), ``brace`` (closing
     bracket) or ``end`` (matching end line). ``header`` has groups (indent), name and params.
     """
-    def run(batches):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         head = re.compile(header)
-        for batch in batches:
-            for scan_id, path, content in batch.itertuples(index=False):
-                rows = list(_function_rows(content, head, style))
-                if rows:
-                    yield pd.DataFrame([(scan_id, path, *r) for r in rows], columns=["scan_id", "path", "name", "params", "start_line", "end_line"])
+        yield from _in_frames(batches, lambda text: _function_rows(text, head, style), ["name", "params", "start_line", "end_line"])
     schema = "scan_id string, path string, name string, params string, start_line int, end_line int"
     return files.filter(F.col("content").rlike(anchor)).select("scan_id", "path", "content").mapInPandas(run, schema)
 

@@ -39,6 +39,14 @@ TAXONOMY_LABELS = {
 BLANK = r"[\s\x0b\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 
+_WORD_EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
+def ascii_words(pattern: str) -> str:
+    """``\\b`` between ASCII word characters only, whatever the JVM's own word rule is."""
+    return pattern.replace(r"\b", _WORD_EDGE)
+
+
 def lookup(mapping: dict, key: Column, default=None) -> Column:
     """Literal-map lookup kept inside codegen."""
     pairs = [F.lit(x) for kv in mapping.items() for x in kv]

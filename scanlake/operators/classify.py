@@ -101,7 +101,7 @@ RISK_SIGNALS = (
 def risk_signals(path: Column, content: Column, build_signal: bool = True) -> Column:
     """Ordered signal labels. Region level uses all seven, file level leaves the build signal out."""
     both = F.concat(path, F.lit("\n"), content)
-    return tx.compact(*[F.when((path if path_only else both).rlike(p.replace("$", r"\z")), label)
+    return tx.compact(*[F.when((path if path_only else both).rlike(tx.ascii_words(p.replace("$", r"\z"))), label)
                         for label, p, path_only in RISK_SIGNALS if build_signal or not path_only])
 
 
@@ -120,12 +120,12 @@ THREAT_SIGNALS = (
 def threat_signals(files: DataFrame) -> DataFrame:
     """Files per signal, one row per scan: one map-side pass and a partial sum."""
     return files.groupBy("scan_id").agg(F.count("*").alias("files"), *[
-        F.sum(F.col("content").rlike(p).cast("long")).alias(key) for key, _, p in THREAT_SIGNALS])
+        F.sum(F.col("content").rlike(tx.ascii_words(p)).cast("long")).alias(key) for key, _, p in THREAT_SIGNALS])
 
 
 def threat_citations(files: DataFrame, limit: int = 30) -> DataFrame:
     """The first ``limit`` (path, signal) pairs in path and signal order: a top-k report."""
-    hits = F.array_compact(F.array(*[F.when(F.col("content").rlike(p), F.struct(F.lit(i).alias("n"), F.lit(label).alias("signal")))
+    hits = F.array_compact(F.array(*[F.when(F.col("content").rlike(tx.ascii_words(p)), F.struct(F.lit(i).alias("n"), F.lit(label).alias("signal")))
                                      for i, (_, label, p) in enumerate(THREAT_SIGNALS)]))
     return files.select("path", F.explode(hits).alias("h")).select("path", "h.n", "h.signal").orderBy("path", "n").limit(limit).drop("n")
 
@@ -169,7 +169,7 @@ RUNTIME_POLICY = rf"(?is){_RUNTIME}.{{0,160}}{_SCOPE}|{_SCOPE}.{{0,160}}{_RUNTIM
 
 def runtime_boundary(policies: DataFrame) -> DataFrame:
     """Per scan: does any policy text say that the runtime is in scope?"""
-    return policies.groupBy("scan_id").agg(F.bool_or(F.col("content").rlike(RUNTIME_POLICY)).alias("runtime_in_scope"))
+    return policies.groupBy("scan_id").agg(F.bool_or(F.col("content").rlike(tx.ascii_words(RUNTIME_POLICY))).alias("runtime_in_scope"))
 
 
 def read_range(files: DataFrame, requests: DataFrame, cap: int = 400) -> DataFrame:

@@ -69,8 +69,8 @@ def scan_added(diff_lines: DataFrame, rules: Sequence[Rule] = TEXT_RULES, around
     language = tx.classify_language(F.col("file"))
     found = []
     for i, r in enumerate(live):
-        marked = F.col("near").rlike(r.context) if r.context else F.lit(False)
-        found.append(F.when(F.col("text").rlike(r.pattern) & _applies(r, language, REPLACED_BY_FLOW), F.struct(
+        marked = F.col("near").rlike(tx.ascii_words(r.context)) if r.context else F.lit(False)
+        found.append(F.when(F.col("text").rlike(tx.ascii_words(r.pattern)) & _applies(r, language, REPLACED_BY_FLOW), F.struct(
             F.lit(r.rule_id).alias("rule"), F.lit(r.severity).alias("severity"), F.lit(r.cwe).alias("cwe"), F.lit(r.rationale).alias("rationale"),
             F.lit(i).alias("ord"), marked.alias("in_context"))))
     out = plus.withColumn("m", F.explode(F.array_compact(F.array(*found)))).withColumn("excerpt", tx.excerpt(F.col("text")))

@@ -85,7 +85,7 @@ TLS_FACTS = {
 
 
 def _call_controls(files: DataFrame, patterns, anchor: str, rule: Rule, used: str, notes: dict[str, str]) -> DataFrame:
-    facts = extract(language_files(files, "python"), patterns, anchor)
+    facts = stable(extract(language_files(files, "python"), patterns, anchor))
     calls = _kind(facts, "call").filter("close is not null and close - open <= 4000")
     held = inside_calls(_kind(facts, "direct", "none", "inline", "named"), calls)
     cols = [*KEY, "call", "call_line", "call_text", "call_start"]
@@ -159,7 +159,7 @@ HANDLE_APIS = {
 def handle_lifecycle(files: DataFrame, api: str) -> DataFrame:
     """One handle in one block: initialised, then checks switched off, then executed."""
     patterns, languages, detail, used = HANDLE_APIS[api]
-    facts = extract(language_files(files, *languages), patterns, r"CURLOPT_SSL_VERIFYPEER")
+    facts = stable(extract(language_files(files, *languages), patterns, r"CURLOPT_SSL_VERIFYPEER"))
     events = in_blocks(facts, "off").withColumn("handle", F.col("g")[0])
     off = neighbours(events, [*KEY, "block", "handle"], "off", before=("init",), after=("exec",))
     off = off.filter("prev_init is not null and next_exec is not null")
@@ -178,7 +178,7 @@ XML_FACTS = {
 
 def unhardened_use(files: DataFrame) -> DataFrame:
     """A parser created from a factory with no hardening between, in the factory's block."""
-    facts = extract(language_files(files, "java"), XML_FACTS, r"(?:DocumentBuilderFactory|SAXParserFactory|XMLInputFactory)")
+    facts = stable(extract(language_files(files, "java"), XML_FACTS, r"(?:DocumentBuilderFactory|SAXParserFactory|XMLInputFactory)"))
     events = in_blocks(facts, "factory").withColumn("variable", F.col("g")[0])
     f = neighbours(events, [*KEY, "block", "variable"], "factory", after=("create", "harden"))
     f = f.filter("next_create is not null and (next_harden is null or next_harden.start > next_create.start)")
@@ -260,7 +260,7 @@ SCRIPT_TLS_RULE = Rule("tls-verification-disabled", "CWE-295", "high", "A TLS cl
 
 def config_reaches_call(files: DataFrame) -> DataFrame:
     """Script-language TLS object with checks off that reaches a TLS client call, inline or by name (line facts, no syntax tree)."""
-    facts = extract(language_files(files, "javascript", "typescript"), SCRIPT_TLS_FACTS, r"(?i)rejectUnauthorized")
+    facts = stable(extract(language_files(files, "javascript", "typescript"), SCRIPT_TLS_FACTS, r"(?i)rejectUnauthorized"))
     o = object_calls(facts, ("off",)).select(*KEY, F.col("off.line").alias("line"), F.col("off.text").alias("text"), "call", "call_line", "call_text")
     sink = F.array(evidence("context", F.lit("That configuration object is an argument of a supported TLS client call."), _spot(F.col("call_line"), F.col("call_text"), "sink")))
     return _candidates(o, SCRIPT_TLS_RULE, F.lit("rejectUnauthorized: false in a TLS client configuration object."), sink, F.col("call"))
@@ -272,7 +272,7 @@ def paired_settings(files: DataFrame) -> DataFrame:
     Script languages also resolve an object passed by name; elsewhere only inline objects count.
     """
     script = tx.classify_language(F.col("path")).isin("javascript", "typescript")
-    facts = extract(files, CORS_FACTS, r"(?i)cors\s*\(")
+    facts = stable(extract(files, CORS_FACTS, r"(?i)cors\s*\("))
     facts = facts.filter((F.col("kind") != "binding") | script)
     o = object_calls(facts, ("credential", "origin")).filter("credential is not null and origin is not null")
     o = o.select(*KEY, F.col("origin.line").alias("line"), F.col("origin.text").alias("text"), "credential", "call", "call_line", "call_text")
@@ -366,7 +366,7 @@ JAVA_ROUTE_FACTS = {
 
 def unguarded_java_routes(files: DataFrame) -> DataFrame:
     """Mapped state-changing methods without an authorization annotation on the method or its outermost class."""
-    facts = extract(language_files(files, "java"), JAVA_ROUTE_FACTS, r"(?i)@(?:Post|Put|Patch|Delete|Request)Mapping")
+    facts = stable(extract(language_files(files, "java"), JAVA_ROUTE_FACTS, r"(?i)@(?:Post|Put|Patch|Delete|Request)Mapping"))
     words = rf"(?i){_AUTH}|Secured|RolesAllowed|PermitAll|DenyAll"
     text = lambda i: F.get("g", F.lit(i))
     writes = (F.lower(text(1)) != "requestmapping") | text(2).rlike(r"(?i)RequestMethod\.(?:POST|PUT|PATCH|DELETE)\b")

@@ -50,7 +50,7 @@ def scan_files(files: DataFrame, rules: Sequence[Rule] = TEXT_RULES,
     """
     language = F.col("language")
     live = [r for r in rules if r.languages is None or r.languages]
-    any_rule = "|".join(f"(?:{r.pattern})" for r in live)
+    any_rule = "|".join(f"(?:{tx.ascii_words(r.pattern)})" for r in live)
     src = files.withColumn("language", tx.classify_language(F.col("path"))) \
         .filter(F.col("content").rlike(any_rule)) \
         .withColumn("_lines", tx.split_lines(F.col("content")))
@@ -65,12 +65,12 @@ def scan_files(files: DataFrame, rules: Sequence[Rule] = TEXT_RULES,
     shown = tx.excerpt(F.col("text"))
     found = []
     for r_no, rule in enumerate(live):
-        marked = F.col("near").rlike(rule.context) if rule.context else F.lit(False)
+        marked = F.col("near").rlike(tx.ascii_words(rule.context)) if rule.context else F.lit(False)
         for p_no, (scan_pass, only) in enumerate(passes.items()):
             if only is not None and rule.rule_id not in only:
                 continue
             found.append(F.when(
-                F.col("text").rlike(rule.pattern) & _applies(rule, language, replaced),
+                F.col("text").rlike(tx.ascii_words(rule.pattern)) & _applies(rule, language, replaced),
                 F.struct(F.lit(rule.rule_id).alias("rule"), F.lit(rule.severity).alias("severity"),
                          F.lit(rule.cwe).alias("cwe"), F.lit(rule.rationale).alias("rationale"),
                          F.lit(scan_pass).alias("scan_pass"), F.lit(p_no * 1000 + r_no).alias("ord"),
@@ -85,11 +85,11 @@ def scan_files(files: DataFrame, rules: Sequence[Rule] = TEXT_RULES,
 
 def rule_scan(lines: DataFrame, rules: Sequence[Rule], text: str = "text") -> DataFrame:
     """Rules over an exploded line table: one literal pattern per rule, one output row per match."""
-    found = [F.when(F.col(text).rlike(r.pattern),
+    found = [F.when(F.col(text).rlike(tx.ascii_words(r.pattern)),
                     F.struct(F.lit(i).alias("rule_no"), F.lit(r.rule_id).alias("rule"), F.lit(r.cwe).alias("cwe"),
                              F.lit(r.severity).alias("severity"), F.lit(r.rationale).alias("rationale")))
              for i, r in enumerate(rules)]
-    any_rule = "|".join(f"(?:{r.pattern})" for r in rules)
+    any_rule = "|".join(f"(?:{tx.ascii_words(r.pattern)})" for r in rules)
     return lines.filter(F.col(text).rlike(any_rule)) \
         .withColumn("_m", F.explode(F.array_compact(F.array(*found)))).select(*lines.columns, "_m.*")
 
@@ -125,7 +125,7 @@ def rule_receipts(files: DataFrame, matches: DataFrame, rules: Sequence[Rule] =
 # ---- embedded credentials ---------------------------------------------------------------
 # Two alternatives (double and single quoted) instead of a back reference, with possessive
 # loops so that a long literal cannot exhaust the regex stack. An escaped quote never closes.
-_ASSIGN = (r"""(?s)(?:\b[A-Za-z_$][\w$]*\s*\.\s*)?\$?([A-Za-z_$][\w$]*)\s*(?::=|=|:)\s*"""
+_ASSIGN = tx.ascii_words(r"""(?s)(?:\b[A-Za-z_$][\w$]*\s*\.\s*)?\$?([A-Za-z_$][\w$]*)\s*(?::=|=|:)\s*"""
            r"""(?:"((?:[^"\\]++|\\.)*+)"|'((?:[^'\\]++|\\.)*+)')""")
 
 
@@ -185,7 +185,7 @@ def corpus_search(files: DataFrame, pattern: str, limit: int = 50) -> DataFrame:
 
 def removed_controls(diff_lines: DataFrame, rules: Sequence[Rule] = REMOVED_CONTROL_RULES) -> DataFrame:
     """Deleted lines that held a control; the first rule in order wins."""
-    chosen = F.coalesce(*[F.when(F.col("text").rlike(r.pattern), F.struct(
+    chosen = F.coalesce(*[F.when(F.col("text").rlike(tx.ascii_words(r.pattern)), F.struct(
         F.lit(r.rule_id).alias("rule"), F.lit(r.severity).alias("severity"), F.lit(r.cwe).alias("cwe"),
         F.lit(r.rationale).alias("rationale"))) for r in rules])
     out = diff_lines.filter("side = '-'").withColumn("m", chosen).filter("m is not null") \
