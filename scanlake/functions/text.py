@@ -39,12 +39,18 @@ TAXONOMY_LABELS = {
 BLANK = r"[\s\x0b\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 
-_WORD_EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
-
-
 def ascii_words(pattern: str) -> str:
-    """``\\b`` between ASCII word characters only, whatever the JVM's own word rule is."""
-    return pattern.replace(r"\b", _WORD_EDGE)
+    """``\\b`` between ASCII word characters only, whatever the JVM's own word rule is.
+
+    An edge that closes a word (end of the pattern or of an alternative) only looks ahead, an
+    edge that opens one only looks behind; the rules here use ``\\b`` next to word characters only.
+    """
+    parts = pattern.split(r"\b")
+    out = parts[0]
+    for rest in parts[1:]:
+        closes = rest == "" or rest[0] in "|)" or rest.startswith((r"\s", "[^", "(?!", ".{"))
+        out += ("(?![A-Za-z0-9_])" if closes else "(?<![A-Za-z0-9_])") + rest
+    return out
 
 
 def lookup(mapping: dict, key: Column, default=None) -> Column:

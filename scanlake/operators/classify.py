@@ -98,11 +98,37 @@ RISK_SIGNALS = (
 )
 
 
+# Words of which a text must hold one (in lower case) before the pattern is tried.
+RISK_WORDS = (
+    ("route", "controller", "handler", "api", "server", "middleware", "app.", "router."),
+    ("eval", "function", "exec", "spawn", "system", "child_process", "runtime.getruntime", "select", "insert", "update", "delete"),
+    ("fetch", "axios", "request", "urlopen", "net.dial", "rejectunauthorized", "insecureskipverify"),
+    ("auth", "permission", "role", "session", "jwt", "token"),
+    ("secret", "password", "api", "private", "credential"),
+    ("workflows", "dockerfile", "package", "pnpm-lock", "yarn.lock", "cargo.lock", "go.sum"),
+    ("deserialize", "pickle", "yaml.load", "xmlparser", "objectinputstream", "unserialize"),
+)
+THREAT_WORDS = (
+    ("app.", "router.", "flask", "fastapi"), ("req", "input"), ("auth", "isadmin", "passport", "permission", "rbac"),
+    ("fetch", "axios", "requests.", "http"), ("file", "stream", "open", "query", "execute", "save", "delete"),
+    ("secret", "password", "api", "token", "private"), ("json.parse", "yaml.load", "pickle.loads", "unserialize", "xml", "documentbuilderfactory"),
+)
+
+
+def holds_any(lowered: Column, words) -> Column:
+    """Plain byte search for any of the words: far cheaper than trying a pattern at every position."""
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(lowered, F.lit(w))
+    return out
+
+
 def risk_signals(path: Column, content: Column, build_signal: bool = True) -> Column:
     """Ordered signal labels. Region level uses all seven, file level leaves the build signal out."""
     both = F.concat(path, F.lit("\n"), content)
-    return tx.compact(*[F.when((path if path_only else both).rlike(tx.ascii_words(p.replace("$", r"\z"))), label)
-                        for label, p, path_only in RISK_SIGNALS if build_signal or not path_only])
+    lowered = F.lower(both)
+    return tx.compact(*[F.when(holds_any(F.lower(path) if path_only else lowered, words) & (path if path_only else both).rlike(tx.ascii_words(p.replace("$", r"\z"))), label)
+                        for (label, p, path_only), words in zip(RISK_SIGNALS, RISK_WORDS) if build_signal or not path_only])
 
 
 # ---- fixed values: threat-model signals in order: key, label, pattern -----------------------------------
@@ -119,15 +145,18 @@ THREAT_SIGNALS = (
 
 def threat_signals(files: DataFrame) -> DataFrame:
     """Files per signal, one row per scan: one map-side pass and a partial sum."""
-    return files.groupBy("scan_id").agg(F.count("*").alias("files"), *[
-        F.sum(F.col("content").rlike(tx.ascii_words(p)).cast("long")).alias(key) for key, _, p in THREAT_SIGNALS])
+    f = files.withColumn("_low", F.lower("content"))
+    return f.groupBy("scan_id").agg(F.count("*").alias("files"), *[F.sum(_threat(i).cast("long")).alias(s[0]) for i, s in enumerate(THREAT_SIGNALS)])
+
+
+def _threat(i: int) -> Column:
+    return holds_any(F.col("_low"), THREAT_WORDS[i]) & F.col("content").rlike(tx.ascii_words(THREAT_SIGNALS[i][2]))
 
 
 def threat_citations(files: DataFrame, limit: int = 30) -> DataFrame:
     """The first ``limit`` (path, signal) pairs in path and signal order: a top-k report."""
-    hits = F.array_compact(F.array(*[F.when(F.col("content").rlike(tx.ascii_words(p)), F.struct(F.lit(i).alias("n"), F.lit(label).alias("signal")))
-                                     for i, (_, label, p) in enumerate(THREAT_SIGNALS)]))
-    return files.select("path", F.explode(hits).alias("h")).select("path", "h.n", "h.signal").orderBy("path", "n").limit(limit).drop("n")
+    hits = F.array_compact(F.array(*[F.when(_threat(i), F.struct(F.lit(i).alias("n"), F.lit(s[1]).alias("signal"))) for i, s in enumerate(THREAT_SIGNALS)]))
+    return files.withColumn("_low", F.lower("content")).select("path", F.explode(hits).alias("h")).select("path", "h.n", "h.signal").orderBy("path", "n").limit(limit).drop("n")
 
 
 def product_surface(findings: DataFrame) -> DataFrame:

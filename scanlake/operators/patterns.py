@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
+from ..functions.flow_rules import SCRIPT_PLACEHOLDER
 from ..functions.rules import (CONFIGURATION_RULES, PLACEHOLDER_VALUE, REPLACED_BY_FLOW, SECRET_FIELD,
                                STANDARD_PASSES, TEXT_RULES, REMOVED_CONTROL_RULES, Rule)
 
@@ -129,18 +130,23 @@ _ASSIGN = tx.ascii_words(r"""(?s)(?:\b[A-Za-z_$][\w$]*\s*\.\s*)?\$?([A-Za-z_$][\
            r"""(?:"((?:[^"\\]++|\\.)*+)"|'((?:[^'\\]++|\\.)*+)')""")
 
 
-def embedded_credentials(files: DataFrame) -> DataFrame:
+# In script languages the literal must be the whole value: nothing but an end may follow it.
+_SCRIPT_ASSIGN = _ASSIGN + r"(?=\s*(?:[;,)}\]\r\n]|//|\z))"
+
+
+def embedded_credentials(files: DataFrame, script: bool = False) -> DataFrame:
     """Credential-named field assigned a literal of 8+ characters that is no placeholder.
 
     The pattern runs on the whole text, since a literal may span lines. The offset of match
-    k is the length of the k pieces between matches plus the k matches before it.
+    k is the length of the k pieces between matches plus the k matches before it. The script
+    form (line facts, no syntax tree) takes the literal as written and has its own placeholders.
     """
     content = F.col("content")
-    pieces = F.split(content, _ASSIGN, -1)
-    whole = F.regexp_extract_all(content, F.lit(_ASSIGN), 0)
-    src = files.filter(content.rlike(SECRET_FIELD)).filter(content.rlike(_ASSIGN)) \
+    assign = _SCRIPT_ASSIGN if script else _ASSIGN
+    whole = F.regexp_extract_all(content, F.lit(assign), 0)
+    src = files.filter(content.rlike(SECRET_FIELD)).filter(content.rlike(assign)) \
         .select("scan_id", F.col("path").alias("file"), "content",
-                F.arrays_zip(F.transform(pieces, lambda p: F.length(p)).alias("gap"), whole.alias("hit")).alias("z"))
+                F.arrays_zip(F.transform(F.split(content, assign, -1), lambda p: F.length(p)).alias("gap"), whole.alias("hit")).alias("z"))
     # running offset: fold over the (gap, match) pairs of one file
     start = F.aggregate(
         F.col("z"), F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,hit:string>>").alias("out")),
@@ -155,18 +161,23 @@ def embedded_credentials(files: DataFrame) -> DataFrame:
         tx.split_lines(F.col("content")).alias("_lines"), F.col("m.hit").alias("hit"))
     hits = hits.withColumn("excerpt", tx.source_line(F.col("_lines"), F.col("line"))).drop("_lines")
     raw = F.concat(F.regexp_extract("hit", _ASSIGN, 2), F.regexp_extract("hit", _ASSIGN, 3))
-    value = tx.trim(F.regexp_replace(raw, r"""\\(?:[\\'"nrt])""", ""))
+    value = raw if script else tx.trim(F.regexp_replace(raw, r"""\\(?:[\\'"nrt])""", ""))
     hits = hits.withColumn("field", F.regexp_extract("hit", _ASSIGN, 1)).withColumn("value", value) \
         .filter(~F.col("excerpt").rlike(r"^\s*(?://|#|/\*|\*)")) \
-        .filter((F.length("value") >= 8) & ~F.col("value").rlike(PLACEHOLDER_VALUE))
+        .filter((F.length("value") >= 8) & ~F.col("value").rlike(SCRIPT_PLACEHOLDER if script else PLACEHOLDER_VALUE))
     rule = CONFIGURATION_RULES["secret"]
-    place = location("file", F.col("line"), F.col("excerpt"), "root_control")
-    sink = location("file", F.col("line"), F.col("excerpt"), "sink")
-    notes = F.array(
-        evidence("pattern", F.concat(F.lit("Configuration analysis found a "), F.col("field"),
-                                     F.lit(" field assigned a non-placeholder embedded credential literal.")), place),
-        evidence("context", F.concat(F.lit("The embedded literal is "), F.length("value").cast("string"),
-                                     F.lit(" characters; no environment or secret-manager reference is present in this assignment.")), sink))
+    place = lambda role: location("file", F.col("line"), F.col("excerpt"), role)
+    size = F.length("value").cast("string")
+    if script:
+        notes = F.array(
+            evidence("pattern", F.concat(F.lit("A string literal is assigned to credential field "), "field", F.lit(".")), place("sink")),
+            evidence("context", F.concat(F.lit("The embedded literal is "), size, F.lit(" characters and does not match a recognized placeholder form.")), place("root_control")))
+    else:
+        notes = F.array(
+            evidence("pattern", F.concat(F.lit("Configuration analysis found a "), F.col("field"),
+                                         F.lit(" field assigned a non-placeholder embedded credential literal.")), place("root_control")),
+            evidence("context", F.concat(F.lit("The embedded literal is "), size,
+                                         F.lit(" characters; no environment or secret-manager reference is present in this assignment.")), place("sink")))
     return hits.select("scan_id", F.lit(rule.rule_id).alias("rule"), F.lit(rule.severity).alias("severity"), "file",
                        F.col("line").cast("int").alias("line"), "excerpt", F.lit(rule.rationale).alias("rationale"),
                        F.lit(rule.cwe).alias("cwe"), notes.alias("evidence"), F.lit(100).alias("ord"), "field", "value")

@@ -9,21 +9,16 @@ from ..functions import text as tx
 CANDIDATE_KEY = ["scan_id", "rule", "file", "line", "excerpt"]
 
 
-def _evidence_key(e: Column) -> Column:
-    return F.struct(e["kind"], e["detail"], F.coalesce(e["location"]["file"], F.lit("")).alias("f"),
-                    F.coalesce(e["location"]["line"].cast("string"), F.lit("")).alias("l"),
-                    F.coalesce(e["location"]["role"], F.lit("")).alias("r"))
-
-
 def observation_evidence(candidates: DataFrame) -> DataFrame:
     """Distinct evidence per observation, as rows with the order in which each was first seen.
 
-    Repeats are dropped by a partial aggregation, so a hot observation shrinks before it moves.
+    All fields of the evidence are grouping keys and the order is one number, so this is a hash
+    aggregation with a map-side half: a hot observation shrinks before it moves.
     """
     e = candidates.select(*CANDIDATE_KEY, "ord", F.posexplode("evidence").alias("pos", "e"))
-    e = e.withColumn("k", _evidence_key(F.col("e")))
-    seen = F.struct("ord", "pos")
-    return e.groupBy(*CANDIDATE_KEY, "k").agg(F.min(seen).alias("seen"), F.min_by("e", seen).alias("e"))
+    e = e.select(*CANDIDATE_KEY, (F.shiftleft(F.col("ord").cast("bigint"), 16) + F.col("pos")).alias("seen"),
+                 F.col("e.kind").alias("kind"), F.col("e.detail").alias("detail"), F.col("e.location").alias("location"))
+    return e.groupBy(*CANDIDATE_KEY, "kind", "detail", "location").agg(F.min("seen").alias("seen"))
 
 
 def dedupe_observations(candidates: DataFrame) -> DataFrame:
@@ -32,7 +27,8 @@ def dedupe_observations(candidates: DataFrame) -> DataFrame:
         F.min("ord").alias("ord"),
         F.min_by(F.struct("severity", "rationale", "cwe"), "ord").alias("f"))
     notes = observation_evidence(candidates).groupBy(*CANDIDATE_KEY).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("seen", "e"))), lambda x: x.e).alias("evidence"))
+        F.transform(F.array_sort(F.collect_list(F.struct("seen", "kind", "detail", "location"))),
+                    lambda x: F.struct(x.kind.alias("kind"), x.detail.alias("detail"), x.location.alias("location"))).alias("evidence"))
     return first.join(notes, CANDIDATE_KEY, "left").select(
         "scan_id", "rule", "f.severity", "file", "line", "excerpt", "f.rationale", "f.cwe",
         F.coalesce("evidence", F.array().cast(notes.schema["evidence"].dataType)).alias("evidence"), "ord")
