@@ -10,7 +10,7 @@ sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[1]))
 def spark():
     from scanlake.session import local_session
     s = local_session(8, "tests")
-    s.conf.set("spark.sql.shuffle.partitions", "4")
+    s.conf.set("spark.sql.shuffle.partitions", "2")  # tiny fixtures: task start-up is the cost
     return s
 
 
@@ -18,5 +18,5 @@ def spark():
 def corpus(spark):
     def make(files: dict, scan_id: str = "s"):
         rows = [(scan_id, p, c) for p, c in files.items()]
-        return spark.createDataFrame(rows, "scan_id string, path string, content string")
+        return spark.createDataFrame(rows, "scan_id string, path string, content string").coalesce(1)
     return make

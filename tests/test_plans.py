@@ -1,6 +1,6 @@
 """End-to-end scans on small corpora: identity across renames, twins, deep passes, diff review, backlog."""
 
-from scanlake.operators import compare as cp, reduce as rd
+from scanlake.operators import compare as cp
 from scanlake.plans.backlog import triage_claims
 from scanlake.plans.review import review_diffs
 from scanlake.plans.scan import scan_corpus
@@ -19,23 +19,22 @@ CORPUS = {
 
 
 def test_scan(spark, corpus):
-    scan = scan_corpus(corpus(CORPUS), "t")
-    rows = scan.findings.collect()
-    assert key(rows) == [("dangerous.dynamic.code", "app.ts", 3), ("hardcoded.secret.marker", "app.ts", 1), ("hardcoded.secret.marker", "config.py", 1),
-                         ("hardcoded.secret.marker", "config.py", 4), ("shell.command.construction", "run.sh", 2)]
-    assert len({r.id for r in rows}) == len(rows)
-    shell = next(r for r in rows if r.file == "run.sh")
+    """Three scans in one run: the corpus, the corpus with a moved and shifted file, the corpus with a copy."""
+    moved = {("b/" + p if p == "config.py" else p): ("\n\n" + c if p == "config.py" else c) for p, c in CORPUS.items()}
+    files = corpus(CORPUS, "one").unionByName(corpus(moved, "two")).unionByName(corpus({**CORPUS, "copy.py": CORPUS["config.py"]}, "three"))
+    scan = scan_corpus(files.coalesce(1), "t")
+    rows = {s: [r for r in scan.findings.collect() if r.scan_id == s] for s in ("one", "two", "three")}
+    assert key(rows["one"]) == [("dangerous.dynamic.code", "app.ts", 3), ("hardcoded.secret.marker", "app.ts", 1), ("hardcoded.secret.marker", "config.py", 1),
+                                ("hardcoded.secret.marker", "config.py", 4), ("shell.command.construction", "run.sh", 2)]
+    shell = next(r for r in rows["one"] if r.file == "run.sh")
     assert [e.kind for e in shell.evidence] == ["pattern", "context"]
-    assert scan.tasks.count() == 5 and scan.receipts.count() == 4
+    # moving a file and shifting its lines keeps the identity of its findings; exact twins stay two findings
+    assert {r.id for r in rows["two"]} == {r.id for r in rows["one"]} and len({r.id for r in rows["one"]}) == 5
+    assert len({r.id for r in rows["three"]}) == 7
+    assert scan.tasks.count() == 17 and scan.receipts.count() == 13
     assert scan.preflight.first().commands == ["npm test", "npm run build"]
-    # moving a file and shifting its lines keeps the identity of its findings
-    moved = {("b/" + p if p == "config.py" else p): ("\n\n" + c if p == "config.py" else c) for p, c in CORPUS.items()}
-    again = scan_corpus(corpus(moved), "t").findings.collect()
-    assert {r.id for r in again} == {r.id for r in rows}
-    # exact twins stay two findings, and comparing a scan with itself leaves all of them persisting
-    twin = scan_corpus(corpus({**CORPUS, "copy.py": CORPUS["config.py"]}), "t").findings
-    assert len({r.id for r in twin.collect()}) == 7
-    side = twin.select("fingerprint", "id", "status").withColumn("ord", twin.line)
+    # comparing a scan with itself leaves everything persisting
+    side = spark.createDataFrame([(r.fingerprint, r.id, r.status, r.line) for r in rows["three"]], "fingerprint string, id string, status string, ord int")
     assert {r.change for r in cp.compare_scans(side, side).collect()} == {"persisting"}
 
 
@@ -73,7 +72,7 @@ def claim(spark, **kw):
 
 
 def test_backlog_dependency_verdicts(spark, corpus):
-    none = rd.dedupe_observations(scan_corpus(corpus({"a.sh": "echo 1\n"}), "t").candidates)
+    none = spark.createDataFrame([], "rule string, file string, line int, evidence array<struct<kind:string,detail:string,location:struct<file:string,line:int,excerpt:string,role:string>>>")
     for files, status, verdict in ((manifest("dependencies", "1.4.0"), "affected", "confirmed"), ({"a.sh": "x", "SECURITY.md": "The production service is in scope.\n"}, "not_present", "not_actionable"),
                                    (manifest("dependencies", "2.4.0"), "outside_affected_range", "not_actionable"), (manifest("devDependencies", "1.4.0", True), "non_runtime_only", "needs_review")):
         # a claim without a location has no surface, so a location in product code carries the boundary
