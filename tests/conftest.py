@@ -11,6 +11,9 @@ def spark():
     from scanlake.session import local_session
     s = local_session(8, "tests")
     s.conf.set("spark.sql.shuffle.partitions", "2")  # tiny fixtures: task start-up is the cost
+    s.conf.set("spark.sql.codegen.wholeStage", "false")  # compiling costs more than running here; tools/check.py runs compiled
+    s.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
+    s.conf.set("spark.sql.adaptive.enabled", "false")
     return s
 
 
