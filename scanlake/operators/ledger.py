@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
-from ..scale import lagged, last_known, range_chunks, CHUNK  # noqa: F401  (re-exported for callers)
+from ..scale import lagged
 
 # ---- fixed values: lease bounds in seconds ------------------------------------------------
 MIN_LEASE, DEFAULT_LEASE, MAX_LEASE = 60, 30 * 60, 4 * 60 * 60

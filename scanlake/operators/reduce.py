@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as tx
+from ..scale import stable
 
 CANDIDATE_KEY = ["scan_id", "rule", "file", "line", "excerpt"]
 
@@ -12,26 +13,28 @@ CANDIDATE_KEY = ["scan_id", "rule", "file", "line", "excerpt"]
 def observation_evidence(candidates: DataFrame) -> DataFrame:
     """Distinct evidence per observation, as rows with the order in which each was first seen.
 
-    All fields of the evidence are grouping keys and the order is one number, so this is a hash
-    aggregation with a map-side half: a hot observation shrinks before it moves.
+    Everything but the order is a grouping key and the order is one number, so this is a hash
+    aggregation with a map-side half: a hot observation shrinks before it moves. A candidate
+    without evidence keeps one row with a null kind.
     """
-    e = candidates.select(*CANDIDATE_KEY, "ord", F.posexplode("evidence").alias("pos", "e"))
-    e = e.select(*CANDIDATE_KEY, (F.shiftleft(F.col("ord").cast("bigint"), 16) + F.col("pos")).alias("seen"),
-                 F.col("e.kind").alias("kind"), F.col("e.detail").alias("detail"), F.col("e.location").alias("location"))
-    return e.groupBy(*CANDIDATE_KEY, "kind", "detail", "location").agg(F.min("seen").alias("seen"))
+    e = candidates.select(*CANDIDATE_KEY, "ord", "severity", "rationale", "cwe", F.posexplode_outer("evidence").alias("pos", "e"))
+    e = e.select(*CANDIDATE_KEY, "severity", "rationale", "cwe", F.col("e.kind").alias("kind"), F.col("e.detail").alias("detail"), F.col("e.location").alias("location"),
+                 (F.shiftleft(F.col("ord").cast("bigint"), 16) + F.coalesce("pos", F.lit(0))).alias("seen"))
+    return e.groupBy(*CANDIDATE_KEY, "severity", "rationale", "cwe", "kind", "detail", "location").agg(F.min("seen").alias("seen"))
 
 
 def dedupe_observations(candidates: DataFrame) -> DataFrame:
     """One row per (rule, file, line, excerpt): first candidate's fields, union of distinct evidence."""
-    first = candidates.groupBy(*CANDIDATE_KEY).agg(
-        F.min("ord").alias("ord"),
-        F.min_by(F.struct("severity", "rationale", "cwe"), "ord").alias("f"))
-    notes = observation_evidence(candidates).groupBy(*CANDIDATE_KEY).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("seen", "kind", "detail", "location"))),
-                    lambda x: F.struct(x.kind.alias("kind"), x.detail.alias("detail"), x.location.alias("location"))).alias("evidence"))
-    return first.join(notes, CANDIDATE_KEY, "left").select(
-        "scan_id", "rule", "f.severity", "file", "line", "excerpt", "f.rationale", "f.cwe",
-        F.coalesce("evidence", F.array().cast(notes.schema["evidence"].dataType)).alias("evidence"), "ord")
+    meta = F.struct("severity", "rationale", "cwe")
+    g = observation_evidence(candidates).groupBy(*CANDIDATE_KEY).agg(
+        F.array_sort(F.collect_list(F.struct("seen", "severity", "rationale", "cwe", "kind", "detail", "location"))).alias("all"),
+        (F.min(meta) == F.max(meta)).alias("same"))
+    notes = F.transform(F.filter("all", lambda x: x.kind.isNotNull()),
+                        lambda x: F.struct(x.kind.alias("kind"), x.detail.alias("detail"), x.location.alias("location")))
+    first = F.col("all")[0]
+    return g.select("scan_id", "rule", first["severity"].alias("severity"), "file", "line", "excerpt", first["rationale"].alias("rationale"),
+                    first["cwe"].alias("cwe"), F.when(F.col("same"), notes).otherwise(F.array_distinct(notes)).alias("evidence"),
+                    F.shiftright(first["seen"], 16).alias("ord"))
 
 
 def dedupe_locations(locations: Column) -> Column:
@@ -93,7 +96,7 @@ def assign_identities(findings: DataFrame, target_id: str | Column) -> DataFrame
     body = F.array_join(F.transform("evidence", clean), "\n")
     base = tx.trim(tx.squeeze(F.concat_ws("\n", "rule_id", F.coalesce(F.col("_root.excerpt"), F.lit("")), "root_cause", body)))
     f = f.withColumn("_base", base).withColumn("_plain", tx.sha256(F.col("_base")))
-    return _with_instances(f, target)
+    return _with_instances(stable(f), target)  # grouped twice and joined: written once
 
 
 def _with_instances(f: DataFrame, target: Column) -> DataFrame:

@@ -154,7 +154,7 @@ def _regions(spark, sf):
 
 @query("review_regions", f"with {REGIONS_SQL} select region_id, path, start_line, end_line, len(signals) * 100 + case when start_line = 1 then 1 else 0 end as priority, array_to_string(signals, ',') as signals from regions")
 def review_regions(spark, sf):
-    return pl.prioritize(_regions(spark, sf)).select("region_id", "path", "start_line", "end_line", "priority", F.array_join("risk_signals", ",").alias("signals"))
+    return _regions(spark, sf).select("region_id", "path", "start_line", "end_line", "priority", F.array_join("risk_signals", ",").alias("signals"))
 
 
 WORK_SQL = f"""{MIXED_SQL}, work as (select scan_id, path, sha256(content) as sha, {_sig_sql('path', 'content', False)} as signals from mixed), w as (select *, len(signals) * 100 as priority from work)"""

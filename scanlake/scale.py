@@ -37,11 +37,6 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast hint only after the row bound was checked; otherwise leave the join to AQE."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """Add ``_chunk``: the range partition of (keys, order). Pinned by a reliable checkpoint."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
