@@ -82,7 +82,7 @@ def scan_added(diff_lines: DataFrame, rules: Sequence[Rule] = TEXT_RULES, around
 
 def touching_added(candidates: DataFrame, added: DataFrame) -> DataFrame:
     """Candidates whose own line or any evidence location is an added line: one left-semi join on (file, line)."""
-    c = candidates.withColumn("_id", F.xxhash64("scan_id", "rule", "file", "line", "excerpt", F.col("evidence").cast("string")))
+    c = candidates.withColumn("_id", tx.sha256(F.to_json(F.struct("rule", "file", "line", "excerpt", "evidence"))))
     own = F.array(F.struct(F.col("file").alias("file"), F.col("line").cast("int").alias("line")))
     more = F.transform(F.filter("evidence", lambda e: e.location.isNotNull()), lambda e: F.struct(e.location.file.alias("file"), e.location.line.alias("line")))
     spots = c.select("scan_id", "_id", F.explode(F.array_distinct(F.concat(own, more))).alias("s")).select("scan_id", "_id", F.col("s.file").alias("path"), F.col("s.line").alias("line"))

@@ -37,15 +37,17 @@ FILES_SQL = ("select source as scan_id, source || '/' || doc_id || '.' || lang a
              "from documents")
 
 
+_PAGE_TAIL = ("case length(html) % 4 when 0 then 'system(\"x\" + user)' when 1 then 'fetch(req.query.u)' "
+              "when 2 then 'db.query(\"select \" + input)' else 'readFile(params.p)' end")
+
+
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Web pages as script files; the script language makes the script rules apply."""
+    """Web pages as text files, each with one more line of code whose shape follows the page's length."""
     return table(spark, sf, "pages").select(
-        F.lit("site").alias("scan_id"), F.concat("page_id", F.lit(".html")).alias("path"), F.col("html").alias("content"))
-
+        F.lit("site").alias("scan_id"), F.concat("page_id", F.lit(".html")).alias("path"), F.concat_ws("\n", "html", F.expr(_PAGE_TAIL)).alias("content"))
 
-PAGES_SQL = "select 'site' as scan_id, page_id || '.html' as path, html as content from pages"
 
-SEVERITY_OF_PRIORITY = {"1-URGENT": "critical", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "low", "5-LOW": "informational"}
+PAGES_SQL = f"select 'site' as scan_id, page_id || '.html' as path, html || chr(10) || {_PAGE_TAIL} as content from pages"
 
 
 def code_files(spark: SparkSession, sf: str, extension: str, head: str, statement, tail: str = "") -> DataFrame:

@@ -423,3 +423,49 @@ select case fs when 'NO' then 'shell-command-construction' else 'ssrf-request-si
   case fs when 'NO' then 'os.system(v' || l_linenumber || ')' else 'v' || l_linenumber end as expr from placed where fs like 'N%'""")
 def sink_calls(spark, sf):
     return tt.program(_flow_files(spark, sf), "python").sinks.select("rule", F.col("path").alias("file"), "line", "expr")
+
+
+@query("script_credentials", f"""
+with {_placed({'R': 1, 'A': 1, 'N': 1})} select 'hardcoded-secret-marker' as rule, file || '.ts' as file, start as line from placed where fs in ('RO', 'AO') group by all""")
+def script_credentials(spark, sf):
+    key = F.concat_ws("-", "l_suppkey", "l_partkey", "l_orderkey")
+    stmt = _when(("RO", F.concat(F.lit("const apiKey = 'live-key-"), key, F.lit("'"))), ("RF", F.lit("const apiKey = 'example-token-value'")),
+                 ("AO", F.concat(F.lit("const c = { privateKey: 'private-key-"), key, F.lit("' }"))), ("AF", F.concat(F.lit("settings.accessToken = 'access-token-"), key, F.lit("' + suffix"))), ("N", F.lit("const color = 'blue-and-green'")))
+    return _found(pt.embedded_credentials(v.code_files(spark, sf, ".ts", "", stmt), script=True))
+
+
+@query("script_import_resolution", """
+with f as (select distinct 'b' || replace(p_brand, '#', '') as dir, p_size from part)
+select dir || '/main.ts' as file, 'f' || p_size as local, dir || '/s' || p_size || case when p_size < 25 then '.ts' else '/index.js' end as target from f""")
+def script_import_resolution(spark, sf):
+    """Each brand folder imports its own modules by relative path, with or without an index file."""
+    p = v.table(spark, sf, "part").select(F.concat(F.lit("b"), F.replace("p_brand", F.lit("#"), F.lit(""))).alias("dir"), "p_size").distinct()
+    own = p.select(F.lit("s").alias("scan_id"), F.concat("dir", F.lit("/s"), F.col("p_size").cast("string"), F.when(F.col("p_size") < 25, ".ts").otherwise("/index.js")).alias("path"))
+    lines = p.select(F.lit("s").alias("scan_id"), F.concat("dir", F.lit("/main.ts")).alias("path"), F.col("p_size").alias("line"),
+                     F.concat(F.lit("import { f"), "p_size", F.lit(" } from './x/../s"), "p_size", F.lit("'")).alias("text"))
+    return tt.script_imports(lines, own).select(F.col("path").alias("file"), "local", "target")
+
+
+@query("go_import_resolution", """
+with d as (select distinct n_regionkey as r, c_nationkey as n, lower(c_mktsegment) as seg from customer join nation on n_nationkey = c_nationkey)
+select 'r' || d.r || '/n' || d.n || '/' || d.seg || '/f.go' as file, 'building' as local, 'r' || d.r || '/n' || b.n || '/building' as to_dir
+from d join (select * from d where seg = 'building') b on b.n = d.n""")
+def go_import_resolution(spark, sf):
+    """Every package imports the building package of its nation through the region's module name."""
+    n = v.table(spark, sf, "nation")
+    d = v.table(spark, sf, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("r"), F.col("c_nationkey").alias("n"), F.lower("c_mktsegment").alias("seg")).distinct()
+    files = d.select(F.lit("s").alias("scan_id"), F.concat(F.lit("r"), "r", F.lit("/n"), "n", F.lit("/"), "seg", F.lit("/f.go")).alias("path"),
+                     F.concat(F.lit("package "), "seg", F.lit('\nimport (\n  "fmt"\n  "reg'), "r", F.lit("/n"), "n", F.lit('/building"\n)')).alias("content"))
+    mods = n.select(F.lit("s").alias("scan_id"), F.concat(F.lit("r"), "n_regionkey", F.lit("/go.mod")).alias("path"), F.concat(F.lit("module reg"), "n_regionkey").alias("content")).distinct()
+    found = tt.go_imports(pt.explode_lines(files), tt.go_packages(files), tt.nearest_module(files, mods))
+    return found.select(F.col("path").alias("file"), "local", "to_dir")
+
+
+@query("repository_scan", f"""
+with recursive {TAINT_SQL}
+select case fs when 'NO' then 'shell.command.construction' else 'ssrf.request.sink' end as rule_id, file || '.py' as file, start as line, 'low' as confidence
+from placed join t on t.k = l_orderkey and t.v = l_linenumber where fs like 'N%'""")
+def repository_scan(spark, sf):
+    """The whole scan plan over the generated corpus: all text, setting, route, credential and flow jobs."""
+    from ..plans.scan import scan_corpus
+    return scan_corpus(_flow_files(spark, sf).select("scan_id", "path", "content"), "own/repo").findings.select("rule_id", "file", "line", "confidence")
