@@ -3,10 +3,27 @@
 from __future__ import annotations
 
 import os
+import pathlib
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the executors, for sessions whose executors do not have it installed; once per session."""
+    sc = spark.sparkContext
+    if getattr(sc, "_scanlake_shipped", False):
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="scanlake-code-")) / "scanlake.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._scanlake_shipped = True
+
+
 def local_session(cores: int | str = "*", app: str = "scanlake") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cores}]").appName(app)
