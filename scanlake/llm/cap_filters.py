@@ -41,27 +41,29 @@ class Plan(NamedTuple):
 
 def _marginal(dim: int, n: int = 4001) -> tuple[np.ndarray, np.ndarray]:
     """Grid and probabilities of one coordinate of a uniform unit vector."""
-    x = np.linspace(-1, 1, n)
-    w = np.maximum(1 - x * x, 0) ** ((dim - 3) / 2) if dim > 1 else np.zeros(n)
+    x = (2 * np.arange(n) + 1) / n - 1
+    w = (1 - x * x) ** ((dim - 3) / 2)
     return x, w / w.sum()
 
 
 def plan(n: int, dim: int, threshold: float = 0.9, miss: float = 0.002, seed: int = 7) -> Plan:
     """Alpha so that a filter holds about PER_FILTER of n vectors; enough directions that a pair at the threshold
-    shares none with probability ``miss`` or less."""
+    shares none with probability ``miss`` or less. Where that takes far more directions than vectors (few dimensions),
+    alpha falls until it does not."""
     x, p = _marginal(dim)
     tail = np.cumsum(p[::-1])[::-1]
-    share = min(0.05, PER_FILTER / max(n, 1))
-    a = int(np.searchsorted(-tail, -share))
-    alpha = float(x[min(a, len(x) - 1)])
     y, q = _marginal(max(dim - 1, 3))
-    above = np.cumsum(q[::-1])[::-1]
-    both = 0.0
-    for xi, pi in zip(x[a:], p[a:]):
-        side = math.sqrt(max(1 - threshold**2, 0) * max(1 - xi * xi, 1e-12))
-        k = int(np.searchsorted(y, (alpha - threshold * xi) / max(side, 1e-12)))
-        both += pi * (above[k] if k < len(y) else 0.0)
-    directions = 1.3 * math.log(1 / miss) / max(both, 1e-12)
+    above = np.append(np.cumsum(q[::-1])[::-1], 0.0)
+    share = min(0.05, PER_FILTER / max(n, 1))
+    while True:
+        a = min(int(np.searchsorted(-tail, -share)), len(x) - 1)
+        alpha = float(x[a])
+        side = np.sqrt(max(1 - threshold**2, 1e-12) * np.maximum(1 - x[a:] ** 2, 1e-12))
+        both = float((p[a:] * above[np.searchsorted(y, (alpha - threshold * x[a:]) / side)]).sum())
+        directions = 1.3 * math.log(1 / miss) / max(both, 1e-15)
+        if directions <= 16 * n + 4096:
+            break
+        share = min(1.0, 1.5 * share)
     blocks = max(1, min(dim // 8, math.ceil(math.log(directions) / math.log(400))))
     return Plan(dim, blocks, math.ceil(directions ** (1 / blocks)), alpha, seed)
 
