@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 # ---- fixed values: file extension -> language -------------------------------------
@@ -39,18 +41,24 @@ TAXONOMY_LABELS = {
 BLANK = r"[\s\x0b\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 
+_WORD = "[A-Za-z0-9_]"
+_EDGE = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+
+
 def ascii_words(pattern: str) -> str:
     """``\\b`` between ASCII word characters only, whatever the JVM's own word rule is.
 
-    An edge that closes a word (end of the pattern or of an alternative) only looks ahead, an
-    edge that opens one only looks behind; the rules here use ``\\b`` next to word characters only.
+    Each edge becomes one assertion that looks to both sides; where a literal word character follows, the side behind it
+    says it all.
     """
-    parts = pattern.split(r"\b")
-    out = parts[0]
-    for rest in parts[1:]:
-        closes = rest == "" or rest[0] in "|)" or rest.startswith((r"\s", "[^", "(?!", ".{"))
-        out += ("(?![A-Za-z0-9_])" if closes else "(?<![A-Za-z0-9_])") + rest
-    return out
+    def edge(m: re.Match) -> str:
+        if m[0] != r"\b":
+            return m[0]
+        rest = pattern[m.end():m.end() + 2]
+        opens = re.match(r"[A-Za-z0-9_](?![?*{])", rest)
+        return f"(?<!{_WORD})" if opens else _EDGE
+
+    return re.sub(r"\\.", edge, pattern, flags=re.DOTALL)
 
 
 def lookup(mapping: dict, key: Column, default=None) -> Column:
@@ -151,7 +159,7 @@ def finding_fingerprint(target: Column, rule: Column, anchor: Column, instance:
 
 
 def finding_id(target: Column, rule: Column, anchor: Column, instance: Column) -> Column:
-    return F.concat(F.lit("dsf_"), F.substring(sha256(joined(target, rule, anchor, instance)), 1, 24))
+    return F.concat(F.lit("slf_"), F.substring(sha256(joined(target, rule, anchor, instance)), 1, 24))
 
 
 def occurrence_id(scan_id: Column, fingerprint: Column) -> Column:

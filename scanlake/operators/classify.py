@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as tx
 
@@ -154,9 +154,14 @@ def _threat(i: int) -> Column:
 
 
 def threat_citations(files: DataFrame, limit: int = 30) -> DataFrame:
-    """The first ``limit`` (path, signal) pairs in path and signal order: a top-k report."""
+    """The first ``limit`` (path, signal) pairs of each scan in path and signal order: a top-k report.
+
+    Each task ranks its own rows first and hands on at most ``limit`` per scan, so a hot scan costs no more.
+    """
     hits = F.array_compact(F.array(*[F.when(_threat(i), F.struct(F.lit(i).alias("n"), F.lit(s[1]).alias("signal"))) for i, s in enumerate(THREAT_SIGNALS)]))
-    return files.withColumn("_low", F.lower("content")).select("path", F.explode(hits).alias("h")).select("path", "h.n", "h.signal").orderBy("path", "n").limit(limit).drop("n")
+    found = files.withColumn("_low", F.lower("content")).select("scan_id", "path", F.explode(hits).alias("h")).select("scan_id", "path", "h.n", "h.signal")
+    order = W.partitionBy("scan_id").orderBy("path", "n")
+    return found.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= limit).select("scan_id", "path", "signal")
 
 
 def product_surface(findings: DataFrame) -> DataFrame:

@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
 
-SNAPSHOT_PREFIX = "scanlake-snapshot/v1:sha256:"
-TREE_PREFIX = "scanlake-snapshot-tree/v1:sha256:"
-EXACT_FILES = 10_000  # largest file count one flat digest is taken over
+SNAPSHOT_PREFIX = "scanlake-snapshot/v2:sha256:"
 
 
 def compare_scans(before: DataFrame, after: DataFrame, complete: bool | Column = True) -> DataFrame:
@@ -39,34 +37,23 @@ def scan_history(scans: DataFrame) -> DataFrame:
     return scans.filter(F.col("seal") == seal(scans)).orderBy(F.desc("created_at"), "id")
 
 
-def snapshot_digest(receipts: DataFrame, exact_files: int = EXACT_FILES) -> DataFrame:
-    """One digest per scan over its sorted (path, sha256) list.
-
-    Up to ``exact_files`` files (the most one scan may hold) the list is hashed flat. A larger
-    scan gets a two-level digest: lists per hash bucket of the path, then the list of bucket
-    digests; the bucket count follows the file count, so no task ever holds a whole scan.
-    """
+def snapshot_digest(receipts: DataFrame) -> DataFrame:
+    """One digest per scan over its (path, sha256) list: a hash per bucket (first three hex digits of the path's hash) of its
+    sorted entries, then one over the buckets. The same at every size; a task holds 1/4096 of a scan."""
     entry = F.concat("path", F.lit("\0"), "sha256")
-    sizes = receipts.groupBy("scan_id").agg(F.count("*").alias("n_files"))
-    flat = lambda c: F.array_join(F.array_sort(F.collect_list(c)), "\n")
-    r = receipts.join(sizes, "scan_id").withColumn(
-        "_bucket", F.when(F.col("n_files") > exact_files,
-                          F.pmod(F.xxhash64("path"), F.ceil(F.col("n_files") / exact_files) * 4)))
-    part = r.groupBy("scan_id", "n_files", "_bucket").agg(flat(entry).alias("list"))
-    part = part.withColumn("item", F.when(F.col("_bucket").isNull(), F.col("list")).otherwise(
-        F.concat_ws(":", F.col("_bucket").cast("string"), tx.sha256(F.col("list")))))
-    whole = part.groupBy("scan_id", "n_files").agg(flat("item").alias("list"))
-    prefix = F.when(F.col("n_files") > exact_files, TREE_PREFIX).otherwise(SNAPSHOT_PREFIX)
-    return whole.select("scan_id", "n_files", F.concat(prefix, tx.sha256(F.col("list"))).alias("digest"))
+    r = receipts.select("scan_id", F.substring(tx.sha256(F.col("path")), 1, 3).alias("bucket"), entry.alias("e"))
+    parts = r.groupBy("scan_id", "bucket").agg(F.count("*").alias("n"), tx.sha256(F.array_join(F.array_sort(F.collect_list("e")), "\n")).alias("d"))
+    tops = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "bucket", "d"))), "\n")
+    return parts.groupBy("scan_id").agg(F.sum("n").alias("n_files"), F.concat(F.lit(SNAPSHOT_PREFIX), tx.sha256(tops)).alias("digest"))
 
 
 def drift(receipts: DataFrame, files: DataFrame) -> DataFrame:
-    """Receipts whose file is missing or changed, and files without a receipt."""
-    now = files.select("path", tx.sha256(F.col("content")).alias("now_sha"))
-    both = receipts.select("path", F.col("sha256").alias("old_sha")).join(now, "path", "full_outer")
+    """Per scan the receipts whose file is missing or changed, and files without a receipt."""
+    now = files.select("scan_id", "path", tx.sha256(F.col("content")).alias("now_sha"))
+    both = receipts.select("scan_id", "path", F.col("sha256").alias("old_sha")).join(now, ["scan_id", "path"], "full_outer")
     state = F.when(F.col("now_sha").isNull(), "missing").when(F.col("old_sha").isNull(), "unreceipted") \
         .when(F.col("old_sha") != F.col("now_sha"), "changed")
-    return both.withColumn("state", state).filter("state is not null").select("path", "state")
+    return both.withColumn("state", state).filter("state is not null").select("scan_id", "path", "state")
 
 
 # ---- bundle verification ---------------------------------------------------------------------

@@ -100,8 +100,8 @@ def diff_receipts(patches: DataFrame) -> DataFrame:
 
 
 def cap_patches(patches: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """The reviewable part of each patch and whether some was cut; a cut lowers completeness downstream."""
-    return patches.withColumn("truncated", F.octet_length("patch") > max_bytes).withColumn("patch", F.substring("patch", 1, max_bytes))
+    """Flag patches beyond the size a review may cover in full; the patch itself stays whole, the flag lowers completeness downstream."""
+    return patches.withColumn("truncated", F.octet_length("patch") > max_bytes)
 
 
 def diff_scan_rows(requests: DataFrame) -> DataFrame:

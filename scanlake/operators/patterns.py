@@ -53,7 +53,6 @@ def scan_files(files: DataFrame, rules: Sequence[Rule] = TEXT_RULES,
     live = [r for r in rules if r.languages is None or r.languages]
     any_rule = "|".join(f"(?:{tx.ascii_words(r.pattern)})" for r in live)
     src = files.withColumn("language", tx.classify_language(F.col("path"))) \
-        .filter(F.col("content").rlike(any_rule)) \
         .withColumn("_lines", tx.split_lines(F.col("content")))
     picked = F.filter(F.transform("_lines", lambda t, i: F.struct(i.alias("i"), t.alias("t"))),
                       lambda x: x.t.rlike(any_rule))
@@ -188,7 +187,7 @@ def corpus_search(files: DataFrame, pattern: str, limit: int = 50) -> DataFrame:
 
     The limit is the feature (a top-k report); Spark keeps k rows per task (TakeOrdered).
     """
-    lines = explode_lines(files.filter(F.col("content").rlike(f"(?i){pattern}")).select("path", "content"))
+    lines = explode_lines(files.select("path", "content"))
     return lines.filter(F.col("text").rlike(f"(?i){pattern}")) \
         .select("path", "line", F.substring("text", 1, 300).alias("text")) \
         .orderBy("path", "line").limit(limit)

@@ -13,13 +13,13 @@ CANDIDATE_KEY = ["scan_id", "rule", "file", "line", "excerpt"]
 def observation_evidence(candidates: DataFrame) -> DataFrame:
     """Distinct evidence per observation, as rows with the order in which each was first seen.
 
-    Everything but the order is a grouping key and the order is one number, so this is a hash
+    Everything but the order is a grouping key and the order is a pair, so this is an
     aggregation with a map-side half: a hot observation shrinks before it moves. A candidate
     without evidence keeps one row with a null kind.
     """
     e = candidates.select(*CANDIDATE_KEY, "ord", "severity", "rationale", "cwe", F.posexplode_outer("evidence").alias("pos", "e"))
     e = e.select(*CANDIDATE_KEY, "severity", "rationale", "cwe", F.col("e.kind").alias("kind"), F.col("e.detail").alias("detail"), F.col("e.location").alias("location"),
-                 (F.shiftleft(F.col("ord").cast("bigint"), 16) + F.coalesce("pos", F.lit(0))).alias("seen"))
+                 F.struct(F.col("ord").cast("bigint").alias("ord"), F.coalesce("pos", F.lit(0)).alias("pos")).alias("seen"))
     return e.groupBy(*CANDIDATE_KEY, "severity", "rationale", "cwe", "kind", "detail", "location").agg(F.min("seen").alias("seen"))
 
 
@@ -34,7 +34,7 @@ def dedupe_observations(candidates: DataFrame) -> DataFrame:
     first = F.col("all")[0]
     return g.select("scan_id", "rule", first["severity"].alias("severity"), "file", "line", "excerpt", first["rationale"].alias("rationale"),
                     first["cwe"].alias("cwe"), F.when(F.col("same"), notes).otherwise(F.array_distinct(notes)).alias("evidence"),
-                    F.shiftright(first["seen"], 16).alias("ord"))
+                    first["seen"]["ord"].alias("ord"))
 
 
 def dedupe_locations(locations: Column) -> Column:

@@ -62,21 +62,24 @@ def scan_history(spark, sf):
 
 
 @query("snapshot_digests", f"""
-with files as ({v.FILES_SQL})
-select scan_id, count(*) as n_files, 'scanlake-snapshot/v1:sha256:' || sha256(string_agg(path || chr(0) || sha256(content), chr(10) order by path)) as digest from files group by scan_id""")
+with files as ({v.FILES_SQL}),
+p as (select scan_id as scan_id, left(sha256(path), 3) as bucket, count(*) as n, sha256(string_agg(path || chr(0) || sha256(content), chr(10) order by path)) as d from files group by all)
+select scan_id, cast(sum(n) as bigint) as n_files, 'scanlake-snapshot/v2:sha256:' || sha256(string_agg(bucket || ':' || d, chr(10) order by bucket)) as digest from p group by scan_id""")
 def snapshot_digests(spark, sf):
     return cp.snapshot_digest(corpus.file_receipts(v.files(spark, sf)))
 
 
-@query("snapshot_tree_digest")
+@query("snapshot_tree_digest", f"""
+with files as ({v.FILES_SQL}),
+p as (select 'all' as scan_id, left(sha256(path), 3) as bucket, count(*) as n, sha256(string_agg(path || chr(0) || sha256(content), chr(10) order by path)) as d from files group by all)
+select scan_id, cast(sum(n) as bigint) as n_files, 'scanlake-snapshot/v2:sha256:' || sha256(string_agg(bucket || ':' || d, chr(10) order by bucket)) as digest from p group by scan_id""")
 def snapshot_tree_digest(spark, sf):
-    """The same corpus with a low flat limit, so the two-level digest is taken."""
-    one = corpus.file_receipts(v.files(spark, sf)).withColumn("scan_id", F.lit("all"))
-    return cp.snapshot_digest(one, exact_files=50)
+    """The whole corpus as one scan, so that buckets hold several files."""
+    return cp.snapshot_digest(corpus.file_receipts(v.files(spark, sf)).withColumn("scan_id", F.lit("all")))
 
 
 VERSIONS_SQL = f"""files as ({v.FILES_SQL}), j as (select f.*, l.quality, l.toxic from files f left join labels l using (doc_id)),
-later as (select path, case when quality = 0 then upper(content) else content end as content from j where toxic is null or toxic = 0)"""
+later as (select scan_id, path, case when quality = 0 then upper(content) else content end as content from j where toxic is null or toxic = 0)"""
 
 
 def later_files(spark, sf):
@@ -86,11 +89,20 @@ def later_files(spark, sf):
 
 
 @query("snapshot_drift", f"""
-with {VERSIONS_SQL}
-select f.path, case when l.path is null then 'missing' else 'changed' end as state from files f left join later l on l.path = f.path
+with {VERSIONS_SQL},
+f2 as (select 'a' as scan_id, doc_id || '.txt' as path, content from files union all select 'b', doc_id || '.txt', content || 'b' from files),
+l2 as (select 'a' as scan_id, split_part(split_part(path, '/', 2), '.', 1) || '.txt' as path, content from later union all select 'b', doc_id || '.txt', content || 'b' from files)
+select f.scan_id, f.path, case when l.path is null then 'missing' else 'changed' end as state from f2 f left join l2 l on l.path = f.path and l.scan_id = f.scan_id
 where l.path is null or l.content <> f.content""")
 def snapshot_drift(spark, sf):
-    return cp.drift(corpus.file_receipts(v.files(spark, sf)), later_files(spark, sf))
+    """Two scans that share all paths: only the first one changed."""
+    def scan(name, df, tail):
+        return df.select(F.lit(name).alias("scan_id"), F.concat("doc_id", F.lit(".txt")).alias("path"), F.concat("content", F.lit(tail)).alias("content"), "doc_id")
+
+    files = v.files(spark, sf)
+    before = scan("a", files, "").unionByName(scan("b", files, "b"))
+    after = scan("a", later_files(spark, sf), "").unionByName(scan("b", files, "b"))
+    return cp.drift(corpus.file_receipts(before), after)
 
 
 ART_PATH = "case when event_type = 'error' then 'findings/' when event_type = 'click' then 'hardening/' else 'artifacts/' end"

@@ -269,7 +269,7 @@ def diff_receipts(spark, sf):
     return df.diff_receipts(_patches(spark, sf)).select("path", "bytes", "sha256", "language")
 
 
-@query("capped_patches", "select doc_id, octet_length(encode(text)) > 4096 as truncated, left(text, 4096) as patch from documents")
+@query("capped_patches", "select doc_id, octet_length(encode(text)) > 4096 as truncated, text as patch from documents")
 def capped_patches(spark, sf):
     d = v.table(spark, sf, "documents").select("doc_id", F.col("text").alias("patch"))
     return df.cap_patches(d, 4096).select("doc_id", "truncated", "patch")

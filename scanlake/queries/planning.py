@@ -98,7 +98,7 @@ def threat_signals(spark, sf):
 
 @query("threat_citations", f"""
 with {MIXED_SQL}, s(n, label, pattern) as (values {', '.join(f"({i}, '{label}', '{p}')" for i, (_, label, p) in enumerate(cl.THREAT_SIGNALS))})
-select path, label as signal from mixed join s on regexp_matches(content, pattern) order by path, n limit 30""")
+select scan_id, path, label as signal from mixed join s on regexp_matches(content, pattern) qualify row_number() over (partition by scan_id order by path, n) <= 30""")
 def threat_citations(spark, sf):
     return cl.threat_citations(_mixed(spark, sf))
 
@@ -166,17 +166,22 @@ def file_worklists(spark, sf):
 
 
 @query("worklist_digests", f"""
-with {WORK_SQL} select scan_id, count(*) as n_items, sha256('[' || string_agg('{{"path":"' || path || '","sha256":"' || sha || '","language":"python","risk_signals":[' || array_to_string([('"' || s || '"') for s in signals], ',')
-  || '],"priority":' || priority || '}}', ',' order by priority desc, path) || ']') as digest from w group by scan_id""")
+with {WORK_SQL}, i as (select scan_id, path, priority, left(sha256(path), 3) as bucket, '{{"path":"' || path || '","sha256":"' || sha || '","language":"python","risk_signals":[' || array_to_string([('"' || s || '"') for s in signals], ',')
+  || '],"priority":' || priority || '}}' as item from w),
+p as (select scan_id as scan_id, bucket, count(*) as n, sha256(string_agg(item, ',' order by priority desc, path)) as d from i group by all)
+select scan_id, cast(sum(n) as bigint) as n_items, sha256(string_agg(bucket || ':' || d, ',' order by bucket)) as digest from p group by scan_id""")
 def worklist_digests(spark, sf):
     return pl.worklist_digest(pl.file_worklist(_mixed(spark, sf)))
 
 
-@query("worklist_tree_digest")
+@query("worklist_tree_digest", f"""
+with {WORK_SQL}, i as (select scan_id, path, priority, left(sha256(path), 3) as bucket, '{{"path":"' || path || '","sha256":"' || sha || '","language":"python","risk_signals":[' || array_to_string([('"' || s || '"') for s in signals], ',')
+  || '],"priority":' || priority || '}}' as item from w),
+p as (select 'all' as scan_id, bucket, count(*) as n, sha256(string_agg(item, ',' order by priority desc, path)) as d from i group by all)
+select scan_id, cast(sum(n) as bigint) as n_items, sha256(string_agg(bucket || ':' || d, ',' order by bucket)) as digest from p group by scan_id""")
 def worklist_tree_digest(spark, sf):
-    """All files in one scan and a low flat limit: the digest over range pieces."""
-    w = pl.file_worklist(_mixed(spark, sf)).withColumn("scan_id", F.lit("all"))
-    return pl.worklist_digest(w, flat_items=50).select("scan_id", "n_items")
+    """All files in one scan, so that buckets hold several items."""
+    return pl.worklist_digest(pl.file_worklist(_mixed(spark, sf)).withColumn("scan_id", F.lit("all")))
 
 
 @query("investigation_packets", f"""

@@ -82,7 +82,7 @@ s as (select *, 'source-' || left(sha256(base || ':' || file), 20) as by_file fr
 i as (select *, case when rn = 1 then 'instance-' || left(sha256(base), 20) when in_file = 1 then by_file
               else 'source-' || left(sha256(base || ':' || file || ':' || line || ':' || by_file), 20) end as instance from s)
 select rule_id, file, line, anchor, instance, sha256('target:' || rule_id || ':' || anchor || ':' || instance) as fingerprint,
-       'dsf_' || left(sha256('target:' || rule_id || ':' || anchor || ':' || instance), 24) as id from i""")
+       'slf_' || left(sha256('target:' || rule_id || ':' || anchor || ':' || instance), 24) as id from i""")
 def finding_identities(spark, sf):
     c = candidates(spark, sf).groupBy("scan_id", "rule", "file", "line").agg(F.min_by("excerpt", "ord").alias("excerpt"))
     place = F.struct("file", "line", "excerpt", F.lit("root_control").alias("role"))

@@ -14,13 +14,13 @@ CONF = "case when o_totalprice >= 200000 then 'high' when o_totalprice >= 100000
 DISP = "case o_orderstatus when 'F' then 'reportable' when 'O' then 'suppressed' else 'deferred' end"
 RULE = "case o_orderpriority when '1-URGENT' then 'sql-injection.query.construction' when '2-HIGH' then 'path-traversal.sink' when '3-MEDIUM' then 'cors.wildcard.credentials' when '4-NOT SPECIFIED' then 'mystery-rule.x' else 'ci.shell' end"
 TITLE = "case when o_totalprice >= 150000 then 'Big, \"quoted\" title' else 'Small title' end"
-F_SQL = f"""f as (select 'scan' || o_custkey as scan_id, 'dsf_' || o_orderkey as id, 'cand_' || o_orderkey as candidate_id, sha256('fp' || o_orderkey) as fingerprint, {RULE} as rule_id,
+F_SQL = f"""f as (select 'scan' || o_custkey as scan_id, 'slf_' || o_orderkey as id, 'cand_' || o_orderkey as candidate_id, sha256('fp' || o_orderkey) as fingerprint, {RULE} as rule_id,
  {TITLE} as title, {SEV} as severity, {CONF} as confidence, 'CWE-' || cast(floor(o_totalprice / 10000) as int) as cwe, {DISP} as disposition, 'src/o' || o_custkey || '.py' as file, cast(o_orderkey % 90 as int) as line, o_orderkey as ord from orders)"""
 
 
 def findings(spark, sf):
     f = v.table(spark, sf, "orders").selectExpr(
-        "concat('scan', o_custkey) as scan_id", "concat('dsf_', o_orderkey) as id", "concat('cand_', o_orderkey) as candidate_id", "sha2(concat('fp', o_orderkey), 256) as fingerprint",
+        "concat('scan', o_custkey) as scan_id", "concat('slf_', o_orderkey) as id", "concat('cand_', o_orderkey) as candidate_id", "sha2(concat('fp', o_orderkey), 256) as fingerprint",
         f"{RULE} as rule_id", f"{TITLE} as title", f"{SEV} as severity", f"{CONF} as confidence", "concat('CWE-', cast(floor(o_totalprice / 10000) as int)) as cwe", f"{DISP} as disposition",
         "concat('src/o', o_custkey, '.py') as file", "cast(o_orderkey % 90 as int) as line", "o_orderkey as ord", "'open' as status", "'why' as root_cause", "'big' as impact", "'fix it' as remediation",
         "'val' as validation", "'path' as attack_path", "'none' as counterevidence")
@@ -150,11 +150,11 @@ def ticket_rows(spark, sf):
 
 
 @query("duplicate_tickets", f"""
-with {TICKETS_SQL}, i as (select 'I' || event_id as issue_id, '[CRITICAL] issue ' || event_id as title, case when event_type = 'view' then 'see <!-- scanlake finding:dsf_' || event_id || ' fingerprint:' || sha256('fp' || event_id) || ' --> end' else 'no mark' end as body from events)
+with {TICKETS_SQL}, i as (select 'I' || event_id as issue_id, '[CRITICAL] issue ' || event_id as title, case when event_type = 'view' then 'see <!-- scanlake finding:slf_' || event_id || ' fingerprint:' || sha256('fp' || event_id) || ' --> end' else 'no mark' end as body from events)
 select t.id, i.issue_id from t join i on contains(i.body, t.marker) or i.title = t.title""")
 def duplicate_tickets(spark, sf):
     e = v.table(spark, sf, "events")
-    mark = F.concat(F.lit("see <!-- scanlake finding:dsf_"), F.col("event_id").cast("string"), F.lit(" fingerprint:"), tx.sha256(F.concat(F.lit("fp"), F.col("event_id").cast("string"))), F.lit(" --> end"))
+    mark = F.concat(F.lit("see <!-- scanlake finding:slf_"), F.col("event_id").cast("string"), F.lit(" fingerprint:"), tx.sha256(F.concat(F.lit("fp"), F.col("event_id").cast("string"))), F.lit(" --> end"))
     issues = e.select(F.concat(F.lit("I"), "event_id").alias("id"), F.concat(F.lit("[CRITICAL] issue "), "event_id").alias("title"), F.when(F.col("event_type") == "view", mark).otherwise("no mark").alias("body"))
     return rp.duplicate_tickets(rp.ticket_rows(findings(spark, sf)), issues)
 

@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from scanlake import scale
+from scanlake.functions.rules import Rule
 from scanlake.functions.versions import in_range
-from scanlake.operators import classify as cl, compare as cp, planning as pl, policy as po, report as rp
+from scanlake.operators import classify as cl, compare as cp, patterns as pt, planning as pl, policy as po, report as rp
 from scanlake.sources import corpus as cs, intake
 
 
@@ -111,18 +112,33 @@ def test_preview_and_outline(spark):
     assert r[0].p == "\n".join(fitted)
 
 
-def test_tree_digests_see_every_change(spark):
-    rows = [("s", f"p{i}", hashlib.sha256(str(i).encode()).hexdigest()) for i in range(60)]
-    digest = lambda rs, n: cp.snapshot_digest(spark.createDataFrame(rs, "scan_id string, path string, sha256 string"), n).first().digest
-    flat = "scanlake-snapshot/v1:sha256:" + hashlib.sha256("\n".join(f"{p}\0{s}" for _, p, s in sorted(rows)).encode()).hexdigest()
-    assert digest(rows, 60) == flat
-    tree = digest(rows, 10)
-    assert tree != flat and tree == digest(rows[::-1], 10)
-    assert tree != digest(rows[1:], 10) and tree != digest([("s", "p0", "0" * 64), *rows[1:]], 10)
-    work = lambda n, pr: pl.worklist_digest(spark.createDataFrame([("s", f"p{i}", "h", "python", ["a"], pr if i == 7 else 100) for i in range(30)],
-                                                                   "scan_id string, path string, sha256 string, language string, risk_signals array<string>, priority int"), n).first().digest
-    assert work(5, 100).startswith("tree:") and work(5, 100) == work(5, 100) != work(5, 200)
-    assert not work(30, 100).startswith("tree:")
+def test_digests_are_one_algorithm(spark):
+    rows = [("s", f"p{i}", hashlib.sha256(str(i).encode()).hexdigest()) for i in range(400)]
+    digest = lambda rs: cp.snapshot_digest(spark.createDataFrame(rs, "scan_id string, path string, sha256 string")).first().digest
+    buckets = {}
+    for _, p, h in sorted(rows):
+        buckets.setdefault(hashlib.sha256(p.encode()).hexdigest()[:3], []).append(f"{p}\0{h}")
+    top = "\n".join(f"{b}:{hashlib.sha256(chr(10).join(e).encode()).hexdigest()}" for b, e in sorted(buckets.items()))
+    assert digest(rows) == digest(rows[::-1]) == "scanlake-snapshot/v2:sha256:" + hashlib.sha256(top.encode()).hexdigest()
+    assert digest(rows) != digest(rows[1:]) and digest(rows) != digest([("s", "p0", "0" * 64), *rows[1:]])
+    schema = "scan_id string, path string, sha256 string, language string, risk_signals array<string>, priority int"
+    work = lambda pr: spark.createDataFrame([("s", f"p{i}", "h", "python", ["a"], pr if i == 7 else 100) for i in range(400)], schema)
+    seen = set()
+    for n in (4, 7):  # the digest follows neither the input's partitions nor the shuffle's
+        old = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        seen.add(pl.worklist_digest(work(100).repartition(n)).first().digest)
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert len(seen) == 1 and pl.worklist_digest(work(200)).first().digest not in seen
+
+
+def test_anchored_and_edge_rules(spark, corpus):
+    rule = lambda p: Rule("own-rule", "CWE-1", "low", "x", p)
+    files = corpus({"a.py": "x = 1\nimport os\neval(y)\npassword=1\nfoo-bar\n"})
+    for pattern, line in ((r"^import os$", 2), (r"\beval\b\(", 3), (r"\bpassword\b=", 4), (r"\bfoo\b-bar", 5), (r"\bimport\b os", 2), (r"os\b", 2), (r"\b[a-z]+-\bbar\b$", 5)):
+        found = pt.scan_files(files, [rule(pattern)], {"p": None}, {})
+        assert [r.line for r in found.collect()] == [line], pattern
+    assert [r.line for r in pt.corpus_search(files, "^IMPORT").collect()] == [2]
 
 
 def test_sarif_intake(spark):

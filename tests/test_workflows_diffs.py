@@ -110,7 +110,7 @@ def test_receipts_and_cap(spark):
     got = {(r.path, r.language) for r in df.diff_receipts(patches(spark)).collect()}
     assert got == {("route.ts", "typescript"), ("gone.sh", "shell"), ("run.sh", "shell")}
     cap = df.cap_patches(patches(spark), 40).first()
-    assert cap.truncated and len(cap.patch) == 40
+    assert cap.truncated and cap.patch == PATCH
 
 
 def test_scan_rows(spark):
