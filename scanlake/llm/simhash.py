@@ -80,7 +80,7 @@ def _moved(count: Column, by: int, i: int, step: Column) -> Column:
 def fingerprint_links(fps: DataFrame) -> DataFrame:
     """(a, b): all pairs a < b of distinct fingerprints in column ``fp`` at MAX_BITS or fewer differing bits."""
     # a few bytes per fingerprint become 33 rows: deal them out before they grow, not after
-    dealt = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    dealt = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cells = dealt.select(F.explode(_cells(_cell(F.col("fp")))).alias("cell"), "fp")
     left, right = cells.withColumnRenamed("fp", "a"), cells.withColumnRenamed("fp", "b")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
