@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as tx
+from ..functions.scans import scan_keys
 
 # ---- fixed values: directories, names and extensions for ranking ------------------------------
 EXCLUDED_DIRS = """.cache .circleci .devcontainer .git .github .idea .mypy_cache .pytest_cache .ruff_cache .tox .venv .vscode
@@ -206,11 +207,12 @@ def runtime_boundary(policies: DataFrame) -> DataFrame:
     return policies.groupBy("scan_id").agg(F.bool_or(F.col("content").rlike(tx.ascii_words(RUNTIME_POLICY))).alias("runtime_in_scope"))
 
 
-def read_range(files: DataFrame, requests: DataFrame, cap: int = 400) -> DataFrame:
-    """Bounded source range per request: an equi-join on path and a slice of the file's lines."""
-    j = requests.join(files.select("path", "content"), "path").withColumn("_l", tx.split_lines(F.col("content")))
+def read_range(files: DataFrame, requests: DataFrame, cap: int | None = None) -> DataFrame:
+    """Source range per request: an equi-join on scan and path and a slice of the file's lines. A ``cap`` on the lines shows in ``to_line``."""
+    keys = [*scan_keys(files, requests), "path"]
+    j = requests.join(files.select(*keys, "content"), keys).withColumn("_l", tx.split_lines(F.col("content")))
     start = F.greatest(F.lit(1), F.col("start_line"))
-    end = F.greatest(start, F.least(start + cap - 1, F.col("end_line")))
+    end = F.greatest(start, F.col("end_line") if cap is None else F.least(start + cap - 1, F.col("end_line")))
     n = F.size("_l")
     return j.select(*requests.columns, start.alias("from_line"), F.least(end, n).alias("to_line"),
                     F.array_join(F.when(start <= n, F.slice("_l", start, end - start + 1)).otherwise(F.array().cast("array<string>")), "\n").alias("text"),

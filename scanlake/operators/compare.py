@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
+from ..functions.scans import scan_keys
 
 SNAPSHOT_PREFIX = "scanlake-snapshot/v2:sha256:"
 
@@ -92,29 +93,32 @@ def size_errors(artifacts: DataFrame, limits: dict[str, int] = SIZE_LIMITS) -> D
 
 def receipt_gaps(findings: DataFrame, ledger: DataFrame) -> DataFrame:
     """Candidates without a discovery or validation receipt, or reportable without an attack path."""
-    seen = ledger.groupBy("candidate_id").agg(
+    keys = [*scan_keys(findings, ledger), "candidate_id"]
+    seen = ledger.groupBy(*keys).agg(
         *[F.bool_or(F.col("phase") == p).alias(p) for p in ("discovery", "validation", "attack_path")])
-    f = findings.select("candidate_id", "disposition").join(seen, "candidate_id", "left")
+    f = findings.select(*keys, "disposition").join(seen, keys, "left")
     lacks = lambda p: ~F.coalesce(F.col(p), F.lit(False))
     gaps = tx.compact(F.when(lacks("discovery"), "no discovery receipt"), F.when(lacks("validation"), "no validation receipt"),
                       F.when((F.col("disposition") == "reportable") & lacks("attack_path"), "no attack-path receipt"))
-    return f.select("candidate_id", F.explode(gaps).alias("error"))
+    return f.select(*keys, F.explode(gaps).alias("error"))
 
 
 def stale_digests(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     """Reportable findings whose stored evidence digest is absent or differs from the fresh one."""
-    j = fresh.join(stored.select("id", F.col("digest").alias("old")), "id", "left")
+    keys = [*scan_keys(stored, fresh), "id"]
+    j = fresh.join(stored.select(*keys, F.col("digest").alias("old")), keys, "left")
     return j.withColumn("error", F.when(F.col("old").isNull(), "no report").when(F.col("old") != F.col("digest"), "stale")) \
-        .filter("error is not null").select("id", "error")
+        .filter("error is not null").select(*keys, "error")
 
 
 # ---- remediation ----------------------------------------------------------------------------------
 
 def remediation_verdict(findings: DataFrame, rescan: DataFrame) -> DataFrame:
     """Is the same rule still found in the same file? Any location of a rescan finding counts."""
-    again = rescan.select("rule_id", F.explode("locations").alias("l")).select("rule_id", F.col("l.file").alias("file")) \
+    scan = scan_keys(findings, rescan)
+    again = rescan.select(*scan, "rule_id", F.explode("locations").alias("l")).select(*scan, "rule_id", F.col("l.file").alias("file")) \
         .distinct().withColumn("_hit", F.lit(True))
-    return findings.join(again, ["rule_id", "file"], "left").select(
+    return findings.join(again, [*scan, "rule_id", "file"], "left").select(
         *findings.columns, F.when(F.col("_hit"), "still_detected").otherwise("not_detected").alias("verdict"))
 
 
@@ -130,8 +134,9 @@ SAFE_REWRITES = {
 
 def safe_rewrites(files: DataFrame, findings: DataFrame, rewrites=SAFE_REWRITES) -> DataFrame:
     """New content per (finding file, rule) where a mechanical rewrite changes something."""
-    wanted = findings.filter(F.col("rule_id").isin(list(rewrites))).select("rule_id", F.col("file").alias("path")).distinct()
-    j = files.select("path", "content").join(wanted, "path")
+    keys = [*scan_keys(files, findings), "path"]
+    wanted = findings.filter(F.col("rule_id").isin(list(rewrites))).withColumnRenamed("file", "path").select(*keys, "rule_id").distinct()
+    j = files.select(*keys, "content").join(wanted, keys)
     new = F.col("content")
     for rule, steps in rewrites.items():
         fixed = F.col("content")
@@ -139,7 +144,7 @@ def safe_rewrites(files: DataFrame, findings: DataFrame, rewrites=SAFE_REWRITES)
             fixed = F.regexp_replace(fixed, pattern, to)
         new = F.when(F.col("rule_id") == rule, fixed).otherwise(new)
     return j.withColumn("new_content", new).filter("new_content <> content") \
-        .select("path", "rule_id", "content", "new_content")
+        .select(*keys, "rule_id", "content", "new_content")
 
 
 def apply_replacements(files: DataFrame, replacements: DataFrame) -> DataFrame:
@@ -147,10 +152,11 @@ def apply_replacements(files: DataFrame, replacements: DataFrame) -> DataFrame:
 
     ``replacements(request_id, path, start_line, end_line, expected_text, replacement_text,
     base_sha256)``. The range is cut from the file's own line array, so the join is one
-    equi-join on path and nothing is exploded.
+    equi-join on scan and path and nothing is exploded.
     """
-    per = replacements.groupBy("request_id").agg(F.count("*").alias("_n"), F.countDistinct("path").alias("_files"))
-    j = replacements.join(per, "request_id").join(files.select("path", "content"), "path", "left")
+    scan = scan_keys(files, replacements)
+    per = replacements.groupBy(*scan, "request_id").agg(F.count("*").alias("_n"), F.countDistinct("path").alias("_files"))
+    j = replacements.join(per, [*scan, "request_id"]).join(files.select(*scan, "path", "content"), [*scan, "path"], "left")
     j = j.withColumn("_lines", tx.split_lines(F.col("content")))
     n = F.size("_lines")
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
@@ -166,6 +172,6 @@ def apply_replacements(files: DataFrame, replacements: DataFrame) -> DataFrame:
     rest = F.slice("_lines", F.col("end_line") + 1, F.greatest(n - F.col("end_line"), F.lit(0)))
     new = F.array_join(F.concat(F.slice("_lines", F.lit(1), F.greatest(F.col("start_line") - 1, F.lit(0))), F.split("replacement_text", "\n", -1), rest), "\n")
     return j.withColumn("error", error).select(
-        "request_id", "path", "error", F.when(F.col("error").isNull(), new).alias("new_content"))
+        *scan, "request_id", "path", "error", F.when(F.col("error").isNull(), new).alias("new_content"))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
+from ..functions.scans import scan_keys
 from ..scale import lagged
 
 # ---- fixed values: lease bounds in seconds ------------------------------------------------
@@ -40,10 +41,11 @@ def claim_expired(claimed_at: Column, now: Column, seconds: int = CLAIM_LEASE) -
 
 def pending(findings: DataFrame, ledger: DataFrame) -> DataFrame:
     """Candidates with no validation row, and how many rows of each other stage they have."""
-    seen = ledger.groupBy("candidate_id").agg(
+    keys = [*scan_keys(findings, ledger), "candidate_id"]
+    seen = ledger.groupBy(*keys).agg(
         F.bool_or(F.col("phase") == "validation").alias("_done"), F.count("*").alias("n_rows"),
         F.array_join(F.array_sort(F.collect_set("phase")), ",").alias("stages"))
-    return findings.join(seen, "candidate_id", "left").filter("_done is null or not _done") \
+    return findings.join(seen, keys, "left").filter("_done is null or not _done") \
         .select(*findings.columns, F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("stages", F.lit("")).alias("stages"))
 
 
@@ -75,39 +77,43 @@ def reference_errors(refs: DataFrame, locations: DataFrame, records: DataFrame)
     """
     role_ok = F.col("role").isin(list(ROLES))
     shape_ok = F.coalesce((F.length(tx.trim(F.col("file"))) > 0) & (F.col("line") >= 1) & role_ok, F.lit(False))
-    key = ["candidate_id", "file", "line", "role"]
+    scan = scan_keys(refs, locations, records)
+    record = [*scan, "record_id"]
+    key = [*scan, "candidate_id", "file", "line", "role"]
     kept = locations.withColumn("role", F.coalesce("role", F.lit("root_control"))).select(*key).distinct()
-    malformed = refs.filter(~shape_ok).select("record_id", F.lit("malformed reference").alias("error"))
+    malformed = refs.filter(~shape_ok).select(*record, F.lit("malformed reference").alias("error"))
     good = refs.filter(shape_ok)
     repeated = good.groupBy("record_id", *key).agg(F.count("*").alias("n")).filter("n > 1") \
-        .select("record_id", F.lit("duplicate reference").alias("error"))
-    stray = good.join(kept, key, "left_anti").select("record_id", F.lit("not a retained location").alias("error"))
-    cited = good.groupBy("record_id").agg(
+        .select(*record, F.lit("duplicate reference").alias("error"))
+    stray = good.join(kept, key, "left_anti").select(*record, F.lit("not a retained location").alias("error"))
+    cited = good.groupBy(*record).agg(
         F.bool_or(F.col("role") == "entrypoint").alias("ce"), F.bool_or(F.col("role") == "sink").alias("cs"),
         F.bool_or(F.col("role").isin("root_control", "sink")).alias("cr"))
-    held = kept.groupBy("candidate_id").agg(F.bool_or(F.col("role") == "entrypoint").alias("he"),
+    held = kept.groupBy(*scan, "candidate_id").agg(F.bool_or(F.col("role") == "entrypoint").alias("he"),
                                             F.bool_or(F.col("role") == "sink").alias("hs"))
-    any_ref = refs.select("record_id").distinct().withColumn("_any", F.lit(True))
-    r = records.join(cited, "record_id", "left").join(held, "candidate_id", "left").join(any_ref, "record_id", "left")
+    any_ref = refs.select(*record).distinct().withColumn("_any", F.lit(True))
+    r = records.join(cited, record, "left").join(held, [*scan, "candidate_id"], "left").join(any_ref, record, "left")
     no = lambda c: ~F.coalesce(F.col(c), F.lit(False))
     whole = F.when(F.col("_any").isNull(), "no reference") \
         .when((F.col("kind") == "validation") & (F.col("conclusion") == "reportable") & no("cr"), "root control or sink not cited") \
         .when((F.col("kind") == "attack_path") & F.col("he") & F.col("hs") & (no("ce") | no("cs")), "both endpoints not cited")
-    ends = r.withColumn("error", whole).filter("error is not null").select("record_id", "error")
+    ends = r.withColumn("error", whole).filter("error is not null").select(*record, "error")
     return malformed.unionByName(repeated).unionByName(stray).unionByName(ends).distinct()
 
 
 def receipt_errors(records: DataFrame, refs: DataFrame, runtime_evidence: DataFrame) -> DataFrame:
     """Runtime receipts: needed for runtime or hybrid, refused otherwise, bound to the candidate."""
-    r = refs.withColumn("ref", tx.trim(F.col("ref"))).distinct()
-    n = r.groupBy("record_id").agg(F.count("*").alias("n"), F.bool_or((F.length("ref") == 0) | (F.length("ref") > 1000)).alias("bad"))
-    j = records.join(n, "record_id", "left")
+    scan = scan_keys(records, refs, runtime_evidence)
+    record = [*scan, "record_id"]
+    r = refs.select(*record, tx.trim(F.col("ref")).alias("ref")).distinct()
+    n = r.groupBy(*record).agg(F.count("*").alias("n"), F.bool_or((F.length("ref") == 0) | (F.length("ref") > 1000)).alias("bad"))
+    j = records.join(n, record, "left")
     runtime = F.col("method").isin("runtime", "hybrid")
     own = j.withColumn("error", F.when(F.col("bad"), "unbounded reference").when(~runtime & F.col("n").isNotNull(), "not a runtime method")
-                       .when(runtime & F.col("n").isNull(), "runtime receipt required")).filter("error is not null").select("record_id", "error")
-    stray = r.join(records.filter(runtime).select("record_id", "candidate_id"), "record_id") \
-        .join(runtime_evidence.select("candidate_id", F.col("artifact_ref").alias("ref")), ["candidate_id", "ref"], "left_anti") \
-        .select("record_id", F.lit("not retained runtime evidence").alias("error")).distinct()
+                       .when(runtime & F.col("n").isNull(), "runtime receipt required")).filter("error is not null").select(*record, "error")
+    stray = r.join(records.filter(runtime).select(*record, "candidate_id"), record) \
+        .join(runtime_evidence.select(*scan, "candidate_id", F.col("artifact_ref").alias("ref")), [*scan, "candidate_id", "ref"], "left_anti") \
+        .select(*record, F.lit("not retained runtime evidence").alias("error")).distinct()
     return own.unionByName(stray)
 
 
@@ -115,9 +121,10 @@ def receipt_errors(records: DataFrame, refs: DataFrame, runtime_evidence: DataFr
 
 def apply_validations(findings: DataFrame, validations: DataFrame) -> DataFrame:
     """Latest validation per candidate sets disposition, confidence, next task and lifecycle."""
-    last = validations.groupBy("candidate_id").agg(
+    keys = [*scan_keys(findings, validations), "candidate_id"]
+    last = validations.groupBy(*keys).agg(
         F.max_by(F.struct("conclusion", "method", "confidence", "direct_evidence"), F.struct("recorded_at", "seq")).alias("v"))
-    f = findings.drop("confidence", "disposition").join(last, "candidate_id", "left")
+    f = findings.drop("confidence", "disposition").join(last, keys, "left")
     seen = F.col("v").isNotNull()
     reportable = F.coalesce(F.col("v.conclusion") == "reportable", F.lit(False))
     return f.select(*findings.drop("confidence", "disposition").columns,
@@ -132,12 +139,13 @@ def apply_validations(findings: DataFrame, validations: DataFrame) -> DataFrame:
 
 def apply_attack_paths(findings: DataFrame, paths: DataFrame) -> DataFrame:
     """Latest attack path per reportable candidate; refused rows for other candidates are kept apart."""
-    last = paths.groupBy("candidate_id").agg(F.max_by(F.struct("dataflow", "attacker", "outcome"), F.struct("recorded_at", "seq")).alias("p"),
+    keys = [*scan_keys(findings, paths), "candidate_id"]
+    last = paths.groupBy(*keys).agg(F.max_by(F.struct("dataflow", "attacker", "outcome"), F.struct("recorded_at", "seq")).alias("p"),
                                              F.count("*").alias("n_paths"))
-    f = findings.join(last, "candidate_id", "inner")
+    f = findings.join(last, keys, "inner")
     ok = F.col("disposition") == "reportable"
     text = F.concat("p.dataflow", F.lit("\n\nAttacker: "), "p.attacker", F.lit("\nOutcome: "), "p.outcome")
-    return f.select("candidate_id", "disposition", "n_paths", F.when(ok, text).alias("attack_path"),
+    return f.select(*keys, "disposition", "n_paths", F.when(ok, text).alias("attack_path"),
                     F.when(ok, "reporting").otherwise("refused").alias("lifecycle"))
 
 
@@ -212,8 +220,8 @@ def remediation_audit(events: DataFrame) -> DataFrame:
 
 def resume_tasks(tasks: DataFrame, ledger: DataFrame) -> DataFrame:
     """Cancelled tasks without a ledger row of their phase go back to pending."""
-    done = ledger.select("candidate_id", "phase").distinct().withColumn("_done", F.lit(True))
-    t = tasks.join(done, ["candidate_id", "phase"], "left")
+    keys = [*scan_keys(tasks, ledger), "candidate_id", "phase"]
+    t = tasks.join(ledger.select(*keys).distinct().withColumn("_done", F.lit(True)), keys, "left")
     back = (F.col("status") == "cancelled") & F.col("_done").isNull()
     return t.withColumn("status", F.when(back, "pending").otherwise(F.col("status"))).select(*tasks.columns)
 
@@ -226,7 +234,7 @@ def cancel_tasks(tasks: DataFrame, reason: str) -> DataFrame:
 
 def bulk_retry(attempts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(state, retry): latest status and attempt count per path; what a resume must run."""
-    state = attempts.groupBy("path").agg(F.max_by("status", F.struct("recorded_at", "seq")).alias("status"),
+    state = attempts.groupBy(*scan_keys(attempts), "path").agg(F.max_by("status", F.struct("recorded_at", "seq")).alias("status"),
                                          F.sum((F.col("status") != "pending").cast("long")).alias("attempts"))
     return state, state.filter("status <> 'completed'")
 

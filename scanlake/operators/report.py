@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
+from ..functions.scans import scan_keys
 
 MARKER_TOOL = "scanlake"
 
@@ -158,10 +159,11 @@ def section_errors(reports: DataFrame, sections=SECTIONS) -> DataFrame:
 
 def projection_errors(findings: DataFrame, reports: DataFrame) -> DataFrame:
     """Reportable findings whose report is absent or does not name them."""
-    f = findings.filter("disposition = 'reportable'").join(reports.select("candidate_id", "content"), "candidate_id", "left")
+    keys = [*scan_keys(findings, reports), "candidate_id"]
+    f = findings.filter("disposition = 'reportable'").join(reports.select(*keys, "content"), keys, "left")
     named = F.contains("content", F.concat(F.lit("Finding: `"), "id", F.lit("`")))
     return f.withColumn("error", F.when(F.col("content").isNull(), "no report").when(~named, "report does not name its finding")) \
-        .filter("error is not null").select("candidate_id", "error")
+        .filter("error is not null").select(*keys, "error")
 
 
 # ---- tickets and advisories ---------------------------------------------------------------------------

@@ -15,6 +15,6 @@ def triage_claims(imported: DataFrame, files: DataFrame, candidates: DataFrame)
     declared = manifests.manifest_dependencies(files)
     evidence = tr.dependency_evidence(matched, declared, manifests.lock_dependencies(files, declared))
     policy = files.filter(F.col("path").isin("SECURITY.md", ".github/SECURITY.md"))
-    answer = cl.runtime_boundary(policy).agg(F.bool_or("runtime_in_scope").alias("yes")).first()  # one row: a yes or no
-    items = tr.dependency_status(matched, evidence)
-    return tr.stack_rank(tr.triage_backlog(items, F.lit(bool(answer.yes))))
+    items = tr.dependency_status(matched, evidence).join(cl.runtime_boundary(policy), "scan_id", "left")
+    judged = tr.triage_backlog(items, F.coalesce("runtime_in_scope", F.lit(False)))
+    return tr.stack_rank(judged.drop("runtime_in_scope"))

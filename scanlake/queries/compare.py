@@ -148,10 +148,10 @@ def oversize_documents(spark, sf):
 
 
 @query("receipt_gaps", """
-with c as (select user_id || ':' || cast(cast(ts as date) as varchar) as candidate_id, event_type, value from events),
-g as (select candidate_id, bool_or(event_type = 'signup') as d, bool_or(event_type = 'view') as v, bool_or(event_type = 'click') as a, max(value) >= 20 as rep from c group by all)
-select candidate_id, 'no discovery receipt' as error from g where not d union all select candidate_id, 'no validation receipt' from g where not v
-union all select candidate_id, 'no attack-path receipt' from g where rep and not a""")
+with c as (select 'u' || user_id as scan_id, user_id % 5 || ':' || cast(cast(ts as date) as varchar) as candidate_id, event_type, value from events),
+g as (select scan_id, candidate_id, bool_or(event_type = 'signup') as d, bool_or(event_type = 'view') as v, bool_or(event_type = 'click') as a, max(value) >= 20 as rep from c group by all)
+select scan_id, candidate_id, 'no discovery receipt' as error from g where not d union all select scan_id, candidate_id, 'no validation receipt' from g where not v
+union all select scan_id, candidate_id, 'no attack-path receipt' from g where rep and not a""")
 def receipt_gaps(spark, sf):
     from .ledger import cands, log
     return cp.receipt_gaps(cands(spark, sf), log(spark, sf))
@@ -165,26 +165,26 @@ def stale_digests(spark, sf):
 
 
 @query("remediation_verdicts", """
-with f as (select l_orderkey, l_linenumber, l_suppkey, l_returnflag as rule_id, l_partkey as file from lineitem where l_discount < 0.05),
-r as (select distinct l_returnflag as rule_id, l_partkey as file from lineitem where l_discount >= 0.05)
-select l_orderkey, l_linenumber, l_suppkey, case when r.file is not null then 'still_detected' else 'not_detected' end as verdict from f left join r using (rule_id, file)""")
+with f as (select l_orderkey, l_linenumber, l_suppkey, l_linestatus as scan_id, l_returnflag as rule_id, l_partkey as file from lineitem where l_discount < 0.05),
+r as (select distinct l_linestatus as scan_id, l_returnflag as rule_id, l_partkey as file from lineitem where l_discount >= 0.05)
+select l_orderkey, l_linenumber, l_suppkey, case when r.file is not null then 'still_detected' else 'not_detected' end as verdict from f left join r using (scan_id, rule_id, file)""")
 def remediation_verdicts(spark, sf):
     li = v.table(spark, sf, "lineitem")
-    f = li.filter("l_discount < 0.05").selectExpr("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag as rule_id", "l_partkey as file")
-    r = li.filter("l_discount >= 0.05").select(F.col("l_returnflag").alias("rule_id"), F.array(F.struct(F.col("l_partkey").alias("file"))).alias("locations"))
+    f = li.filter("l_discount < 0.05").selectExpr("l_orderkey", "l_linenumber", "l_suppkey", "l_linestatus as scan_id", "l_returnflag as rule_id", "l_partkey as file")
+    r = li.filter("l_discount >= 0.05").select(F.col("l_linestatus").alias("scan_id"), F.col("l_returnflag").alias("rule_id"), F.array(F.struct(F.col("l_partkey").alias("file"))).alias("locations"))
     return cp.remediation_verdict(f, r).select("l_orderkey", "l_linenumber", "l_suppkey", "verdict")
 
 
 @query("safe_rewrites", f"""
-with files as (select 'f' || doc_id as path, case when lang = 'en' then 'verify = False  x' when lang = 'fr' then 'rejectUnauthorized :  false' else '"verify_signature": False' end || chr(10) || text as content, lang from documents)
-select path, sha256(case when lang = 'en' then replace(content, 'verify = False  x', 'verify = True  x') when lang = 'fr' then replace(content, 'rejectUnauthorized :  false', 'rejectUnauthorized: true')
+with files as (select 'd' || doc_id as scan_id, 'f' || doc_id % 10 as path, case when lang = 'en' then 'verify = False  x' when lang = 'fr' then 'rejectUnauthorized :  false' else '"verify_signature": False' end || chr(10) || text as content, lang from documents)
+select scan_id, path, sha256(case when lang = 'en' then replace(content, 'verify = False  x', 'verify = True  x') when lang = 'fr' then replace(content, 'rejectUnauthorized :  false', 'rejectUnauthorized: true')
   else replace(content, '"verify_signature": False', '"verify_signature": True') end) as new_sha from files""")
 def safe_rewrites(spark, sf):
     d = v.table(spark, sf, "documents")
     head = F.when(F.col("lang") == "en", "verify = False  x").when(F.col("lang") == "fr", "rejectUnauthorized :  false").otherwise('"verify_signature": False')
-    files = d.select(F.concat(F.lit("f"), "doc_id").alias("path"), F.concat_ws("\n", head, "text").alias("content"), "lang")
-    found = files.select(F.col("path").alias("file"), F.when(F.col("lang").isin("en", "fr"), "tls.verification.disabled").otherwise("jwt.verification.disabled").alias("rule_id"))
-    return cp.safe_rewrites(files, found).select("path", tx.sha256(F.col("new_content")).alias("new_sha"))
+    files = d.select(F.concat(F.lit("d"), "doc_id").alias("scan_id"), F.concat(F.lit("f"), F.col("doc_id") % 10).alias("path"), F.concat_ws("\n", head, "text").alias("content"), "lang")
+    found = files.select("scan_id", F.col("path").alias("file"), F.when(F.col("lang").isin("en", "fr"), "tls.verification.disabled").otherwise("jwt.verification.disabled").alias("rule_id"))
+    return cp.safe_rewrites(files, found).select("scan_id", "path", tx.sha256(F.col("new_content")).alias("new_sha"))
 
 
 @query("applied_replacements", f"""
@@ -196,7 +196,7 @@ def applied_replacements(spark, sf):
     files = v.files(spark, sf)
     lines = tx.split_lines(F.col("content"))
     second = F.coalesce(F.get(lines, F.lit(1)), F.lit("none"))
-    req = files.select(F.col("path").alias("request_id"), "path", F.lit(2).alias("start_line"), F.lit(2).alias("end_line"),
+    req = files.select("scan_id", F.col("path").alias("request_id"), "path", F.lit(2).alias("start_line"), F.lit(2).alias("end_line"),
                        F.when(F.endswith("path", F.lit(".fr")) & (second != ""), F.concat(second, F.lit("!"))).otherwise(second).alias("expected_text"),
                        F.lit("new line").alias("replacement_text"), tx.sha256(F.col("content")).alias("base_sha256"))
     out = cp.apply_replacements(files, req)
@@ -208,5 +208,5 @@ with files as ({v.FILES_SQL}), l as (select path, string_split_regex(content, '\
 select path, 2 as from_line, least(4, len(ls)) as to_line, sha256(coalesce(array_to_string(ls[2:4], chr(10)), '')) as text_sha from l""")
 def source_ranges(spark, sf):
     files = v.files(spark, sf)
-    req = files.select("path", F.lit(2).alias("start_line"), F.lit(4).alias("end_line"))
+    req = files.select("scan_id", "path", F.lit(2).alias("start_line"), F.lit(4).alias("end_line"))
     return cl.read_range(files, req).select("path", "from_line", "to_line", tx.sha256(F.col("text")).alias("text_sha"))

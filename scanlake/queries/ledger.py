@@ -1,4 +1,5 @@
-"""Ledger folds and workflow state; events stand for log rows, a (user, day) pair for a candidate."""
+"""Ledger folds and workflow state; events stand for log rows, a user for a scan, and days for
+candidates, whose names are the same in many scans."""
 
 from __future__ import annotations
 
@@ -10,12 +11,12 @@ from ..scale import last_known, lagged, ranked
 from .registry import query
 
 PHASE = "case event_type when 'signup' then 'discovery' when 'view' then 'validation' when 'click' then 'attack_path' when 'purchase' then 'finalization' else 'other' end"
-LOG_SQL = f"log as (select event_id, user_id || ':' || cast(cast(ts as date) as varchar) as candidate_id, 'u' || user_id as scan_id, {PHASE} as phase, ts as recorded_at, event_id as seq, value, event_type from events)"
+LOG_SQL = f"log as (select event_id, user_id % 5 || ':' || cast(cast(ts as date) as varchar) as candidate_id, 'u' || user_id as scan_id, {PHASE} as phase, ts as recorded_at, event_id as seq, value, event_type from events)"
 
 
 def log(spark, sf):
     return v.table(spark, sf, "events").selectExpr(
-        "event_id", "concat(user_id, ':', cast(cast(ts as date) as string)) as candidate_id", "concat('u', user_id) as scan_id", f"{PHASE} as phase",
+        "event_id", "concat(user_id % 5, ':', cast(cast(ts as date) as string)) as candidate_id", "concat('u', user_id) as scan_id", f"{PHASE} as phase",
         "ts as recorded_at", "event_id as seq", "value", "event_type")
 
 
@@ -58,26 +59,26 @@ def claim_expiry(spark, sf):
                     lg.lease_seconds(F.floor(F.col("value") * 1000)).alias("lease"))
 
 
-CANDS_SQL = "cands as (select candidate_id, any_value(scan_id) as scan_id, case when max(value) >= 20 then 'reportable' else 'deferred' end as disposition from log group by candidate_id)"
+CANDS_SQL = "cands as (select scan_id, candidate_id, case when max(value) >= 20 then 'reportable' else 'deferred' end as disposition from log group by scan_id, candidate_id)"
 
 
 def cands(spark, sf):
-    return log(spark, sf).groupBy("candidate_id").agg(F.any_value("scan_id").alias("scan_id"),
-                                                      F.when(F.max("value") >= 20, "reportable").otherwise("deferred").alias("disposition"))
+    return log(spark, sf).groupBy("scan_id", "candidate_id").agg(
+        F.when(F.max("value") >= 20, "reportable").otherwise("deferred").alias("disposition"))
 
 
 @query("pending_candidates", f"""
 with {LOG_SQL}, {CANDS_SQL}
-select c.candidate_id, count(*) as n_rows, string_agg(distinct phase, ',' order by phase) as stages
-from cands c join log l using (candidate_id) group by c.candidate_id having not bool_or(phase = 'validation')""")
+select scan_id, candidate_id, count(*) as n_rows, string_agg(distinct phase, ',' order by phase) as stages
+from cands c join log l using (scan_id, candidate_id) group by scan_id, candidate_id having not bool_or(phase = 'validation')""")
 def pending_candidates(spark, sf):
-    return lg.pending(cands(spark, sf).select("candidate_id"), log(spark, sf))
+    return lg.pending(cands(spark, sf).select("scan_id", "candidate_id"), log(spark, sf))
 
 
 @query("finalize_check", f"""
 with {TASKS_SQL}, {CANDS_SQL},
-s as (select candidate_id, bool_or(phase = 'validation') as v, bool_or(phase = 'attack_path') as a from log group by all),
-m as (select scan_id, sum(case when not v or (disposition = 'reportable' and not a) then 1 else 0 end) as missing from cands join s using (candidate_id) group by scan_id),
+s as (select scan_id, candidate_id, bool_or(phase = 'validation') as v, bool_or(phase = 'attack_path') as a from log group by all),
+m as (select scan_id, sum(case when not v or (disposition = 'reportable' and not a) then 1 else 0 end) as missing from cands join s using (scan_id, candidate_id) group by scan_id),
 o as (select scan_id, sum(case when status in ('pending', 'claimed') then 1 else 0 end) as open_tasks from tasks group by scan_id),
 sc as (select scan_id, min(value) < 1 as complete from log group by scan_id)
 select scan_id, missing, open_tasks, case when missing > 0 or open_tasks > 0 then 'blocked' when complete then 'completed' else 'incomplete' end as lifecycle
@@ -136,28 +137,28 @@ def runtime_receipt_errors(spark, sf):
 
 @query("applied_validations", f"""
 with {LOG_SQL}, {CANDS_SQL},
-vals as (select candidate_id, arg_max(case when value >= 15 then 'reportable' when value >= 5 then 'suppressed' else 'deferred' end, (recorded_at, seq)) as conclusion,
+vals as (select scan_id, candidate_id, arg_max(case when value >= 15 then 'reportable' when value >= 5 then 'suppressed' else 'deferred' end, (recorded_at, seq)) as conclusion,
                 arg_max(case when value < 10 then 'static' when value < 20 then 'test' else 'runtime' end, (recorded_at, seq)) as method,
-                arg_max('seen ' || seq, (recorded_at, seq)) as direct from log where phase = 'validation' group by candidate_id)
-select candidate_id, coalesce(conclusion, 'discovered') as disposition, case when conclusion is null then 'low' else 'medium' end as confidence,
+                arg_max('seen ' || seq, (recorded_at, seq)) as direct from log where phase = 'validation' group by scan_id, candidate_id)
+select scan_id, candidate_id, coalesce(conclusion, 'discovered') as disposition, case when conclusion is null then 'low' else 'medium' end as confidence,
   method || ' validation: ' || direct as validation, case when method = 'runtime' then 'runtime' when method = 'test' then 'test' when method is not null then 'validation' end as evidence_kind,
   case when conclusion = 'reportable' then 'attack_path' end as next_task, case when conclusion = 'reportable' then 'attack_path' else 'validation' end as lifecycle
-from cands left join vals using (candidate_id)""")
+from cands left join vals using (scan_id, candidate_id)""")
 def applied_validations(spark, sf):
     vals = log(spark, sf).filter("phase = 'validation'").selectExpr(
-        "candidate_id", "recorded_at", "seq", "case when value >= 15 then 'reportable' when value >= 5 then 'suppressed' else 'deferred' end as conclusion",
+        "scan_id", "candidate_id", "recorded_at", "seq", "case when value >= 15 then 'reportable' when value >= 5 then 'suppressed' else 'deferred' end as conclusion",
         "case when value < 10 then 'static' when value < 20 then 'test' else 'runtime' end as method", "'medium' as confidence", "concat('seen ', seq) as direct_evidence")
-    f = cands(spark, sf).select("candidate_id", "disposition", F.lit("low").alias("confidence"))
+    f = cands(spark, sf).select("scan_id", "candidate_id", "disposition", F.lit("low").alias("confidence"))
     return lg.apply_validations(f, vals)
 
 
 @query("applied_attack_paths", f"""
 with {LOG_SQL}, {CANDS_SQL},
-p as (select candidate_id, count(*) as n_paths, arg_max('flow ' || seq, (recorded_at, seq)) as flow from log where phase = 'attack_path' group by all)
-select candidate_id, disposition, n_paths, case when disposition = 'reportable' then flow || chr(10) || chr(10) || 'Attacker: a' || chr(10) || 'Outcome: o' end as attack_path,
-       case when disposition = 'reportable' then 'reporting' else 'refused' end as lifecycle from cands join p using (candidate_id)""")
+p as (select scan_id, candidate_id, count(*) as n_paths, arg_max('flow ' || seq, (recorded_at, seq)) as flow from log where phase = 'attack_path' group by all)
+select scan_id, candidate_id, disposition, n_paths, case when disposition = 'reportable' then flow || chr(10) || chr(10) || 'Attacker: a' || chr(10) || 'Outcome: o' end as attack_path,
+       case when disposition = 'reportable' then 'reporting' else 'refused' end as lifecycle from cands join p using (scan_id, candidate_id)""")
 def applied_attack_paths(spark, sf):
-    paths = log(spark, sf).filter("phase = 'attack_path'").selectExpr("candidate_id", "recorded_at", "seq", "concat('flow ', seq) as dataflow", "'a' as attacker", "'o' as outcome")
+    paths = log(spark, sf).filter("phase = 'attack_path'").selectExpr("scan_id", "candidate_id", "recorded_at", "seq", "concat('flow ', seq) as dataflow", "'a' as attacker", "'o' as outcome")
     return lg.apply_attack_paths(cands(spark, sf), paths)
 
 
@@ -232,9 +233,9 @@ def remediation_audit(spark, sf):
 
 
 @query("resumed_tasks", f"""
-with {TASKS_SQL}, done as (select distinct candidate_id, phase from log where value >= 30)
+with {TASKS_SQL}, done as (select distinct scan_id, candidate_id, phase from log where value >= 30)
 select id, case when status = 'cancelled' and d.phase is null then 'pending' else status end as status
-from tasks t left join done d on d.candidate_id = t.candidate_id and d.phase = t.phase""")
+from tasks t left join done d on d.scan_id = t.scan_id and d.candidate_id = t.candidate_id and d.phase = t.phase""")
 def resumed_tasks(spark, sf):
     return lg.resume_tasks(tasks(spark, sf), log(spark, sf).filter("value >= 30")).select("id", "status")
 
@@ -247,11 +248,11 @@ def cancelled_tasks(spark, sf):
 
 
 @query("bulk_retry", """
-with a as (select 'repo/u' || user_id as path, ts as recorded_at, event_id as seq, case when event_type = 'error' then 'failed' when event_type = 'signup' then 'pending' else 'completed' end as status from events)
-select path, arg_max(status, (recorded_at, seq)) as status, sum(case when status <> 'pending' then 1 else 0 end) as attempts from a group by path having arg_max(status, (recorded_at, seq)) <> 'completed'""")
+with a as (select 'u' || user_id as scan_id, 'repo/u' || user_id % 5 as path, ts as recorded_at, event_id as seq, case when event_type = 'error' then 'failed' when event_type = 'signup' then 'pending' else 'completed' end as status from events)
+select scan_id, path, arg_max(status, (recorded_at, seq)) as status, sum(case when status <> 'pending' then 1 else 0 end) as attempts from a group by scan_id, path having arg_max(status, (recorded_at, seq)) <> 'completed'""")
 def bulk_retry(spark, sf):
     a = v.table(spark, sf, "events").selectExpr(
-        "concat('repo/u', user_id) as path", "ts as recorded_at", "event_id as seq", "case when event_type = 'error' then 'failed' when event_type = 'signup' then 'pending' else 'completed' end as status")
+        "concat('u', user_id) as scan_id", "concat('repo/u', user_id % 5) as path", "ts as recorded_at", "event_id as seq", "case when event_type = 'error' then 'failed' when event_type = 'signup' then 'pending' else 'completed' end as status")
     return lg.bulk_retry(a)[1]
 
 

@@ -228,9 +228,9 @@ def coverage_ledger(spark, sf):
 with {REGIONS_SQL}, c as (select user_id, event_id, (select min(path) from mixed) as nothing, cast(floor(value) as int) + 1 as line from events), d as (select doc_id, source || '/' || doc_id || '.py' as path from documents)
 select c.event_id, r.region_id from c join d on d.doc_id = c.user_id join regions r on r.path = d.path and c.line between r.start_line and r.end_line""")
 def candidates_in_scope(spark, sf):
-    d = v.table(spark, sf, "documents").select("doc_id", F.concat("source", F.lit("/"), "doc_id", F.lit(".py")).alias("path"))
+    d = v.table(spark, sf, "documents").select("doc_id", F.col("source").alias("scan_id"), F.concat("source", F.lit("/"), "doc_id", F.lit(".py")).alias("path"))
     e = v.table(spark, sf, "events")
-    c = e.join(d, e.user_id == d.doc_id).select("event_id", "path", (F.floor("value").cast("int") + 1).alias("line"))
+    c = e.join(d, e.user_id == d.doc_id).select("event_id", "scan_id", "path", (F.floor("value").cast("int") + 1).alias("line"))
     return pl.in_scope(c, _regions(spark, sf), 20).select("event_id", "region_id")
 
 
@@ -263,13 +263,13 @@ def _entries(spark, sf):
 
 @query("source_inventory", f"with {ENTRIES_SQL} select path, state from ef")
 def source_inventory(spark, sf):
-    return corpus.source_inventory(_entries(spark, sf), max_files=100).select("path", "state")
+    return corpus.source_inventory(_entries(spark, sf), max_bytes=262_144, max_files=100).select("path", "state")
 
 
 @query("inventory_summary", f"""with {ENTRIES_SQL} select 'repo' as scan_id, sum(case when state = 'selected' then 1 else 0 end) as files,
   sum(case when state in ('symlink', 'oversize') then 1 else 0 end) + count(distinct case when state = 'ignored_directory' then case when path like 'dist%' then 'dist' else 'lib/node_modules' end end) as skipped, not bool_or(state = 'over_limit') as complete from ef""")
 def inventory_summary(spark, sf):
-    return corpus.inventory_summary(corpus.source_inventory(_entries(spark, sf), max_files=100))
+    return corpus.inventory_summary(corpus.source_inventory(_entries(spark, sf), max_bytes=262_144, max_files=100))
 
 
 @query("policy_chains", """

@@ -130,10 +130,10 @@ def section_errors(spark, sf):
 
 
 @query("projection_errors", f"""
-with {F_SQL} select candidate_id, case when confidence = 'low' then 'no report' else 'report does not name its finding' end as error from f where disposition = 'reportable' and confidence in ('low', 'medium')""")
+with {F_SQL} select scan_id, candidate_id, case when confidence = 'low' then 'no report' else 'report does not name its finding' end as error from f where disposition = 'reportable' and confidence in ('low', 'medium')""")
 def projection_errors(spark, sf):
     f = findings(spark, sf)
-    reports = f.filter("confidence <> 'low'").select("candidate_id", F.when(F.col("confidence") == "high", F.concat(F.lit("- Finding: `"), "id", F.lit("`"))).otherwise("- Finding: none").alias("content"))
+    reports = f.filter("confidence <> 'low'").select("scan_id", "candidate_id", F.when(F.col("confidence") == "high", F.concat(F.lit("- Finding: `"), "id", F.lit("`"))).otherwise("- Finding: none").alias("content"))
     return rp.projection_errors(f, reports)
 
 

@@ -21,6 +21,10 @@ def _ver():
     return F.concat_ws(".", part(F.floor(F.col("l_quantity") / 10)), F.col("l_linenumber").cast("string"), part(F.floor(F.col("l_discount") * 100)))
 
 
+def _scan():
+    return F.concat(F.lit("s"), F.col("l_orderkey") % 3).alias("scan_id")
+
+
 def _range():
     return F.expr(RANGE_SQL)
 
@@ -44,16 +48,16 @@ def parsed_versions(spark, sf):
 
 
 # ---- claims --------------------------------------------------------------------------------------
-# One claim per order. Its locations are the parts of its line items (a handful per order).
+# One claim per order, in one of three scans that share paths, rules and components. Its locations are the parts of its line items (a handful per order).
 TITLE_SQL = "case o_orderpriority when '1-URGENT' then 'Critical SSRF in fetch' when '2-HIGH' then 'High path traversal' when '3-MEDIUM' then 'medium TLS certificate issue' else 'odd report' end"
-CLAIMS_SQL = f"""claims as (select o_orderkey as id, {TITLE_SQL} as title from orders),
-fam as (select id, title, case when title like '%SSRF%' then 'ssrf-request-sink' when title like '%traversal%' then 'path-traversal-sink' when title like '%TLS%' then 'tls-verification-disabled' end as family from claims),
-locs as (select l_orderkey as id, 'src/p' || l_partkey || '.py' as file, case when l_linestatus = 'F' then l_linenumber end as line from lineitem),
-cand as (select case when l_returnflag = 'R' then 'tls-verification-disabled' when l_returnflag = 'A' then 'ssrf-request-sink' else 'path-traversal-sink' end as rule,
+CLAIMS_SQL = f"""claims as (select 's' || o_orderkey % 3 as scan_id, o_orderkey as id, {TITLE_SQL} as title from orders),
+fam as (select scan_id, id, title, case when title like '%SSRF%' then 'ssrf-request-sink' when title like '%traversal%' then 'path-traversal-sink' when title like '%TLS%' then 'tls-verification-disabled' end as family from claims),
+locs as (select 's' || l_orderkey % 3 as scan_id, l_orderkey as id, 'src/p' || l_partkey || '.py' as file, case when l_linestatus = 'F' then l_linenumber end as line from lineitem),
+cand as (select 's' || l_orderkey % 3 as scan_id, case when l_returnflag = 'R' then 'tls-verification-disabled' when l_returnflag = 'A' then 'ssrf-request-sink' else 'path-traversal-sink' end as rule,
    'src/p' || l_partkey || '.py' as file, l_linenumber as line, max(case when l_tax >= 0.04 then 1 else 0 end) as ctx from lineitem where l_quantity >= 25 group by all),
-hits as (select l.id, count(*) as exact, sum(ctx) as ctx from locs l join fam using (id) join cand c on c.file = l.file and c.rule = family and (l.line is null or l.line = c.line) group by l.id),
-fils as (select 'src/p' || p_partkey || '.py' as file from part where p_size <= 45),
-rd as (select id, count(*) as readable from locs join fils using (file) group by id), nl as (select id, count(*) as n_locations from locs group by id),
+hits as (select l.id, count(*) as exact, sum(ctx) as ctx from locs l join fam using (id) join cand c on c.scan_id = l.scan_id and c.file = l.file and c.rule = family and (l.line is null or l.line = c.line) group by l.id),
+fils as (select 's' || k as scan_id, 'src/p' || p_partkey || '.py' as file from part, range(3) t(k) where p_size <= 45 - 5 * k),
+rd as (select id, count(*) as readable from locs join fils using (scan_id, file) group by id), nl as (select id, count(*) as n_locations from locs group by id),
 m as (select fam.*, coalesce(n_locations, 0) as n_locations, coalesce(readable, 0) as n_readable, coalesce(exact, 0) as exact_matches, coalesce(ctx, 0) as context_matches
   from fam left join nl using (id) left join rd using (id) left join hits using (id)),
 st as (select *, case when exact_matches > 0 then 'affected' when family is not null and n_locations > 0 and n_readable = n_locations then 'not_affected' else 'needs_information' end as status from m)"""
@@ -63,7 +67,7 @@ def claims(spark, sf):
     li = v.table(spark, sf, "lineitem")
     locs = li.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.struct(
         F.concat(F.lit("src/p"), "l_partkey", F.lit(".py")).alias("file"), F.when(F.col("l_linestatus") == "F", F.col("l_linenumber")).alias("line"))).alias("locations"))
-    o = v.table(spark, sf, "orders").selectExpr("o_orderkey as id", f"{TITLE_SQL} as title", "'' as description", "cast(null as string) as cwe", "cast(null as string) as rule_id", "cast(null as string) as impact")
+    o = v.table(spark, sf, "orders").selectExpr("concat('s', o_orderkey % 3) as scan_id", "o_orderkey as id", f"{TITLE_SQL} as title", "'' as description", "cast(null as string) as cwe", "cast(null as string) as rule_id", "cast(null as string) as impact")
     return tr.with_families(o.join(locs, "id", "left").withColumn("locations", F.coalesce("locations", F.array().cast("array<struct<file:string,line:int>>"))))
 
 
@@ -71,8 +75,9 @@ def local(spark, sf):
     li = v.table(spark, sf, "lineitem").filter("l_quantity >= 25")
     rule = F.when(F.col("l_returnflag") == "R", "tls-verification-disabled").when(F.col("l_returnflag") == "A", "ssrf-request-sink").otherwise("path-traversal-sink")
     note = F.when(F.col("l_tax") >= 0.04, F.array(pt.evidence("context", F.lit("x")))).otherwise(F.array(pt.evidence("pattern", F.lit("x"))))
-    cand = li.select(rule.alias("rule"), F.concat(F.lit("src/p"), "l_partkey", F.lit(".py")).alias("file"), F.col("l_linenumber").alias("line"), note.alias("evidence"))
-    files = v.table(spark, sf, "part").filter("p_size <= 45").select(F.concat(F.lit("src/p"), "p_partkey", F.lit(".py")).alias("path"))
+    cand = li.select(_scan(), rule.alias("rule"), F.concat(F.lit("src/p"), "l_partkey", F.lit(".py")).alias("file"), F.col("l_linenumber").alias("line"), note.alias("evidence"))
+    parts = v.table(spark, sf, "part").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).filter("p_size <= 45 - 5 * k")
+    files = parts.select(F.concat(F.lit("s"), "k").alias("scan_id"), F.concat(F.lit("src/p"), "p_partkey", F.lit(".py")).alias("path"))
     return cand, files
 
 
@@ -89,33 +94,33 @@ def matched_claims(spark, sf):
 
 # ---- dependencies ------------------------------------------------------------------------------------
 # Parts are components; line items are manifest rows (file = supplier), orders claim a component range.
-DEPS_SQL = f"""ev as (select distinct 'c' || l_partkey as component, case when l_suppkey < 3 then 'docs/' else 'app/' end || 's' || l_suppkey || '/package.json' as file,
+DEPS_SQL = f"""ev as (select distinct 's' || l_orderkey % 3 as scan_id, 'c' || l_partkey as component, case when l_suppkey < 3 then 'docs/' else 'app/' end || 's' || l_suppkey || '/package.json' as file,
    case when l_discount >= 0.08 then null else {VER_SQL} end as version, case when l_suppkey < 3 then 'development' when l_tax >= 0.05 then 'development' when l_tax >= 0.01 then 'runtime' else 'unknown' end as scope from lineitem),
-cl as (select o_orderkey as id, 'c' || o_custkey as component, case o_orderstatus when 'F' then 'advisory' when 'O' then 'generic' else 'freeform' end as source_type,
+cl as (select 's' || o_orderkey % 3 as scan_id, o_orderkey as id, 'c' || o_custkey as component, case o_orderstatus when 'F' then 'advisory' when 'O' then 'generic' else 'freeform' end as source_type,
    case when o_orderpriority <> '5-LOW' then '>=1.0.0 <3.0.0' end as affected_version from orders),
 el as (select *, source_type = 'advisory' or affected_version is not null as eligible from cl),
-vs as (select distinct component, version, scope from ev),
-h as (select *, case when affected_version is not null and version is not null then cast(split_part(version, '.', 1) as int) between 1 and 2 end as hit from (select distinct component, affected_version from el where eligible) x left join vs using (component)),
-g as (select component, affected_version, count(scope) as n, count(version) as nv, sum(case when hit = false then 1 else 0 end) as n_out, bool_or(coalesce(hit, false) and scope = 'runtime') as rt, bool_or(coalesce(hit, false) and scope = 'development') as dev from h group by all),
+vs as (select distinct scan_id, component, version, scope from ev),
+h as (select *, case when affected_version is not null and version is not null then cast(split_part(version, '.', 1) as int) between 1 and 2 end as hit from (select distinct scan_id, component, affected_version from el where eligible) x left join vs using (scan_id, component)),
+g as (select scan_id, component, affected_version, count(scope) as n, count(version) as nv, sum(case when hit = false then 1 else 0 end) as n_out, bool_or(coalesce(hit, false) and scope = 'runtime') as rt, bool_or(coalesce(hit, false) and scope = 'development') as dev from h group by all),
 ds as (select el.id, el.component, case when not eligible then null when n = 0 then 'not_present' when el.affected_version is not null and nv > 0 and n_out = nv then 'outside_affected_range' when rt then 'affected' when dev then 'non_runtime_only' else 'unknown' end as dependency_status
-  from el left join g on g.component = el.component and g.affected_version is not distinct from el.affected_version)"""
+  from el left join g on g.scan_id = el.scan_id and g.component = el.component and g.affected_version is not distinct from el.affected_version)"""
 
 
 def dependency_claims(spark, sf):
-    return v.table(spark, sf, "orders").selectExpr("o_orderkey as id", "concat('c', o_custkey) as component", "case o_orderstatus when 'F' then 'advisory' when 'O' then 'generic' else 'freeform' end as source_type",
+    return v.table(spark, sf, "orders").selectExpr("concat('s', o_orderkey % 3) as scan_id", "o_orderkey as id", "concat('c', o_custkey) as component", "case o_orderstatus when 'F' then 'advisory' when 'O' then 'generic' else 'freeform' end as source_type",
                                                    "case when o_orderpriority <> '5-LOW' then '>=1.0.0 <3.0.0' end as affected_version")
 
 
 def dependencies(spark, sf):
     li = v.table(spark, sf, "lineitem")
-    rows = li.select(F.concat(F.lit("c"), "l_partkey").alias("component"),
+    rows = li.select(_scan(), F.concat(F.lit("c"), "l_partkey").alias("component"),
                      F.concat(F.when(F.col("l_suppkey") < 3, "docs/").otherwise("app/"), F.lit("s"), "l_suppkey", F.lit("/package.json")).alias("file"),
                      F.when(F.col("l_discount") < 0.08, _ver()).alias("version"),
                      F.when(F.col("l_tax") >= 0.05, "development").when(F.col("l_tax") >= 0.01, "runtime").otherwise("unknown").alias("scope"))
     return rows.filter("version is null"), rows.filter("version is not null")
 
 
-@query("dependency_evidence", f"with {DEPS_SQL} select component, file, version, scope from ev where component in (select component from el where eligible)")
+@query("dependency_evidence", f"with {DEPS_SQL} select scan_id, component, file, version, scope from ev semi join (select * from el where eligible) x using (scan_id, component)")
 def dependency_evidence(spark, sf):
     return tr.dependency_evidence(dependency_claims(spark, sf), *dependencies(spark, sf))
 
@@ -139,7 +144,7 @@ sc as (select *, (case when title ilike '%critical%' then 4 when title ilike '%h
 
 
 def backlog(spark, sf):
-    c = claims(spark, sf).join(dependency_claims(spark, sf), "id")
+    c = claims(spark, sf).join(dependency_claims(spark, sf), ["scan_id", "id"])
     m = tr.triage_status(tr.match_imported(c, *local(spark, sf)))
     d = tr.dependency_status(m, tr.dependency_evidence(dependency_claims(spark, sf), *dependencies(spark, sf)))
     return tr.triage_backlog(d, F.lit(True))

@@ -13,13 +13,14 @@ SECTIONS = (("dependencies", "runtime"), ("optionalDependencies", "runtime"), ("
             ("devDependencies", "development"), ("peerDependencies", "unknown"))
 
 
-def _workspace_file(files: DataFrame, names, max_depth: int) -> DataFrame:
+def _workspace_file(files: DataFrame, names, max_depth: int | None) -> DataFrame:
     parts = F.split("path", "/")
     ignored = F.arrays_overlap(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*[F.lit(d) for d in IGNORED_DIRECTORIES]))
-    return files.filter(tx.basename(F.col("path")).isin(list(names)) & ~ignored & (F.size(parts) - 1 <= max_depth))
+    found = files.filter(tx.basename(F.col("path")).isin(list(names)) & ~ignored)
+    return found if max_depth is None else found.filter(F.size(parts) - 1 <= max_depth)
 
 
-def manifest_dependencies(files: DataFrame, max_depth: int = 8) -> DataFrame:
+def manifest_dependencies(files: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(scan, file, component, version, scope): scope by precedence, version from the first section that has one."""
     schema = ", ".join(f"{s} map<string,string>" for s, _ in SECTIONS)
     m = _workspace_file(files, ["package.json"], max_depth).withColumn("m", F.from_json("content", schema)).filter("m is not null")
@@ -34,7 +35,7 @@ def manifest_dependencies(files: DataFrame, max_depth: int = 8) -> DataFrame:
     return e.select("scan_id", "file", "component", version.alias("version"), scope.alias("scope"))
 
 
-def lock_dependencies(files: DataFrame, declared: DataFrame, max_depth: int = 8) -> DataFrame:
+def lock_dependencies(files: DataFrame, declared: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Installed versions; the dev flag gives the scope, else the manifest next to the lockfile, else unknown."""
     names = ["package-lock.json", "npm-shrinkwrap.json"]
     k = _workspace_file(files, names, max_depth).withColumn("m", F.from_json("content", "packages map<string,struct<version:string,dev:boolean>>"))

@@ -67,14 +67,14 @@ def manifest(section, version, dev=False):
 
 
 def claim(spark, **kw):
-    row = dict(id="c1", title="High issue in left", description="x", cwe=None, rule_id=None, source_type="advisory", locations=[], component="left", affected_version=">=1.0.0 <2.0.0", impact=None)
+    row = dict(scan_id="s", id="c1", title="High issue in left", description="x", cwe=None, rule_id=None, source_type="advisory", locations=[], component="left", affected_version=">=1.0.0 <2.0.0", impact=None)
     row.update(kw)
-    schema = "id string, title string, description string, cwe string, rule_id string, source_type string, locations array<struct<file:string,line:int>>, component string, affected_version string, impact string"
+    schema = "scan_id string, id string, title string, description string, cwe string, rule_id string, source_type string, locations array<struct<file:string,line:int>>, component string, affected_version string, impact string"
     return spark.createDataFrame([tuple(row[c.split()[0]] for c in schema.replace("struct<file:string,line:int>", "s").split(", "))], schema)
 
 
 def test_backlog_dependency_verdicts(spark, corpus):
-    none = spark.createDataFrame([], "rule string, file string, line int, evidence array<struct<kind:string,detail:string,location:struct<file:string,line:int,excerpt:string,role:string>>>")
+    none = spark.createDataFrame([], "scan_id string, rule string, file string, line int, evidence array<struct<kind:string,detail:string,location:struct<file:string,line:int,excerpt:string,role:string>>>")
     for files, status, verdict in ((manifest("dependencies", "1.4.0"), "affected", "confirmed"), ({"a.sh": "x", "SECURITY.md": "The production service is in scope.\n"}, "not_present", "not_actionable"),
                                    (manifest("dependencies", "2.4.0"), "outside_affected_range", "not_actionable"), (manifest("devDependencies", "1.4.0", True), "non_runtime_only", "needs_review")):
         # a claim without a location has no surface, so a location in product code carries the boundary
