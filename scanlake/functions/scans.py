@@ -14,3 +14,11 @@ def scan_keys(*tables: DataFrame) -> list[str]:
     if any(has) and not all(has):
         raise ValueError("scan_id is in some of the tables only: " + "; ".join(", ".join(t.columns) for t, h in zip(tables, has) if not h))
     return ["scan_id"] if all(has) else []
+
+
+def job_keys(*tables: DataFrame) -> list[str]:
+    """The same for review jobs: ``["job_id"]`` where every table has it, ``[]`` where none does."""
+    has = ["job_id" in t.columns for t in tables]
+    if any(has) and not all(has):
+        raise ValueError("job_id is in some of the tables only")
+    return ["job_id"] if all(has) else []

@@ -150,8 +150,9 @@ def joined(*parts: Column | str) -> Column:
     return F.concat_ws(":", *cols)
 
 
-def candidate_id(rule: Column, file: Column, line: Column) -> Column:
-    return F.concat(F.lit("cand_"), F.substring(sha256(joined(rule, file, line)), 1, 16))
+def candidate_id(scan_id: Column, rule: Column, file: Column, line: Column) -> Column:
+    """128 bits over scan, rule and place, so that neither two scans nor chance make two candidates one."""
+    return F.concat(F.lit("cand_"), F.substring(sha256(joined(scan_id, rule, file, line)), 1, 32))
 
 
 def finding_fingerprint(target: Column, rule: Column, anchor: Column, instance: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as tx
+from ..functions.scans import job_keys
 from ..scale import stable
 
 CANDIDATE_KEY = ["scan_id", "rule", "file", "line", "excerpt"]
@@ -50,7 +51,7 @@ def to_findings(candidates: DataFrame) -> DataFrame:
     own = F.struct(F.col("file"), F.col("line"), F.col("excerpt"), F.lit("root_control").alias("role"))
     places = F.concat(F.array(own), F.filter(F.transform("evidence", lambda e: e.location), lambda x: x.isNotNull()))
     return candidates.select(
-        "scan_id", tx.candidate_id(F.col("rule"), F.col("file"), F.col("line")).alias("candidate_id"),
+        "scan_id", tx.candidate_id(F.col("scan_id"), F.col("rule"), F.col("file"), F.col("line")).alias("candidate_id"),
         F.replace(F.col("rule"), F.lit("-"), F.lit(".")).alias("rule_id"),
         F.replace(F.col("rule"), F.lit("-"), F.lit(" ")).alias("title"), "severity",
         F.when(contextual & (F.col("rule") == "tls-verification-disabled"), "medium").otherwise("low").alias("confidence"),
@@ -154,10 +155,10 @@ def report_fingerprint(rule: Column, file: Column, line: Column, shown: Column,
 
 
 def remediation_identity(stated: Column, root_cause: Column) -> Column:
-    """The stated identity, or the root cause in one lower-case line; at most 240 characters."""
+    """The stated identity, or the root cause in one lower-case line, in full."""
     own = tx.trim(F.coalesce(stated, F.lit("")))
     derived = F.concat(F.lit("root-control:"), F.lower(tx.squeeze(root_cause)))
-    return F.substring(F.when(own != "", own).otherwise(derived), 1, 240)
+    return F.when(own != "", own).otherwise(derived)
 
 
 def merge_reports(reports: DataFrame, job_id: str = "deep") -> DataFrame:
@@ -202,47 +203,50 @@ def apply_merges(candidates: DataFrame, members: DataFrame, merges: DataFrame) -
 
 
 def round_status(workers: DataFrame) -> DataFrame:
-    """A round is complete only when every worker completed and reported."""
+    """A round (of a job) is complete only when every worker completed and reported."""
     done = (F.col("status") == "completed") & F.col("has_report")
-    return workers.groupBy("round").agg(
+    return workers.groupBy(*job_keys(workers), "round").agg(
         F.count("*").alias("n_workers"),
         F.when(F.bool_and(done), "complete").otherwise("incomplete").alias("status"))
 
 
 def canonical_candidates(candidates: DataFrame, sightings: DataFrame, rounds: DataFrame) -> DataFrame:
-    """Not absorbed, and seen by a worker of a complete round. ``sightings(id, round)``."""
-    good = sightings.join(rounds.filter("status = 'complete'").select("round"), "round", "left_semi").select("id").distinct()
-    return candidates.filter("absorbed_by is null").join(good, "id", "left_semi")
+    """Not absorbed, and seen by a worker of a complete round. ``sightings(id, round)``; with ``job_id`` all within one job."""
+    job = job_keys(candidates, sightings, rounds)
+    good = sightings.join(rounds.filter("status = 'complete'").select(*job, "round"), [*job, "round"], "left_semi").select(*job, "id").distinct()
+    return candidates.filter("absorbed_by is null").join(good, [*job, "id"], "left_semi")
 
 
-def round_saturation(sightings: DataFrame, rounds: DataFrame, stop_after: int = 6, max_rounds: int = 10) -> DataFrame:
-    """New fingerprints per complete round, the zero streak, and where the run stops.
+def round_saturation(sightings: DataFrame, rounds: DataFrame, stop_after: int = 6, max_rounds: int | None = None) -> DataFrame:
+    """New fingerprints per complete round, the zero streak, and where the run stops; per job where the tables carry ``job_id``.
 
-    Incomplete rounds count nothing and teach nothing. The window runs over rounds (a handful
-    of rows, at most ``max_rounds`` per job in use), never over sightings.
+    Incomplete rounds count nothing and teach nothing. The windows run over the rounds of one job (a handful
+    of rows), never over sightings. With ``max_rounds`` later rounds are marked ``capped``; none is left out.
     """
-    known = sightings.join(rounds.filter("status = 'complete'").select("round"), "round", "left_semi")
-    first = known.groupBy("fingerprint").agg(F.min("round").alias("round"))
-    fresh = first.groupBy("round").agg(F.count("*").alias("novelty"))
-    total = sightings.groupBy("round").agg(F.countDistinct("fingerprint").alias("candidates"))
-    r = rounds.join(fresh, "round", "left").join(total, "round", "left") \
-        .select("round", "status", F.coalesce("candidates", F.lit(0)).alias("candidates"), F.coalesce("novelty", F.lit(0)).alias("novelty"))
-    w = W.partitionBy(F.lit(1)).orderBy("round")
+    job = job_keys(sightings, rounds)
+    key = [*job, "round"]
+    known = sightings.join(rounds.filter("status = 'complete'").select(*key), key, "left_semi")
+    first = known.groupBy(*job, "fingerprint").agg(F.min("round").alias("round"))
+    fresh = first.groupBy(*key).agg(F.count("*").alias("novelty"))
+    total = sightings.groupBy(*key).agg(F.countDistinct("fingerprint").alias("candidates"))
+    r = rounds.join(fresh, key, "left").join(total, key, "left") \
+        .select(*key, "status", F.coalesce("candidates", F.lit(0)).alias("candidates"), F.coalesce("novelty", F.lit(0)).alias("novelty"))
+    w = W.partitionBy(*(job or [F.lit(1)])).orderBy("round")
     breaks = F.sum(F.when((F.col("status") == "complete") & (F.col("novelty") > 0), 1).otherwise(0)).over(w)
     r = r.withColumn("_island", breaks)
     quiet = F.when((F.col("status") == "complete") & (F.col("novelty") == 0), 1).otherwise(0)
-    r = r.withColumn("streak", F.sum(quiet).over(W.partitionBy("_island").orderBy("round")))
+    r = r.withColumn("streak", F.sum(quiet).over(W.partitionBy(*job, "_island").orderBy("round")))
     done = F.sum(F.when(F.col("status") == "complete", 1).otherwise(0)).over(w)
     r = r.withColumn("_done", done)
     return r.withColumn("state", F.when(F.col("status") != "complete", "incomplete")
                         .when((F.col("novelty") == 0) & (F.col("streak") >= stop_after), "saturated")
-                        .when(F.col("_done") >= max_rounds, "capped").otherwise("running")).drop("_island", "_done")
+                        .when(F.lit(max_rounds is not None) & (F.col("_done") >= (max_rounds or 0)), "capped").otherwise("running")).drop("_island", "_done")
 
 
 def append_candidates(findings: DataFrame, reported: DataFrame, scan_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Reported candidates not yet present, with one ledger row and one validation task each."""
     fresh = reported.dropDuplicates(["fingerprint"]).join(findings.select("fingerprint"), "fingerprint", "left_anti")
-    cand = tx.candidate_id(F.col("rule_id"), F.col("file"), F.col("line"))
+    cand = tx.candidate_id(F.lit(scan_id), F.col("rule_id"), F.col("file"), F.col("line"))
     fresh = fresh.withColumn("candidate_id", cand)
     ledger = fresh.select("candidate_id", F.lit("discovery").alias("phase"), F.lit("discovered").alias("disposition"),
                           F.concat(F.lit("Delegated workers reported "), "rule_id", F.lit(".")).alias("summary"))

@@ -152,12 +152,12 @@ CRED_FILTER = r"""length(value) >= 8 and not regexp_matches(excerpt, '^\s*(?://|
 
 @query("embedded_credentials", f"""
 with {CREDENTIALS_SQL}
-select scan_id, file, line, field, value, excerpt, 'cand_' || left(sha256('hardcoded-secret-marker:' || file || ':' || line), 16) as candidate_id
+select scan_id, file, line, field, value, excerpt, 'cand_' || left(sha256(scan_id || ':hardcoded-secret-marker:' || file || ':' || line), 32) as candidate_id
 from credentials where {CRED_FILTER}""")
 def embedded_credentials(spark, sf):
     found = pt.embedded_credentials(v.files(spark, sf))
     return found.select("scan_id", "file", "line", "field", "value", "excerpt",
-                        tx.candidate_id(F.col("rule"), F.col("file"), F.col("line")).alias("candidate_id"))
+                        tx.candidate_id(F.col("scan_id"), F.col("rule"), F.col("file"), F.col("line")).alias("candidate_id"))
 
 
 @query("credential_mix", f"""

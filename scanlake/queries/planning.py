@@ -192,27 +192,30 @@ def investigation_packets(spark, sf):
     return pl.packets(pl.file_worklist(_mixed(spark, sf))).select("scan_id", "area", "n_paths", F.array_join("entry_points", ",").alias("entry_points"), "attacker")
 
 
-@query("rank_input", f"""with {WORK_SQL} select path, '{{"path":"' || path || '","area":"' || coalesce(signals[1], 'general') || '","preview":""}}' as value from w""")
+@query("rank_input", f"""with {WORK_SQL} select w.path, '{{"path":"' || w.path || '","area":"' || coalesce(signals[1], 'general') || '"}}' as head, length(m.content) > 0 as has_preview from w join mixed m using (scan_id, path)""")
 def rank_input(spark, sf):
-    return pl.rank_input(pl.file_worklist(_mixed(spark, sf)))
+    r = pl.rank_input(pl.file_worklist(_mixed(spark, sf), preview=True))
+    head = F.to_json(F.struct(F.get_json_object("value", "$.path").alias("path"), F.get_json_object("value", "$.area").alias("area")))
+    return r.select("path", head.alias("head"), (F.length(F.get_json_object("value", "$.preview")) > 0).alias("has_preview"))
 
 
-# Orders are regions, line items with a return are closures by a reviewer (the line status), others deferrals.
-COVER_SQL = """wl as (select o_orderkey as region_id from orders where o_orderstatus <> 'P'), rv as (select distinct l_linestatus as worker_id, l_orderkey as region_id from lineitem where l_returnflag <> 'N'),
+# Orders are regions (pending ones under another id, so that some closures lie outside), line items with a return are closures by a reviewer (the line status), others deferrals.
+COVER_SQL = """wl as (select case when o_orderstatus = 'P' then -o_orderkey else o_orderkey end as region_id from orders), rv as (select distinct l_linestatus as worker_id, l_orderkey as region_id from lineitem where l_returnflag <> 'N'),
 df as (select distinct l_linestatus as worker_id, l_orderkey as region_id, case when l_tax < 0.02 then ' x ' else 'too big to read' end as reason from lineitem where l_returnflag = 'N'),
 cl as (select worker_id, region_id from rv union select worker_id, region_id from df), ws as (select distinct worker_id from cl)"""
 
 
 def _coverage(spark, sf):
-    wl = v.table(spark, sf, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("region_id"))
+    wl = v.table(spark, sf, "orders").selectExpr("case when o_orderstatus = 'P' then -o_orderkey else o_orderkey end as region_id")
     li = v.table(spark, sf, "lineitem").selectExpr("l_linestatus as worker_id", "l_orderkey as region_id", "l_returnflag", "case when l_tax < 0.02 then ' x ' else 'too big to read' end as reason")
     return wl, li.filter("l_returnflag <> 'N'").select("worker_id", "region_id").distinct(), li.filter("l_returnflag = 'N'").select("worker_id", "region_id", "reason").distinct()
 
 
 @query("coverage_gaps", f"""
-with {COVER_SQL} select worker_id, region_id, 'outside worklist' as error from cl where region_id not in (select region_id from wl)
-union all select worker_id, region_id, 'not closed' from (select * from ws, wl) x anti join cl using (worker_id, region_id)
-union all select worker_id, region_id, 'reason required' from df where length(trim(reason)) < 3""")
+with {COVER_SQL} select worker_id, region_id, 'outside worklist' as error, 1 as n from cl where region_id not in (select region_id from wl)
+union all select worker_id, null, 'not closed', (select count(*) from wl) - count(wl.region_id) as k from ws left join cl using (worker_id) left join wl on wl.region_id = cl.region_id group by worker_id having k > 0
+union all select null, region_id, 'not closed by every worker', (select count(*) from ws) - count(worker_id) as k from wl left join cl using (region_id) group by region_id having k > 0
+union all select worker_id, region_id, 'reason required', 1 from df where length(trim(reason)) < 3""")
 def coverage_gaps(spark, sf):
     return pl.coverage_gaps(*_coverage(spark, sf))
 
@@ -281,8 +284,9 @@ from t left join p on p.n = t.n and (p.s = '' or p.s = t.s) group by t.path""")
 def policy_chains(spark, sf):
     c, n = v.table(spark, sf, "customer"), v.table(spark, sf, "nation")
     t = c.select(F.lit("repo").alias("scan_id"), F.concat(F.lit("n"), "c_nationkey", F.lit("/s"), "c_mktsegment", F.lit("/f"), "c_custkey", F.lit(".py")).alias("path"))
-    p = n.filter("n_regionkey < 3").select(F.lit("repo").alias("scan_id"), F.concat(F.lit("n"), "n_nationkey", F.lit("/SECURITY.md")).alias("path"), F.col("n_name").alias("content"))
-    p = p.unionByName(c.filter("c_mktsegment = 'BUILDING'").select(F.lit("repo").alias("scan_id"), F.concat(F.lit("n"), "c_nationkey", F.lit("/s"), "c_mktsegment", F.lit("/SECURITY.md")).alias("path"), F.lit("seg").alias("content")).distinct())
+    name = lambda yes: F.when(yes, "/SECURITY.md").otherwise("/NOTES.md")
+    p = n.select(F.lit("repo").alias("scan_id"), F.concat(F.lit("n"), "n_nationkey", name(F.col("n_regionkey") < 3)).alias("path"), F.col("n_name").alias("content"))
+    p = p.unionByName(c.select(F.lit("repo").alias("scan_id"), F.concat(F.lit("n"), "c_nationkey", F.lit("/s"), "c_mktsegment", name(F.col("c_mktsegment") == "BUILDING")).alias("path"), F.lit("seg").alias("content")).distinct())
     return corpus.policy_chain(p, t).select("path", "policy_files", "guidance")
 
 

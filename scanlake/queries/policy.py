@@ -125,7 +125,7 @@ x as (select p_partkey, r, c, case when contains(r, 'sql') or contains(r, 'query
   when contains(r, 'ssrf') then 'ssrf' when c = 'CWE-502' then 'deserializer-codec' when c = 'CWE-862' then 'authz-tenant-object' when contains(r, 'randomness') then 'auth-token-protocol'
   when c = 'CWE-798' then 'secret-data-exposure' when contains(r, 'xss') then 'xss-template' when contains(r, 'shell') or contains(r, 'command') then 'injection-path'
   when contains(r, 'agent') then 'agent-mcp' else 'generic' end as proof_class from p)
-select p_partkey, proof_class, 4 + case when (p_partkey in (select l_partkey from lineitem where l_returnflag = 'R')) or (p_partkey in (select l_partkey from lineitem)) then 1 else 0 end as n_criteria from x""")
+select p_partkey, proof_class, 4 + case when p_partkey in (select l_partkey from lineitem where l_returnflag = 'R') then 1 else 0 end + case when p_partkey in (select l_partkey from lineitem) then 1 else 0 end as n_criteria from x""")
 def proof_class_routes(spark, sf):
     seen = v.table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(
         F.count("*").alias("n_locations"), F.bool_or(F.col("l_returnflag") == "R").alias("has_interface"))

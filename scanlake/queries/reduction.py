@@ -53,7 +53,7 @@ def dedupe_observations(spark, sf):
 
 @query("candidate_findings", f"""
 with {EVIDENCE_SQL}
-select 'cand_' || left(sha256(rule || ':' || file || ':' || line), 16) as candidate_id, replace(rule, '-', '.') as rule_id,
+select 'cand_' || left(sha256('repo:' || rule || ':' || file || ':' || line), 32) as candidate_id, replace(rule, '-', '.') as rule_id,
        replace(rule, '-', ' ') as title, case when rule = 'tls-verification-disabled' and in_context then 'medium' else 'low' end as confidence,
        excerpt, case when has_sink then 2 else 1 end as n_locations from observations""")
 def candidate_findings(spark, sf):
@@ -172,59 +172,59 @@ def refused_merges(spark, sf):
     return rd.merge_errors(v.table(spark, sf, "customer").select(F.col("c_custkey").alias("id")), merges)
 
 
-ROUNDS_SQL = """sightings as (select cast(date_diff('day', date '2024-01-01', cast(ts as date)) as int) + 1 as round, user_id || ':' || event_type as fingerprint, day(ts) in (5, 10, 15, 20) and event_type = 'error' as failed from events),
-rounds as (select round, case when not bool_or(failed) then 'complete' else 'incomplete' end as status, count(*) as n_workers from sightings group by round),
-fresh as (select round, count(*) as novelty from (select fingerprint, min(round) as round from sightings where round in (select round from rounds where status = 'complete') group by all) group by all)"""
+ROUNDS_SQL = """sightings as (select 'j' || user_id % 3 as job_id, cast(date_diff('day', date '2024-01-01', cast(ts as date)) as int) + 1 as round, user_id || ':' || event_type as fingerprint, day(ts) in (5, 10, 15, 20) and event_type = 'error' as failed from events),
+rounds as (select job_id, round, case when not bool_or(failed) then 'complete' else 'incomplete' end as status, count(*) as n_workers from sightings group by job_id, round),
+fresh as (select job_id, round, count(*) as novelty from (select job_id, fingerprint, min(round) as round from sightings semi join (select * from rounds where status = 'complete') r using (job_id, round) group by all) group by all)"""
 
 
 def sightings(spark, sf):
-    return v.table(spark, sf, "events").select((F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) + 1).alias("round"),
+    return v.table(spark, sf, "events").select(F.concat(F.lit("j"), F.col("user_id") % 3).alias("job_id"), (F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) + 1).alias("round"),
                                                F.concat_ws(":", "user_id", "event_type").alias("fingerprint"),
                                                (F.dayofmonth("ts").isin(5, 10, 15, 20) & (F.col("event_type") == "error")).alias("failed"))
 
 
 def rounds(spark, sf):
-    w = sightings(spark, sf).select("round", F.when(F.col("failed"), "failed").otherwise("completed").alias("status"), F.lit(True).alias("has_report"))
+    w = sightings(spark, sf).select("job_id", "round", F.when(F.col("failed"), "failed").otherwise("completed").alias("status"), F.lit(True).alias("has_report"))
     return rd.round_status(w)
 
 
-@query("round_status", f"with {ROUNDS_SQL} select round, n_workers, status from rounds")
+@query("round_status", f"with {ROUNDS_SQL} select job_id, round, n_workers, status from rounds")
 def round_status(spark, sf):
     return rounds(spark, sf)
 
 
 @query("round_saturation", f"""
-with {ROUNDS_SQL}, r as (select round, status, coalesce(novelty, 0) as novelty from rounds left join fresh using (round)),
-g as (select *, sum(case when status = 'complete' and novelty > 0 then 1 else 0 end) over (order by round) as island,
-             sum(case when status = 'complete' then 1 else 0 end) over (order by round) as done from r),
-s as (select *, sum(case when status = 'complete' and novelty = 0 then 1 else 0 end) over (partition by island order by round) as streak from g)
-select round, status, novelty, streak, (select count(distinct fingerprint) from sightings x where x.round = s.round) as candidates,
+with {ROUNDS_SQL}, r as (select job_id, round, status, coalesce(novelty, 0) as novelty from rounds left join fresh using (job_id, round)),
+g as (select *, sum(case when status = 'complete' and novelty > 0 then 1 else 0 end) over (partition by job_id order by round) as island,
+             sum(case when status = 'complete' then 1 else 0 end) over (partition by job_id order by round) as done from r),
+s as (select *, sum(case when status = 'complete' and novelty = 0 then 1 else 0 end) over (partition by job_id, island order by round) as streak from g)
+select job_id, round, status, novelty, streak, (select count(distinct fingerprint) from sightings x where x.round = s.round and x.job_id = s.job_id) as candidates,
   case when status <> 'complete' then 'incomplete' when novelty = 0 and streak >= 3 then 'saturated' when done >= 10 then 'capped' else 'running' end as state
 from s""")
 def round_saturation(spark, sf):
-    r = rounds(spark, sf).select("round", "status")
-    return rd.round_saturation(sightings(spark, sf).select("round", "fingerprint"), r, stop_after=3, max_rounds=10)
+    r = rounds(spark, sf).select("job_id", "round", "status")
+    return rd.round_saturation(sightings(spark, sf).select("job_id", "round", "fingerprint"), r, stop_after=3, max_rounds=10)
 
 
 @query("canonical_candidates", f"""
 with {ROUNDS_SQL}
-select distinct fingerprint as id from sightings where round in (select round from rounds where status = 'complete') and fingerprint not like '%:error'""")
+select distinct job_id, fingerprint as id from sightings semi join (select * from rounds where status = 'complete') r using (job_id, round) where fingerprint not like '%:error'""")
 def canonical_candidates(spark, sf):
-    s = sightings(spark, sf).select(F.col("fingerprint").alias("id"), "round")
-    c = s.select("id").distinct().withColumn("absorbed_by", F.when(F.col("id").endswith(":error"), "x"))
-    return rd.canonical_candidates(c, s, rounds(spark, sf)).select("id")
+    s = sightings(spark, sf).select("job_id", F.col("fingerprint").alias("id"), "round")
+    c = s.select("job_id", "id").distinct().withColumn("absorbed_by", F.when(F.col("id").endswith(":error"), "x"))
+    return rd.canonical_candidates(c, s, rounds(spark, sf)).select("job_id", "id")
 
 
 @query("appended_candidates", """
 with f as (select distinct sha256(event_type || user_id) as fingerprint from events where event_type in ('view', 'click')),
 r as (select distinct event_type as rule_id, 'u' || user_id as file, sha256(event_type || user_id) as fingerprint from events)
-select r.fingerprint, 'cand_' || left(sha256(rule_id || ':' || file || ':1'), 16) as candidate_id,
-       'task_' || left(sha256('scan_1:cand_' || left(sha256(rule_id || ':' || file || ':1'), 16) || ':validation'), 24) as task_id
+select r.fingerprint, 'cand_' || left(sha256('scan_1:' || rule_id || ':' || file || ':1'), 32) as candidate_id,
+       'task_' || left(sha256('scan_1:cand_' || left(sha256('scan_1:' || rule_id || ':' || file || ':1'), 32) || ':validation'), 24) as task_id
 from r where fingerprint not in (select fingerprint from f)""")
 def appended_candidates(spark, sf):
     e = v.table(spark, sf, "events")
     fp = tx.sha256(F.concat("event_type", F.col("user_id").cast("string")))
-    seen = e.filter(F.col("event_type").isin("view", "click")).select(fp.alias("fingerprint")).distinct()
+    seen = e.select(F.when(F.col("event_type").isin("view", "click"), fp).otherwise(F.concat(F.lit("gone "), fp)).alias("fingerprint")).distinct()
     reported = e.select(F.col("event_type").alias("rule_id"), F.concat(F.lit("u"), "user_id").alias("file"), F.lit(1).alias("line"), F.lit("t").alias("title"), fp.alias("fingerprint"))
     fresh, _ledger, tasks = rd.append_candidates(seen, reported, "scan_1")
     return fresh.join(tasks.select("candidate_id", F.col("id").alias("task_id")), "candidate_id").select("fingerprint", "candidate_id", "task_id")

@@ -32,7 +32,7 @@ def incremental_scan(files: DataFrame, out: str, checkpoint: str, rules: Sequenc
         batch.persist()
         found = pt.scan_files(batch, rules).select(
             "scan_id", "rule", "file", "line", "excerpt", "severity",
-            tx.candidate_id(F.col("rule"), F.col("file"), F.col("line")).alias("candidate_id"))
+            tx.candidate_id(F.col("scan_id"), F.col("rule"), F.col("file"), F.col("line")).alias("candidate_id"))
         write_batch(found, f"{out}/findings", batch_id)
         write_batch(batch.select("scan_id", "path", tx.sha256(F.col("content")).alias("sha256")), f"{out}/receipts", batch_id)
         batch.unpersist()
