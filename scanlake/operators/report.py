@@ -192,15 +192,18 @@ MARKER_PATTERN = r"finding:(\S+) fingerprint:(\S+) -->"
 
 
 def duplicate_tickets(tickets: DataFrame, issues: DataFrame) -> DataFrame:
-    """Issues with the same title, or whose body carries the ticket's marker.
+    """Per ticket and kind of match (marker in the body, same title): the smallest issue id and how many issues match.
 
-    Markers are pulled out of the bodies once, so both conditions are equi-joins.
+    Markers are pulled out of the bodies once, so both conditions are equi-joins; issues of one title are counted before the join, so
+    a title that a million tickets and issues share costs one row a ticket.
     """
-    by_title = tickets.join(issues.select(F.col("id").alias("issue_id"), "title"), "title").select("id", "issue_id")
+    titles = issues.groupBy("title").agg(F.min("id").alias("issue_id"), F.count("*").alias("n_issues"))
+    by_title = tickets.select("id", "title").join(titles, "title").select("id", F.lit("title").alias("matched_by"), "issue_id", "n_issues")
     marks = issues.select(F.col("id").alias("issue_id"), F.explode(F.regexp_extract_all("body", F.lit(MARKER_PATTERN), 0)).alias("m")) \
         .select("issue_id", F.regexp_extract("m", MARKER_PATTERN, 1).alias("id"), F.regexp_extract("m", MARKER_PATTERN, 2).alias("fingerprint"))
-    by_mark = tickets.select("id", "fingerprint").join(marks, ["id", "fingerprint"]).select("id", "issue_id")
-    return by_title.unionByName(by_mark).distinct()
+    marked = marks.distinct().groupBy("id", "fingerprint").agg(F.min("issue_id").alias("issue_id"), F.count("*").alias("n_issues"))
+    by_mark = tickets.select("id", "fingerprint").join(marked, ["id", "fingerprint"]).select("id", F.lit("marker").alias("matched_by"), "issue_id", "n_issues")
+    return by_mark.unionByName(by_title)
 
 
 def latest_receipt(receipts: DataFrame) -> DataFrame:
@@ -234,6 +237,19 @@ def advisory_rows(findings: DataFrame, scans: DataFrame, tool: str = MARKER_TOOL
                     F.when(F.col("cwe").rlike(r"(?i)^CWE-[0-9]+\z"), F.upper("cwe")).alias("cwe_id"))
 
 
+ADVISORY_PATTERN = r"<!-- \S+ advisory finding:\S+ fingerprint:\S+ source:\S+ -->"
+
+
+def advisory_duplicates(rows: DataFrame, advisories: DataFrame) -> DataFrame:
+    """Advisory rows whose marker stands in the description of a landed advisory ``(advisory_id, description)``: the smallest id and the count.
+
+    Markers are pulled out of the descriptions once, so this is an equi-join on the marker.
+    """
+    marks = advisories.select("advisory_id", F.explode(F.regexp_extract_all("description", F.lit(ADVISORY_PATTERN), 0)).alias("marker")).distinct()
+    known = marks.groupBy("marker").agg(F.min("advisory_id").alias("advisory_id"), F.count("*").alias("n_advisories"))
+    return rows.join(known, "marker").select("scan_id", "id", "advisory_id", "n_advisories")
+
+
 def disclosure_errors(reports: DataFrame, references: DataFrame, sources: DataFrame) -> DataFrame:
     """Error rows: citation outside an assigned path or line, short explanation, unbacked execution claim, thin field.
 

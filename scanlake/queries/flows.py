@@ -197,12 +197,39 @@ def workflow_findings(spark, sf):
     return _found(wf.workflow_candidates(_workflows(spark, sf))).distinct()
 
 
+@query("workflow_diff_findings", f"""
+with {WF_SQL}, w as (select *, l_linestatus as var, max(case when fs like 'R%' or fs like 'A%' then n end) over (partition by l_orderkey) as last_run from placed),
+f as (select a.file, a.start as sink, r.start + 1 as entry from w a join w r on r.l_orderkey = a.l_orderkey and r.var = a.var and r.n < a.n where a.fs like 'A%' and r.fs like 'R%')
+select distinct 'ci-untrusted-event-shell' as rule, file, case when sink % 2 = 0 then sink else entry end as line from f where sink % 2 = 0 or entry % 2 = 0
+union all select 'ci-mutable-action-ref', file, start from w where fs = 'NO' and start % 2 = 0
+union all select distinct * from (select 'ci-pull-request-target-untrusted-checkout', c.file, case when c.start % 2 = 0 then c.start + 2
+  else (select min(r.start) from w r where r.l_orderkey = c.l_orderkey and r.n > c.n and (r.fs like 'R%' or r.fs like 'A%') and r.start % 2 = 0) end as line from w c where fs = 'NF' and last_run > n) x where line is not null""")
+def workflow_diff_findings(spark, sf):
+    """The same files as a diff in which every other line is new: a finding moves to the new line of its path, or goes."""
+    files = _workflows(spark, sf)
+    added = pt.explode_lines(files).filter("line % 2 = 0").select("scan_id", "path", "line")
+    return _found(wf.workflow_candidates(files, added)).distinct()
+
+
+@query("write_permissions", """
+with p(seg, line, text) as (values ('BUILDING', 2, 'permissions: write-all'), ('MACHINERY', 3, 'contents: write'), ('HOUSEHOLD', 5, 'issues: write'))
+select '.github/workflows/c' || c_custkey || '.yml' as path, line, text from customer join p on seg = c_mktsegment""")
+def write_permissions(spark, sf):
+    """One workflow per customer; inline, top-level and job-level grants, and files that only read."""
+    body = F.when(F.col("c_mktsegment") == "BUILDING", "on: push\npermissions: write-all\njobs:\n  a:\n    steps:") \
+        .when(F.col("c_mktsegment") == "MACHINERY", "on: push\npermissions:\n  contents: write\n  issues: read\njobs:\n  a:\n    steps:") \
+        .when(F.col("c_mktsegment") == "HOUSEHOLD", "on: push\njobs:\n  a:\n    permissions:\n      issues: write\n    steps:") \
+        .otherwise("on: push\npermissions:\n  contents: read\njobs:\n  write:\n    steps:")
+    files = v.table(spark, sf, "customer").select(F.lit("s").alias("scan_id"), F.concat(F.lit(".github/workflows/c"), "c_custkey", F.lit(".yml")).alias("path"), body.alias("content"))
+    return wf.write_permissions(wf.workflow_lines(files)).select("path", "line", "text")
+
+
 @query("earlier_step_flows", """
 with t as (select conv_id, turn, role, length(text) as k from conversations), w as (select conv_id, turn, role as name, k from t where k > 200), r as (select conv_id, turn, role as name from t)
 select r.conv_id, r.turn as step, w.turn as write_step from r join w on w.conv_id = r.conv_id and w.name = r.name and w.turn < r.turn""")
 def earlier_step_flows(spark, sf):
     c = v.table(spark, sf, "conversations").select(F.lit("s").alias("scan_id"), F.col("conv_id").alias("path"), F.lit("j").alias("job"), "turn", F.col("role").alias("name"), F.length("text").alias("k"))
-    writes = c.filter("k > 200").select("scan_id", "path", "job", F.col("turn").alias("write_step"), "name", F.col("turn").alias("line"), F.lit("").alias("text"))
+    writes = c.select("scan_id", "path", "job", F.col("turn").alias("write_step"), F.when(F.col("k") > 200, F.col("name")).otherwise(F.lit("other")).alias("name"), F.col("turn").alias("line"), F.lit("").alias("text"))
     out = wf.earlier_step_flows(c.withColumnRenamed("turn", "step").drop("k"), writes)
     return out.select(F.col("path").alias("conv_id"), "step", "write_step")
 

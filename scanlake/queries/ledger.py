@@ -110,7 +110,7 @@ def reference_errors(spark, sf):
     file = F.concat(F.lit("c"), "conv_id")
     base = [F.col("conv_id").alias("candidate_id"), F.col("turn").cast("int").alias("line"), F.expr(ROLE).alias("role")]
     refs = c.select(F.col("conv_id").alias("record_id"), *base, F.when(F.length("text") < 20, " ").otherwise(file).alias("file"))
-    locs = c.filter(F.length("text") < 400).select(*base, file.alias("file"))
+    locs = c.select(*base[:2], F.when(F.length("text") < 400, F.expr(ROLE)).otherwise("not retained").alias("role"), file.alias("file"))
     recs = c.groupBy("conv_id").agg(F.max("turn").alias("t")).select(
         F.col("conv_id").alias("record_id"), F.col("conv_id").alias("candidate_id"),
         F.when(F.col("t") >= 3, "attack_path").otherwise("validation").alias("kind"), F.lit("reportable").alias("conclusion"))
@@ -131,7 +131,7 @@ def runtime_receipt_errors(spark, sf):
     o, li = v.table(spark, sf, "orders"), v.table(spark, sf, "lineitem")
     recs = o.selectExpr("o_orderkey as record_id", "o_custkey as candidate_id", "case o_orderstatus when 'F' then 'runtime' when 'O' then 'hybrid' else 'static' end as method")
     refs = li.selectExpr("l_orderkey as record_id", "case when l_linenumber = 7 then '' else concat('run/', l_suppkey) end as ref")
-    evid = li.filter("l_returnflag <> 'R'").join(o, li.l_orderkey == o.o_orderkey).selectExpr("o_custkey as candidate_id", "concat('run/', l_suppkey) as artifact_ref").distinct()
+    evid = li.join(o, li.l_orderkey == o.o_orderkey).selectExpr("o_custkey as candidate_id", "concat(case when l_returnflag = 'R' then 'gone/' else 'run/' end, l_suppkey) as artifact_ref").distinct()
     return lg.receipt_errors(recs, refs, evid)
 
 
@@ -237,7 +237,7 @@ with {TASKS_SQL}, done as (select distinct scan_id, candidate_id, phase from log
 select id, case when status = 'cancelled' and d.phase is null then 'pending' else status end as status
 from tasks t left join done d on d.scan_id = t.scan_id and d.candidate_id = t.candidate_id and d.phase = t.phase""")
 def resumed_tasks(spark, sf):
-    return lg.resume_tasks(tasks(spark, sf), log(spark, sf).filter("value >= 30")).select("id", "status")
+    return lg.resume_tasks(tasks(spark, sf), log(spark, sf).withColumn("phase", F.when(F.col("value") >= 30, F.col("phase")).otherwise("of no task"))).select("id", "status")
 
 
 @query("cancelled_tasks", f"""

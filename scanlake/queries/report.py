@@ -133,7 +133,8 @@ def section_errors(spark, sf):
 with {F_SQL} select scan_id, candidate_id, case when confidence = 'low' then 'no report' else 'report does not name its finding' end as error from f where disposition = 'reportable' and confidence in ('low', 'medium')""")
 def projection_errors(spark, sf):
     f = findings(spark, sf)
-    reports = f.filter("confidence <> 'low'").select("scan_id", "candidate_id", F.when(F.col("confidence") == "high", F.concat(F.lit("- Finding: `"), "id", F.lit("`"))).otherwise("- Finding: none").alias("content"))
+    of = F.when(F.col("confidence") == "low", F.concat(F.lit("other "), "candidate_id")).otherwise(F.col("candidate_id"))
+    reports = f.select("scan_id", of.alias("candidate_id"), F.when(F.col("confidence") == "high", F.concat(F.lit("- Finding: `"), "id", F.lit("`"))).otherwise("- Finding: none").alias("content"))
     return rp.projection_errors(f, reports)
 
 
@@ -150,12 +151,15 @@ def ticket_rows(spark, sf):
 
 
 @query("duplicate_tickets", f"""
-with {TICKETS_SQL}, i as (select 'I' || event_id as issue_id, '[CRITICAL] issue ' || event_id as title, case when event_type = 'view' then 'see <!-- scanlake finding:slf_' || event_id || ' fingerprint:' || sha256('fp' || event_id) || ' --> end' else 'no mark' end as body from events)
-select t.id, i.issue_id from t join i on contains(i.body, t.marker) or i.title = t.title""")
+with {TICKETS_SQL}, i as (select 'I' || event_id as issue_id, case event_type when 'click' then '[CRITICAL] Small title' when 'error' then '[HIGH] Big, "quoted" title' else '[CRITICAL] issue ' || event_id end as title, case when event_type = 'view' then 'see <!-- scanlake finding:slf_' || event_id || ' fingerprint:' || sha256('fp' || event_id) || ' --> end' else 'no mark' end as body from events),
+s as (select title, min(issue_id) as issue_id, count(*) as n_issues from i group by title)
+select t.id, 'title' as matched_by, s.issue_id, s.n_issues from t join s using (title)
+union all select t.id, 'marker', min(i.issue_id), count(*) from t join i on contains(i.body, t.marker) group by t.id""")
 def duplicate_tickets(spark, sf):
     e = v.table(spark, sf, "events")
     mark = F.concat(F.lit("see <!-- scanlake finding:slf_"), F.col("event_id").cast("string"), F.lit(" fingerprint:"), tx.sha256(F.concat(F.lit("fp"), F.col("event_id").cast("string"))), F.lit(" --> end"))
-    issues = e.select(F.concat(F.lit("I"), "event_id").alias("id"), F.concat(F.lit("[CRITICAL] issue "), "event_id").alias("title"), F.when(F.col("event_type") == "view", mark).otherwise("no mark").alias("body"))
+    issues = e.select(F.concat(F.lit("I"), "event_id").alias("id"), F.when(F.col("event_type") == "click", "[CRITICAL] Small title").when(
+        F.col("event_type") == "error", '[HIGH] Big, "quoted" title').otherwise(F.concat(F.lit("[CRITICAL] issue "), "event_id")).alias("title"), F.when(F.col("event_type") == "view", mark).otherwise("no mark").alias("body"))
     return rp.duplicate_tickets(rp.ticket_rows(findings(spark, sf)), issues)
 
 
@@ -177,23 +181,43 @@ select id as external_id, confidence <> 'low' as found, confidence <> 'low' and
 def readback_status(spark, sf):
     f = findings(spark, sf)
     t = rp.ticket_rows(f).withColumn("external_id", F.col("id"))
-    back = t.join(f.select("id", "confidence"), "id").filter("confidence <> 'low'").select("external_id", F.replace("title", F.lit("Big"), F.lit("big")).alias("title"), "body")
+    named = F.when(F.col("confidence") == "low", F.concat(F.lit("other "), "external_id")).otherwise(F.col("external_id"))
+    back = t.join(f.select("id", "confidence"), "id").select(named.alias("external_id"), F.replace("title", F.lit("Big"), F.lit("big")).alias("title"), "body")
     return rp.readback_status(t, back)
 
 
-@query("advisory_rows", f"""
-with {F_SQL}, s as (select 'scan' || c_custkey as scan_id, case when c_mktsegment in ('BUILDING', 'HOUSEHOLD') then 'git_revision' else 'git_worktree' end as kind,
-   case when c_acctbal > 0 then 'own/' || c_custkey else 'broken' end as repo, sha256('' || c_custkey) as rev from customer)
-select f.scan_id, id, left('[' || upper(severity) || '] ' || title, 1024) as summary, case when severity = 'informational' then 'low' else severity end as severity, cwe as cwe_id,
+ADVISORY_SQL = f"""{F_SQL}, s as (select 'scan' || c_custkey as scan_id, case when c_mktsegment in ('BUILDING', 'HOUSEHOLD') then 'git_revision' else 'git_worktree' end as kind,
+   case when c_acctbal > 0 then 'own/' || c_custkey else 'broken' end as repo, sha256('' || c_custkey) as rev from customer),
+adv as (select f.scan_id, id, left('[' || upper(severity) || '] ' || title, 1024) as summary, case when severity = 'informational' then 'low' else severity end as severity, cwe as cwe_id,
   '<!-- scanlake advisory finding:' || id || ' fingerprint:' || fingerprint || ' source:' || repo || '@' || rev || ' -->' as marker
-from f join s using (scan_id) where disposition = 'reportable' and kind = 'git_revision' and repo <> 'broken'""")
-def advisory_rows(spark, sf):
+from f join s using (scan_id) where disposition = 'reportable' and kind = 'git_revision' and repo <> 'broken')"""
+
+
+def _advisories(spark, sf):
     s = v.table(spark, sf, "customer").selectExpr(
         "concat('scan', c_custkey) as scan_id", "case when c_mktsegment in ('BUILDING', 'HOUSEHOLD') then 'git_revision' else 'git_worktree' end as kind",
         "case when c_acctbal > 0 then concat('own/', c_custkey) else 'broken' end as source_repository", "sha2(cast(c_custkey as string), 256) as revision")
     return rp.advisory_rows(findings(spark, sf), s).select("scan_id", "id", "summary", "severity", "cwe_id", "marker")
 
 
+@query("advisory_rows", f"with {ADVISORY_SQL} select * from adv")
+def advisory_rows(spark, sf):
+    return _advisories(spark, sf)
+
+
+@query("advisory_duplicates", f"""
+with {ADVISORY_SQL}, landed as (select 'A' || id as advisory_id, case when id like '%0' then '' else 'text ' || marker || ' end' end as description from adv union all select 'B' || id, marker from adv where severity = 'high')
+select adv.scan_id, adv.id, min(l.advisory_id) as advisory_id, count(*) as n_advisories from adv join landed l on contains(l.description, adv.marker) group by all""")
+def advisory_duplicates(spark, sf):
+    """Landed advisories: one for each row, some with another text, and a second one for the high ones."""
+    rows = _advisories(spark, sf)
+    told = F.when(F.col("id").endswith("0"), "").otherwise(F.concat(F.lit("text "), "marker", F.lit(" end")))
+    again = F.when(F.col("severity") == "high", F.col("marker")).otherwise("")
+    landed = rows.select(F.explode(F.array(F.struct(F.concat(F.lit("A"), "id").alias("advisory_id"), told.alias("description")),
+                                           F.struct(F.concat(F.lit("B"), "id").alias("advisory_id"), again.alias("description")))).alias("a")).select("a.*")
+    return rp.advisory_duplicates(rows, landed)
+
+
 @query("disclosure_errors", """
 with r as (select o_orderkey as report_id, o_orderstatus = 'F' as authorized, case o_orderpriority when '1-URGENT' then 'executed_safely' when '2-HIGH' then 'built_only' when '3-MEDIUM' then 'guessed' else 'not_run' end as status,
    case when o_totalprice > 100000 then 1 else 0 end as n_artifacts, case when o_totalprice > 50000 then 'a substantive summary' else ' thin      ' end as summary from orders),
@@ -211,5 +235,5 @@ def disclosure_errors(spark, sf):
         "case when o_totalprice > 100000 then 1 else 0 end as n_artifacts", "case when o_totalprice > 50000 then 'a substantive summary' else ' thin      ' end as summary")
     li = v.table(spark, sf, "lineitem")
     refs = li.selectExpr("l_orderkey as report_id", "l_partkey as path", "l_linenumber as line", "case when l_returnflag = 'R' then 'short  ' else 'long enough text' end as explanation")
-    src = li.filter("l_linestatus = 'F'").selectExpr("l_orderkey as report_id", "l_partkey as path", "5 as n_lines").distinct()
+    src = li.selectExpr("l_orderkey as report_id", "case when l_linestatus = 'F' then l_partkey else -l_partkey end as path", "5 as n_lines").distinct()
     return rp.disclosure_errors(r, refs, src)

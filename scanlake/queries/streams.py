@@ -76,6 +76,24 @@ def stream_lease_expiry(spark, sf):
     return spark.read.schema(jobs.LEASE_OUT).parquet(out)
 
 
+@query("stream_activity_counts", f"""
+with e as (select ts, {PHASE} as phase from events where not (event_type = 'error' and ts < timestamp '2024-01-11'))
+select * from (select time_bucket(interval 6 hour, ts) as start, phase, count(*) as n from e group by all) where start + interval 6 hour <= (select max(ts) from events) - interval 1 hour""")
+def stream_activity_counts(spark, sf):
+    """Three arrivals, one run of the stream each; old errors arrive last, behind the watermark, and are refused. Open windows wait."""
+    out, state = _place(spark, "activity")
+    landed = out[: -len("out")] + "landed"
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    day = F.col("ts").cast("date")
+    arrival = F.when(day >= "2024-01-21", 2).when(day >= "2024-01-11", 1).when(F.col("event_type") == "error", 2).otherwise(0)
+    for k in range(3):
+        events.filter(arrival == k).write.mode("append").parquet(landed)
+        rows = _activity(spark.readStream.schema(events.schema).parquet(landed))
+        counts = jobs.activity_counts(rows, "6 hours", delay="1 hour").select(F.col("start").cast("timestamp_ntz").alias("start"), "phase", "n")
+        counts.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("start timestamp_ntz, phase string, n long").parquet(out)
+
+
 @query("activity_counts", f"""select time_bucket(interval 6 hour, ts) as start, {PHASE} as phase, count(*) as n from events group by all""")
 def activity_counts(spark, sf):
     return jobs.activity_counts(_activity(v.table(spark, sf, "events")), "6 hours").select(F.col("start").cast("timestamp_ntz").alias("start"), "phase", "n")

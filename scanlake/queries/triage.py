@@ -72,12 +72,12 @@ def claims(spark, sf):
 
 
 def local(spark, sf):
-    li = v.table(spark, sf, "lineitem").filter("l_quantity >= 25")
-    rule = F.when(F.col("l_returnflag") == "R", "tls-verification-disabled").when(F.col("l_returnflag") == "A", "ssrf-request-sink").otherwise("path-traversal-sink")
+    li = v.table(spark, sf, "lineitem")
+    rule = F.when(F.col("l_quantity") < 25, "rule-of-no-family").when(F.col("l_returnflag") == "R", "tls-verification-disabled").when(F.col("l_returnflag") == "A", "ssrf-request-sink").otherwise("path-traversal-sink")
     note = F.when(F.col("l_tax") >= 0.04, F.array(pt.evidence("context", F.lit("x")))).otherwise(F.array(pt.evidence("pattern", F.lit("x"))))
     cand = li.select(_scan(), rule.alias("rule"), F.concat(F.lit("src/p"), "l_partkey", F.lit(".py")).alias("file"), F.col("l_linenumber").alias("line"), note.alias("evidence"))
-    parts = v.table(spark, sf, "part").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).filter("p_size <= 45 - 5 * k")
-    files = parts.select(F.concat(F.lit("s"), "k").alias("scan_id"), F.concat(F.lit("src/p"), "p_partkey", F.lit(".py")).alias("path"))
+    parts = v.table(spark, sf, "part").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    files = parts.select(F.concat(F.lit("s"), "k").alias("scan_id"), F.concat(F.when(F.expr("p_size <= 45 - 5 * k"), "src/p").otherwise("moved/p"), "p_partkey", F.lit(".py")).alias("path"))
     return cand, files
 
 
@@ -86,10 +86,21 @@ def compatible_rules(spark, sf):
     return claims(spark, sf).select("id", F.array_join("families", ",").alias("families"))
 
 
-@query("matched_claims", f"with {CLAIMS_SQL} select id, n_locations, n_readable, exact_matches, context_matches, status, case when status = 'needs_information' then 'low' else 'medium' end as status_confidence from st")
+PLACES_SQL = """dl as (select distinct scan_id, id, file, line from locs),
+ph as (select l.scan_id, l.id, l.file, l.line, count(*) as n, sum(ctx) as ctx from dl l join fam using (id) join cand c on c.scan_id = l.scan_id and c.file = l.file and c.rule = family and (l.line is null or l.line = c.line) group by all),
+places as (select l.*, coalesce(ph.n, 0) as n, coalesce(ph.ctx, 0) as ctx, family, exists (select 1 from fils where fils.scan_id = l.scan_id and fils.file = l.file) as readable
+  from dl l join fam using (id) left join ph on ph.id = l.id and ph.file = l.file and ph.line is not distinct from l.line)"""
+
+
+@query("matched_claims", f"""with {CLAIMS_SQL}, {PLACES_SQL} select id, n_locations, n_readable, exact_matches, context_matches, status, case when status = 'needs_information' then 'low' else 'medium' end as status_confidence,
+  coalesce(lim.t, '') as unmatched, coalesce(evi.t, '') as matched from st
+  left join (select id, string_agg(distinct 'No compatible evidence matched ' || file || coalesce(':' || line, '') || '.', '|' order by 'No compatible evidence matched ' || file || coalesce(':' || line, '') || '.') as t from places where readable and n = 0 and family is not null group by id) lim using (id)
+  left join (select id, string_agg(distinct file || coalesce(':' || line, '') || ' holds ' || n || ' compatible match(es), ' || ctx || ' with context.', '|' order by file || coalesce(':' || line, '') || ' holds ' || n || ' compatible match(es), ' || ctx || ' with context.') as t from places where n > 0 group by id) evi using (id)""")
 def matched_claims(spark, sf):
     m = tr.triage_status(tr.match_imported(claims(spark, sf), *local(spark, sf)))
-    return m.select("id", "n_locations", "n_readable", "exact_matches", "context_matches", "status", "status_confidence")
+    told = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), "|")
+    missed = F.filter("limitations", lambda x: F.startswith(x, F.lit("No compatible evidence matched ")))
+    return m.select("id", "n_locations", "n_readable", "exact_matches", "context_matches", "status", "status_confidence", told(missed).alias("unmatched"), told("evidence_lines").alias("matched"))
 
 
 # ---- dependencies ------------------------------------------------------------------------------------
