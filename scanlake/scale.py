@@ -1,10 +1,11 @@
 """Helpers that keep ordered work and small-side joins safe when one key is hot.
 
-A plain ``Window.partitionBy(key)`` sorts a whole key in one task. The functions here
-first range-partition on (key, order), so that a hot key is cut into as many pieces as
+A plain ``Window.partitionBy(key)`` sorts a whole key in one task, which is right as long as every key fits
+(``ONE_TASK_ROWS``; keys are counted first, a map-side aggregation over the key columns alone). Beyond that the
+functions here range-partition on (key, order), so that a hot key is cut into as many pieces as
 its size needs, work inside each piece, and then carry one boundary value per piece.
 The carried table never has more rows than there are range partitions, which is the
-proven bound behind its broadcast.
+proven bound behind its broadcast. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 CHUNK = "_chunk"
+#: Rows of one key that a single task may sort.
+ONE_TASK_ROWS = 2_000_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -37,6 +40,12 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def keys_fit(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether the largest key has at most ``ONE_TASK_ROWS`` rows."""
+    top = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"]
+    return (top or 0) <= ONE_TASK_ROWS
+
+
 def range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """Add ``_chunk``: the range partition of (keys, order). Pinned by a reliable checkpoint."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -64,6 +73,8 @@ def _carry(df: DataFrame, per_chunk: DataFrame, keys, carried: str) -> DataFrame
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence, value: Column, name: str) -> DataFrame:
     """Inclusive running sum per key in the given order, with hot keys split."""
+    if keys_fit(df, keys):
+        return df.withColumn(name, F.sum(value.cast("long")).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
     c = range_chunks(df.withColumn("_v", value.cast("long")), keys, order)
     totals = c.groupBy(*keys, CHUNK).agg(F.sum("_v").alias("_t"))
     before = _across_chunks(keys).rowsBetween(W.unboundedPreceding, -1)
@@ -81,6 +92,8 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence, name: str = "ran
 
 def lagged(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str], name: str = "prev") -> DataFrame:
     """Struct of ``cols`` of the previous row of the key (null on the first row); ascending order."""
+    if keys_fit(df, keys):
+        return df.withColumn(name, F.lag(F.struct(*cols)).over(W.partitionBy(*keys).orderBy(*order)))
     c = range_chunks(df, keys, order)
     row = F.struct(*cols)
     tails = c.groupBy(*keys, CHUNK).agg(F.max_by(row, F.struct(*order)).alias("_tail"))
@@ -92,6 +105,8 @@ def lagged(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Seque
 
 def last_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
     """Latest non-null ``value`` at or before each row of the key; ascending order."""
+    if keys_fit(df, keys):
+        return df.withColumn(name, F.last(value, ignorenulls=True).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
     c = range_chunks(df, keys, order)
     ends = c.filter(F.col(value).isNotNull()).groupBy(*keys, CHUNK).agg(
         F.max_by(value, F.struct(*order)).alias("_end"))

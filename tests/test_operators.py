@@ -30,7 +30,9 @@ def by_key(rows):
     return out
 
 
-def test_rank_lag_last_known_on_hot_key(spark, hot):
+@pytest.mark.parametrize("one_task", [scale.ONE_TASK_ROWS, 0])
+def test_rank_lag_last_known_on_hot_key(spark, hot, monkeypatch, one_task):
+    monkeypatch.setattr(scale, "ONE_TASK_ROWS", one_task)
     rows, df = hot
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "5")

@@ -2,7 +2,7 @@
 
 import pytest
 
-from scanlake.operators import classify as cl, compare as cp, ledger as lg, pairing as pr, triage as tr
+from scanlake.operators import classify as cl, compare as cp, ledger as lg, pairing as pr, planning as pl, reduce as rd, report as rp, triage as tr
 
 CANDIDATES = "scan_id string, candidate_id string, disposition string, confidence string"
 
@@ -59,3 +59,53 @@ def test_long_objects_calls_and_far_handlers(corpus):
     assert pr.unhardened_use(corpus({"P.java": java.format(wide)})).count() == 0
     loose = java.format(wide).replace("disallow-doctype-decl", "other")
     assert [r.line for r in pr.unhardened_use(corpus({"P.java": loose})).collect()] == [3]
+
+
+def test_open_coverage_is_told_per_worker_and_region(spark):
+    work = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "scan_id string, region_id int")
+    seen = spark.createDataFrame([("a", "w", 1), ("a", "v", 1), ("a", "v", 2), ("b", "w", 9)], "scan_id string, worker_id string, region_id int")
+    put_off = spark.createDataFrame([("a", "w", 2, " x ")], "scan_id string, worker_id string, region_id int, reason string")
+    got = {tuple(r) for r in pl.coverage_gaps(work, seen, put_off).collect()}
+    assert got == {("b", "w", 9, "outside worklist", 1), ("b", "w", None, "not closed", 1), ("b", None, 1, "not closed by every worker", 1), ("a", "w", 2, "reason required", 1)}
+    nobody = pl.coverage_gaps(work, seen.limit(0), put_off.limit(0)).collect()
+    assert sorted((r.scan_id, r.region_id, r.n) for r in nobody) == [("a", 1, 1), ("a", 2, 1), ("b", 1, 1)]
+
+
+def test_jobs_have_rounds_of_their_own(spark):
+    rounds = spark.createDataFrame([(j, r, "complete") for j in "xy" for r in (1, 2, 3)], "job_id string, round int, status string")
+    seen = spark.createDataFrame([("x", 1, "f"), ("y", 3, "f")], "job_id string, round int, fingerprint string")
+    got = {(r.job_id, r.round): (r.novelty, r.state) for r in rd.round_saturation(seen, rounds, stop_after=2).collect()}
+    assert got == {("x", 1): (1, "running"), ("x", 2): (0, "running"), ("x", 3): (0, "saturated"),
+                   ("y", 1): (0, "running"), ("y", 2): (0, "saturated"), ("y", 3): (1, "running")}
+
+
+def test_what_was_found_at_each_location(spark, corpus):
+    schema = "id string, families array<string>, locations array<struct<file:string,line:int>>"
+    claims = spark.createDataFrame([("k", ["r"], [("x.py", 3), ("x.py", 9), ("gone.py", 1), ("x.py", None)]), ("none", [], [("x.py", 3)]), ("bare", ["r"], [])], schema)
+    found = spark.createDataFrame([("r", "x.py", 3, [("context",)]), ("r", "x.py", 4, [("pattern",)])], "rule string, file string, line int, evidence array<struct<kind:string>>")
+    out = {r.id: r for r in tr.triage_status(tr.match_imported(claims, found, corpus({"x.py": ""}).drop("scan_id"))).collect()}
+    assert (out["k"].n_readable, out["k"].exact_matches, out["k"].context_matches, out["k"].status) == (3, 3, 2, "affected")
+    assert out["k"].limitations == ["An imported location could not be read.", "No compatible evidence matched x.py:9."]
+    assert out["k"].evidence_lines == ["x.py:3 holds 1 compatible match(es), 1 with context.", "x.py holds 2 compatible match(es), 1 with context."]
+    assert out["none"].limitations == [tr.NO_FAMILY] and out["none"].evidence_lines == []
+    assert out["bare"].limitations == [tr.NO_LOCATION] and out["bare"].status == "needs_information"
+
+
+def test_a_shared_title_costs_one_row_a_ticket(spark):
+    tickets = spark.createDataFrame([(f"t{i}", "p", "same") for i in range(50)], "id string, fingerprint string, title string")
+    issues = spark.createDataFrame([(f"i{i:02}", "same", "x finding:t7 fingerprint:p -->" if i in (3, 4) else "") for i in range(50)], "id string, title string, body string")
+    got = rp.duplicate_tickets(tickets, issues).collect()
+    assert len(got) == 51 and {(r.issue_id, r.n_issues) for r in got if r.matched_by == "title"} == {("i00", 50)}
+    assert [(r.id, r.issue_id, r.n_issues) for r in got if r.matched_by == "marker"] == [("t7", "i03", 2)]
+
+
+def test_long_root_causes_that_begin_alike_stay_apart(spark):
+    start = "root cause " * 40
+    rows = [("r", "f", 1, "e", "w", i, "", start + end) for i, end in enumerate(("one", "two"))]
+    reports = spark.createDataFrame(rows, "rule_id string, file string, line int, excerpt string, worker_id string, seq int, remediation_identity string, root_cause string")
+    assert rd.merge_reports(reports).count() == 2
+
+
+def test_preview_stands_in_the_rank_rows(corpus):
+    row = pl.rank_input(pl.file_worklist(corpus({"a.py": "def go():\n  pass"}), preview=True)).first()
+    assert '"preview":"def go' in row.value
