@@ -3,6 +3,7 @@ import random
 import re
 import string
 
+import numpy as np
 import pytest
 
 pytest.importorskip("ahocorasick")
@@ -76,6 +77,38 @@ def test_leaks(spark):
     assert decontam.leaks(df, bench.limit(0)).count() == decontam.leaks(df.limit(0), bench).count() == 0
 
 
+def least_edits(window, text):
+    """Least edits between a window and any part of a text: the whole table, no band and no filter."""
+    k = np.arange(len(text) + 1)
+    cost = np.zeros(len(text) + 1, np.int64)
+    for i, ch in enumerate(window, 1):
+        new = np.append(i, np.minimum(cost[1:] + 1, cost[:-1] + (np.frombuffer(text, np.uint8) != ch)))
+        cost = np.minimum.accumulate(new - k) + k
+    return int(cost.min())
+
+
+def test_leaks_of_the_promised_length(spark):
+    """Copies of just one window at any offset of an item, with up to a tenth of edits, against alignment of every window."""
+    rnd = random.Random(11)
+    items = [words(rnd, 70)[:n].strip() for n in (336, 250, 97, 96, 60)]
+    docs = []
+    for i, item in enumerate(items):
+        for k in range(8):
+            at = rnd.randrange(max(1, len(item) - decontam.WINDOW + 1))
+            docs.append((10 * i + k, f"{words(rnd, 9)}{edited(rnd, item[at : at + decontam.WINDOW - (k == 7)], (0, 0, 0, 3, 6, 8, 9, 0)[k])}{words(rnd, 9)}"))
+    want = set()
+    for d, text in docs:
+        for i, item in enumerate(items):
+            data, size = decontam.normal(item), min(len(item), decontam.WINDOW)
+            found = [least_edits(data[s : s + size], decontam.normal(text)) for s in range(len(data) - size + 1)]
+            found = [e for e in found if e <= size // 10]
+            want |= {(d, i, len(found), min(found))} if found else set()
+    assert len(want) >= 35
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {tuple(r) for r in decontam.leaks(df, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert got == want
+
+
 def test_leaks_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 300)
     rnd = random.Random(9)
