@@ -13,10 +13,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from scanlake.scale import stable
+from scanlake.scale import running_sum, stable
 
-#: Turns that one rendered row holds at most; a longer conversation has several parts that follow on each other.
+#: Turns (rows) that one rendered row holds at most; a longer conversation has several parts that follow on each other.
 PART_TURNS = 1024
+#: Bytes at which a rendered row ends: the turn that reaches them is its last.
+PART_BYTES = 64 << 20
 HASH = ["h1", "h2"]
 
 
@@ -53,10 +55,18 @@ def maximal(rows: DataFrame) -> DataFrame:
 
 
 def render(rows: DataFrame, head: str = "<|im_start|>", tail: str = "<|im_end|>\n") -> DataFrame:
-    """(conv_id, part, n_turns, rendered): turns as ``head role newline text tail``; parts in order make the whole."""
+    """(conv_id, part, n_turns, rendered): turns as ``head role newline text tail``; parts in order make the whole.
+
+    ``rows`` are distinct. Parts are cut by a running sum over the rows in order, whatever their turn numbers are: a row
+    weighs its bytes, at least the ``PART_TURNS``-th of a part. Part numbers ascend; a turn larger than a part leaves some out.
+    """
     piece = F.concat(F.lit(head), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(tail))
-    order = F.struct("turn", "role", "text", piece.alias("piece"))
-    parts = rows.groupBy("conv_id", F.coalesce(_chunk(), F.lit(-(2**62))).alias("part")).agg(F.array_sort(F.collect_list(order)).alias("t"))
+    least = -(-PART_BYTES // PART_TURNS)
+    weight = F.greatest(F.octet_length(piece).cast("long"), F.lit(least))
+    placed = running_sum(rows.select("conv_id", "turn", "role", "text"), ["conv_id"], ["turn", "role", "text"], weight, "until")
+    begin = F.col("until") - weight
+    cut = placed.select("conv_id", F.floor(begin / (least * PART_TURNS)).alias("part"), F.struct(begin.alias("begin"), piece.alias("piece")).alias("t"))
+    parts = cut.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list("t")).alias("t"))
     return parts.select("conv_id", "part", F.size("t").cast("long").alias("n_turns"), F.array_join(F.transform("t", lambda x: x["piece"]), "").alias("rendered"))
 
 

@@ -173,3 +173,23 @@ def test_chat(spark, monkeypatch):
     assert whole == "".join(f"<|im_start|>{r}\n{x}<|im_end|>\n" for _, r, x in talk)
     assert [r.n_turns for r in sorted((r for r in got if r.conv_id == 2), key=lambda r: r.part)] == [3, 3, 3, 1]
     assert chat.collapsed(df.limit(0)).count() == 0
+
+
+def test_chat_parts_are_bounded(spark, monkeypatch):
+    """Repeated and missing turn numbers and long texts: no part beyond its rows or bytes, also where the window is split."""
+    from scanlake import scale
+    monkeypatch.setattr(chat, "PART_TURNS", 4)
+    rows = [(1, 0, "user", f"text {k:02}") for k in range(30)] + [(2, None, None if k < 5 else "user", f"text {k:02}") for k in range(30)]
+    rows += [(3, k // 5, "user", f"{k:02}" * 150) for k in range(12)] + [(4, 7, "user", "é")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    piece = lambda r, t: f"<|im_start|>{r or ''}\n{t}<|im_end|>\n"
+    for part_bytes, most in ((64 << 20, 4), (800, 3)):  # 12 texts of 300 bytes and marks: the third one reaches 800
+        monkeypatch.setattr(chat, "PART_BYTES", part_bytes)
+        for one_task in (2_000_000, 6):
+            monkeypatch.setattr(scale, "ONE_TASK_ROWS", one_task)
+            got = sorted(chat.collapsed(df).collect(), key=lambda r: (r.conv_id, r.part))
+            for c in (1, 2, 3, 4):
+                own = [r for r in got if r.conv_id == c]
+                assert "".join(r.rendered for r in own) == "".join(piece(r, t) for i, _, r, t in rows if i == c)
+                assert len({r.part for r in own}) == len(own) and own[0].part == 0 and max(r.n_turns for r in own) <= (most if c == 3 else 4)
+                assert sum(r.n_turns for r in own) == sum(i == c for i, *_ in rows) and {r.copies for r in own} == {1}
