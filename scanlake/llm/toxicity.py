@@ -1,7 +1,8 @@
 """Toxicity by weak supervision: many simple voters, a generative label model, and a linear classifier on its posteriors.
 
-Voters. Lexicon voters fire on a word or on how words begin or end; they are mined from the labelled documents of the training fold (per
-feature: in how many toxic and clean documents), next to a fixed list of insults. Pattern voters look at shouting, symbols and
+Voters. Lexicon voters fire on a word or on how words begin or end; they are mined from all labelled documents of the training fold (per
+feature: in how many toxic and clean documents), next to a fixed list of insults. The best vote by themselves, the other precise ones in
+a pool, however rare they are. Pattern voters look at shouting, symbols and
 repetition. One voter speaks for "clean": no lexicon voter fired.
 
 Label model. A voter that does not fire says nothing. The accuracy of a voter is the share of toxic documents among those it
@@ -9,7 +10,8 @@ fires on, known where labels are and expected where they are not, so it is estim
 documents; pairwise co-firing gives correlations, and a voter's say is divided by how much it overlaps with others. All
 counts are sums over all documents, taken on the distinct combinations of votes.
 
-Classifier. Logistic regression on the voters' features of a bounded sample of training documents, against the posteriors.
+Classifier. Logistic regression on all features of a bounded sample of training documents, against the posteriors. The sample
+takes documents of rare features more often, by as much as they then weigh less.
 """
 
 from __future__ import annotations
@@ -25,14 +27,16 @@ from pyspark.sql import DataFrame, functions as F
 from scanlake.llm.tables import held_out, map_batches, map_texts, slices
 from scanlake.scale import stable
 
-#: Labelled documents that the lexicon is mined from and the classifier is trained on, at most (about).
+#: Labelled documents that the classifier is trained on, at most (about), before those drawn for rare features.
 SAMPLE = 20_000
-#: Mined features, and how many of them are voters of the label model.
-FEATURES, VOTERS = 256, 60
+#: Labelled documents of each feature that are drawn, at least (about), where there are as many.
+OF_FEATURE = 25
+#: Mined features, and how many of them are voters of their own; others vote in pools by the least share of toxic documents.
+FEATURES, VOTERS, POOLS = 2048, 60, (0.95,)
 #: Features with the largest gain, before those that say the same are left out.
-CANDIDATES = 3000
-#: Documents times log ratio that a feature needs, so that none of a million features passes by chance.
-LEAST_GAIN = 24
+CANDIDATES = 8000
+#: Chance that any feature at all passes without a cause, and documents that a feature must be in to be tested.
+CHANCE, TESTED = 0.05, 3
 EM_ROUNDS = 4
 #: Words whose features a worker remembers; beyond it the memory starts anew.
 REMEMBERED = 600_000
@@ -66,17 +70,29 @@ def word_features(word: str) -> list[str]:
     return [f"w:{w}", *[f"p:{w[:k]}" for k in range(3, min(6, len(w)) + 1)], *[f"s:{w[-k:]}" for k in range(3, min(6, len(w)) + 1)]]
 
 
-def mine(docs: DataFrame, truth: DataFrame) -> list[str]:
-    """Features of toxic documents: frequent among them, rare among clean ones; best by weighted log ratio.
+def mine(docs: DataFrame, truth: DataFrame) -> list[tuple[str, int, int]]:
+    """(feature, toxic, clean) documents of features that are frequent among toxic documents and rare among clean ones; best by weighted log ratio.
 
-    ``docs`` has (_id, _t), ``truth`` (_id, y) of at most about SAMPLE documents.
+    ``docs`` has (_id, _t), ``truth`` (_id, y); all documents with a label are counted. A feature passes if so many toxic ones among its
+    documents are unlikely at the common rate (Chernoff's bound on the binomial tail, shared among all features tested).
     """
+    def words(ids, texts):
+        return {"_id": ids, "_t": pa.array([" ".join(dict.fromkeys(t.lower().split())) for t in texts], pa.string())}
+
     def count(batches):
         toxic, clean = Counter(), Counter()
+        memory: dict[str, list[str]] = {}
         for batch, texts in slices(batches, "_t"):
             for t, y in zip(texts, batch.column("y").to_pylist()):
-                found = {f for w in set(t.lower().split()) for f in word_features(w)}
+                found: set[str] = set()
+                for w in t.split():
+                    got = memory.get(w)
+                    if got is None:
+                        got = memory[w] = word_features(w)
+                    found.update(got)
                 (toxic if y else clean).update(found)
+                if len(memory) > REMEMBERED // 8:
+                    memory.clear()
             if len(toxic) + len(clean) > 500_000:
                 yield _counts(toxic, clean)
                 toxic, clean = Counter(), Counter()
@@ -85,23 +101,27 @@ def mine(docs: DataFrame, truth: DataFrame) -> list[str]:
     n = {r["y"]: r["n"] for r in truth.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return []
-    sampled = docs.join(F.broadcast(truth), "_id").select("_t", "y")  # truth has SAMPLE rows at most
-    by_feature = map_batches(sampled, count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    least = max(4, 0.02 * n[1])
+    kind = docs.schema["_id"].dataType.simpleString()
+    known = map_texts(docs.filter(~held_out("_id")), "_id", "_t", words, f"_id {kind}, _t string").join(truth, "_id").select("_t", "y")
+    by_feature = map_batches(known, count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    tested = stable(by_feature.filter(F.col("t") + F.col("c") >= TESTED))
+    least = float(np.log(max(1, tested.count()) / CHANCE))
+    rate, both = n[1] / (n[1] + n[0]), F.col("t") + F.col("c")
+    unlikely = F.col("t") * F.log(F.col("t") / (both * rate)) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (both * (1 - rate)))).otherwise(0.0)
     ratio = F.log((F.col("t") + 0.5) / (n[1] + 1)) - F.log((F.col("c") + 0.5) / (n[0] + 1))
-    fine = by_feature.filter((F.col("t") >= least) & (F.col("t") * n[0] >= 8 * F.col("c") * n[1])).withColumn("gain", F.col("t") * ratio).filter(F.col("gain") >= LEAST_GAIN)
+    fine = tested.filter((F.col("t") > 0) & (F.col("t") * n[0] >= 8 * F.col("c") * n[1])).filter(unlikely >= least).withColumn("gain", F.col("t") * ratio)
     best = fine.orderBy(F.desc("gain"), "feature").limit(CANDIDATES).collect()
     return distinct_features([(r["feature"], r["t"], r["c"]) for r in best])[:FEATURES]
 
 
-def distinct_features(found: list[tuple[str, int, int]]) -> list[str]:
+def distinct_features(found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Leave out a feature that says the same as a better one: one text holds the other and the counts are about equal."""
     kept: list[tuple[str, int, int]] = []
     for f, t, c in found:
         core = f[2:]
         if not any((core in k[2:] or k[2:] in core) and abs(t - a) <= 0.05 * max(t, a) + 1 for k, a, _ in kept):
             kept.append((f, t, c))
-    return [f for f, _, _ in kept]
+    return kept
 
 
 def _counts(toxic: Counter, clean: Counter) -> pa.RecordBatch:
@@ -160,10 +180,17 @@ def fired(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     return map_texts(docs, "_id", "_t", run, f"_id {docs.schema['_id'].dataType.simpleString()}, fired array<int>")
 
 
-def voters(lexicon: Lexicon) -> list[int]:
-    """Features that vote: the best mined ones, all insults, all patterns."""
-    insults = [i for i, f in enumerate(lexicon.features) if f in {f"w:{w}" for w in INSULTS}]
-    return sorted({*range(min(VOTERS, len(lexicon.features))), *insults, *range(len(lexicon.features), len(lexicon.names))})
+def voters(lexicon: Lexicon, mined: list[tuple[str, int, int]]) -> tuple[list[int], int, int]:
+    """The voter of each feature (-1: none), how many voters are of the lexicon (they come first), and how many there are.
+
+    The best mined features, all insults and all patterns are voters of their own; of the others those in toxic documents
+    mostly share one for each pool, and the rest, about as often in clean ones, are for the classifier only.
+    """
+    fixed = {f"w:{w}" for w in INSULTS}
+    pool = {f: next((f"pool {p}" for p in POOLS if t >= p * (t + c)), None) for f, t, c in mined[VOTERS:]}
+    names = [f if i < VOTERS or f in fixed else pool[f] for i, f in enumerate(lexicon.features)]
+    number = {name: k for k, name in enumerate(dict.fromkeys(n for n in names if n))}
+    return [number.get(n, -1) for n in names] + [len(number) + k for k in range(len(PATTERNS))], len(number), len(number) + len(PATTERNS)
 
 
 def label_model(votes: DataFrame, n_voters: int, lexicon_votes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -222,17 +249,19 @@ def posterior(on: list[int], say: np.ndarray, base: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
 
 
-def regress(rows: list[list[int]], target: np.ndarray, size: int, rounds: int = 300) -> tuple[np.ndarray, float]:
+def regress(rows: list[list[int]], target: np.ndarray, size: int, weight: np.ndarray | None = None, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Logistic regression on 0/1 features against posteriors, by accelerated gradient steps with a small penalty."""
-    x = np.zeros((len(rows), size), np.float32)
-    for i, on in enumerate(rows):
-        x[i, on] = 1
-    w, b = np.zeros(size), float(np.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3)))
+    own = np.repeat(np.arange(len(rows)), [len(on) for on in rows])
+    flat = np.array([f for on in rows for f in on], np.int64)
+    share = np.full(len(rows), 1 / len(rows)) if weight is None else weight / weight.sum()
+    mean_target = float(share @ target)
+    penalty = np.minimum(1e-4, 0.02 * np.bincount(flat, share[own], size))  # a rare feature is not held down by its rarity
+    w, b = np.zeros(size), float(np.log((mean_target + 1e-3) / (1 - mean_target + 1e-3)))
     mean, var = np.zeros(size + 1), np.zeros(size + 1)
     for r in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-        d = (p - target) / len(rows)
-        g = np.append(x.T @ d + 1e-4 * w, d.sum())
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(own, w[flat], len(rows)) + b, -30, 30)))
+        d = (p - target) * share
+        g = np.append(np.bincount(flat, d[own], size) + penalty * w, d.sum())
         mean, var = 0.9 * mean + 0.1 * g, 0.99 * var + 0.01 * g * g
         move = 0.1 * (mean / (1 - 0.9**r)) / (np.sqrt(var / (1 - 0.99**r)) + 1e-9)
         w, b = w - move[:-1], b - move[-1]
@@ -249,33 +278,43 @@ def truth_of(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     return known.groupBy("_id").agg(F.avg(F.col("y").cast("double")).alias("y")).select("_id", (F.col("y") >= 0.5).cast("int").alias("y"))
 
 
+def _sample(known: DataFrame, size: int) -> tuple[list[list[int]], np.ndarray | None]:
+    """What fires on drawn documents and how many documents each stands for: about SAMPLE of all and OF_FEATURE of each feature."""
+    total = known.count()
+    if not total:
+        return [], None
+    times = {r["f"]: r["n"] for r in known.select(F.explode("fired").alias("f")).groupBy("f").agg(F.count("*").alias("n")).collect()}  # one row a feature
+    share = min(1.0, SAMPLE / total)
+    each = F.lit([max(share, min(1.0, OF_FEATURE / times.get(f, total))) for f in range(size)])
+    chance = F.coalesce(F.array_max(F.transform("fired", lambda f: F.element_at(each, f + 1))), F.lit(share))
+    drawn = known.withColumn("chance", chance).filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < F.col("chance") * (1 << 30))
+    rows = drawn.select("fired", "chance").collect()  # about SAMPLE and OF_FEATURE times the features at most
+    return [r["fired"] for r in rows], np.array([1 / r["chance"] for r in rows])
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[Model, DataFrame]:
     """The model, and what fires on every document (written to the checkpoint folder, for scoring)."""
     texts = _documents(docs, id_col, text_col)
     truth = stable(truth_of(labels, id_col, label_col))
-    share = min(1.0, SAMPLE / max(1, truth.count()))
-    sample = truth.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    mined = mine(texts, sample)
+    mined = mine(texts, truth)
     fixed = [f"w:{w}" for w in INSULTS]
-    lexicon = Lexicon([*mined, *[f for f in fixed if f not in mined]])
+    names = [f for f, _, _ in mined]
+    lexicon = Lexicon([*names, *[f for f in fixed if f not in names]])
     hits = stable(fired(texts, lexicon))
-    chosen = voters(lexicon)
-    position = {f: i for i, f in enumerate(chosen)}
-    lexicon_votes = sum(f < len(lexicon.features) for f in chosen)
-    votes = F.transform(F.filter("fired", lambda f: f.isin(chosen)), lambda f: F.element_at(F.create_map(*[F.lit(x) for kv in position.items() for x in kv]), f))
+    voter, lexicon_votes, j = voters(lexicon, mined)
+    number = F.lit(voter)
+    votes = F.array_sort(F.array_distinct(F.filter(F.transform("fired", lambda f: F.element_at(number, f + 1)), lambda v: v >= 0)))
     combos = stable(hits.select("_id", votes.alias("v")).join(truth, "_id", "left").groupBy("v", "y").agg(F.count("*").alias("n")))
-    accuracy, say = label_model(combos, len(chosen), lexicon_votes)
-    rows = hits.join(F.broadcast(sample), "_id").select("fired").collect()  # SAMPLE rows at most
-    known = [r["fired"] for r in rows]
+    accuracy, say = label_model(combos, j, lexicon_votes)
+    known, weight = _sample(hits.join(truth.select("_id"), "_id"), len(lexicon.names))
     counts = combos.agg(F.sum(F.when(F.col("y").isNotNull(), F.col("n"))).alias("k"), F.sum(F.when(F.col("y") == 1, F.col("n"))).alias("t")).first()
     base = ((counts["t"] or 0) + 1) / ((counts["k"] or 0) + 10)
     if not known:  # nothing to train on: examples with one voter each, at the posteriors that the list's own prior gives
         known = [[i] for i, f in enumerate(lexicon.features) if f in fixed] + [[]] * 20
         target = np.array([0.9] * (len(known) - 20) + [0.02] * 20)
     else:
-        j = len(chosen) + 1
-        target = np.array([posterior(with_silence([position[f] for f in on if f in position], lexicon_votes, j), say, base) for on in known])
-    w, b = regress(known, target, len(lexicon.names))
+        target = np.array([posterior(with_silence(sorted({voter[f] for f in on} - {-1}), lexicon_votes, j + 1), say, base) for on in known])
+    w, b = regress(known, target, len(lexicon.names), weight)
     return Model(lexicon, accuracy, say, w, b), hits
 
 

@@ -88,6 +88,22 @@ def test_toxicity_held_out(spark):
     assert odd == {2000: 0, 2001: 0, 2002: 1, None: 1}
 
 
+def test_toxicity_rare_word(spark, monkeypatch):
+    """A word of under 2 % of the toxic documents is learned, also where the classifier's sample is small."""
+    monkeypatch.setattr(toxicity, "SAMPLE", 400)
+    rnd = random.Random(7)
+    kinds = [(0, [])] * 2600 + [(1, ["idiot"])] * 1400 + [(1, ["blorgon"])] * 26
+    docs, labels = [], []
+    for i, (toxic, extra) in enumerate(kinds):
+        docs.append((i, " ".join([text(rnd, rnd.choice(list(SYLLABLES)), 12), *extra, text(rnd, "aa", 3)])))
+        labels.append((i, toxic))
+    new = [(9000 + k, f"{text(rnd, 'bb', 12)} {'blorgon' if k % 2 else 'kato'} {text(rnd, 'cc', 5)}") for k in range(20)]
+    df = spark.createDataFrame(docs + new, "doc_id long, text string")
+    rows = toxicity.score(df, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert {r.doc_id: r.predicted for r in rows if r.doc_id >= 9000} == {i: i % 2 for i, _ in new}
+    assert np.mean([r.predicted == kinds[r.doc_id][0] for r in rows if r.doc_id < 9000]) > 0.99
+
+
 def test_toxicity_odd_tables(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     some = spark.createDataFrame([(i, 0) for i in range(9)], "doc_id long, toxic int")
