@@ -1,7 +1,7 @@
 """Toxicity by weak supervision: many simple voters, a generative label model, and a linear classifier on its posteriors.
 
 Voters. Lexicon voters fire on a word or on how words begin or end; they are mined from all labelled documents of the training fold (per
-feature: in how many toxic and clean documents), next to a fixed list of insults. The best vote by themselves, the other precise ones in
+feature: in how many toxic and clean documents), next to words that the caller names. The best vote by themselves, the other precise ones in
 a pool, however rare they are. Pattern voters look at shouting, symbols and
 repetition. One voter speaks for "clean": no lexicon voter fired.
 
@@ -35,13 +35,13 @@ OF_FEATURE = 25
 FEATURES, VOTERS, POOLS = 2048, 60, (0.95,)
 #: Features with the largest gain, before those that say the same are left out.
 CANDIDATES = 8000
-#: Chance that any feature at all passes without a cause, and documents that a feature must be in to be tested.
-CHANCE, TESTED = 0.05, 3
+#: Chance that any feature at all passes without a cause.
+CHANCE = 0.05
+#: Bits of the bitmaps that tell toxic documents and able features from the rest before the exact join; features a task counts at a time.
+MARK_BITS, COUNTERS = 26, 250_000
 EM_ROUNDS = 4
-#: Words whose features a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 600_000
-#: A public list of insults.
-INSULTS = ("idiot", "moron", "stupid", "loser", "pathetic", "scum", "trash", "worthless", "disgusting", "clown")
+#: Words whose features a task remembers; beyond it the memory starts anew.
+REMEMBERED = 300_000
 _STRIP = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»„“”‘’…"
 _SHOUT = re.compile(r"!{2,}|\?{2,}")
 PATTERNS = ("shouting", "many_symbols", "exclaims", "insult_nearby_you")
@@ -49,6 +49,7 @@ PATTERNS = ("shouting", "many_symbols", "exclaims", "insult_nearby_you")
 
 class Lexicon(NamedTuple):
     features: list[str]  # "w:word", "p:prefix", "s:suffix"
+    insults: tuple[str, ...] = ()  # words that the caller knows to be insults
 
     @property
     def names(self) -> list[str]:
@@ -70,47 +71,114 @@ def word_features(word: str) -> list[str]:
     return [f"w:{w}", *[f"p:{w[:k]}" for k in range(3, min(6, len(w)) + 1)], *[f"s:{w[-k:]}" for k in range(3, min(6, len(w)) + 1)]]
 
 
+def _marked(hashes: DataFrame) -> np.ndarray:
+    """Which of ``1 << MARK_BITS`` places the hashes (one column h) fall on, as bytes of bits; at most 8 MB however many there are."""
+    place = F.pmod("h", F.lit(1 << MARK_BITS))
+    pieces = hashes.select(F.shiftright(place, 15).alias("b"), place.bitwiseAND(F.lit(32767)).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
+    out = np.zeros(1 << (MARK_BITS - 3), np.uint8)
+    for r in pieces:  # 4,096 bytes each
+        out[r["b"] * 4096 : r["b"] * 4096 + 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _is_marked(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = hashes.astype(np.int64) & np.int64((1 << MARK_BITS) - 1)
+    return (marks[place >> 3] >> (place & 7).astype(np.uint8)) & 1 != 0
+
+
+def _word_set(text: str) -> str:
+    return " ".join(dict.fromkeys(text.lower().split()))
+
+
+def _counted(known: DataFrame, marks=None) -> DataFrame:
+    """(feature, n): documents of ``known`` (_t: a word set) that have each feature; with marks (a broadcast) of marked features only."""
+    def count(batches):
+        import xxhash
+
+        place, bits = (1 << MARK_BITS) - 1, marks.value.tobytes() if marks is not None else b""
+
+        def features(word: str) -> tuple:
+            found = word_features(word)
+            if not bits:
+                return tuple(found)
+            at = [xxhash.xxh64_intdigest(f, 42) & place for f in found]
+            return tuple(f for f, p in zip(found, at) if bits[p >> 3] >> (p & 7) & 1)
+
+        found: Counter = Counter()
+        memory: dict[str, tuple] = {}
+        for _, texts in slices(batches, "_t"):
+            for t in texts:
+                have: set[str] = set()
+                for w in t.split():
+                    got = memory.get(w)
+                    if got is None:
+                        got = memory[w] = features(w)
+                    have.update(got)
+                found.update(have)
+                if len(memory) > REMEMBERED // 4:
+                    memory.clear()
+            if len(found) > COUNTERS:
+                yield _counts(found)
+                found = Counter()
+        yield _counts(found)
+
+    return map_batches(known, count, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+
+
+def least_documents(by_count: dict[int, int], rate: float) -> tuple[int, int]:
+    """(k, features that are in k or more toxic documents): the least k with which a feature that is in no clean document passes.
+
+    Features in fewer can't pass whatever else holds and don't count as tests (Tarone's correction).
+    """
+    left = sum(by_count.values())
+    for k in range(1, max(by_count, default=0) + 1):
+        if k * -np.log(rate) >= np.log(max(1, left) / CHANCE):
+            return k, left
+        left -= by_count.get(k, 0)
+    return max(by_count, default=0) + 1, 0
+
+
 def mine(docs: DataFrame, truth: DataFrame) -> list[tuple[str, int, int]]:
     """(feature, toxic, clean) documents of features that are frequent among toxic documents and rare among clean ones; best by weighted log ratio.
 
     ``docs`` has (_id, _t), ``truth`` (_id, y); all documents with a label are counted. A feature passes if so many toxic ones among its
-    documents are unlikely at the common rate (Chernoff's bound on the binomial tail, shared among all features tested).
+    documents are unlikely at the common rate (Chernoff's bound on the binomial tail, shared among all features that could pass).
+    Two passes: the features of toxic documents first, then those of them that could pass, over the clean documents. Toxic documents are
+    told from the rest by a bitmap of fixed size before their texts move, and for certain by the join.
     """
     def words(ids, texts):
-        return {"_id": ids, "_t": pa.array([" ".join(dict.fromkeys(t.lower().split())) for t in texts], pa.string())}
+        return {"_id": ids, "_t": pa.array([_word_set(t) for t in texts], pa.string())}
 
-    def count(batches):
-        toxic, clean = Counter(), Counter()
-        memory: dict[str, list[str]] = {}
+    def toxic_words(batches):
         for batch, texts in slices(batches, "_t"):
-            for t, y in zip(texts, batch.column("y").to_pylist()):
-                found: set[str] = set()
-                for w in t.split():
-                    got = memory.get(w)
-                    if got is None:
-                        got = memory[w] = word_features(w)
-                    found.update(got)
-                (toxic if y else clean).update(found)
-                if len(memory) > REMEMBERED // 8:
-                    memory.clear()
-            if len(toxic) + len(clean) > 500_000:
-                yield _counts(toxic, clean)
-                toxic, clean = Counter(), Counter()
-        yield _counts(toxic, clean)
+            rows = np.flatnonzero(_is_marked(toxic_marks.value, batch.column("h").to_numpy()))
+            yield pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(rows)), pa.array([_word_set(texts[i]) for i in rows], pa.string())], names=["_id", "_t"])
 
     n = {r["y"]: r["n"] for r in truth.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return []
-    kind = docs.schema["_id"].dataType.simpleString()
-    known = map_texts(docs.filter(~held_out("_id")), "_id", "_t", words, f"_id {kind}, _t string").join(truth, "_id").select("_t", "y")
-    by_feature = map_batches(known, count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    tested = stable(by_feature.filter(F.col("t") + F.col("c") >= TESTED))
-    least = float(np.log(max(1, tested.count()) / CHANCE))
-    rate, both = n[1] / (n[1] + n[0]), F.col("t") + F.col("c")
+    sc, kind = docs.sparkSession.sparkContext, docs.schema["_id"].dataType.simpleString()
+    train = docs.filter(~held_out("_id"))
+    toxic, clean = (truth.filter(F.col("y") == y).select("_id") for y in (1, 0))
+    toxic_marks = sc.broadcast(_marked(toxic.select(F.xxhash64("_id").alias("h"))))
+    near = map_batches(train.select("_id", "_t", F.xxhash64("_id").alias("h")), toxic_words, f"_id {kind}, _t string")
+    t = stable(_counted(near.join(toxic.hint("merge"), "_id").select("_t")).withColumnRenamed("n", "t"))
+    top = 1 << 10
+    by_count = {r["k"]: r["n"] for r in t.groupBy(F.least("t", F.lit(top)).alias("k")).agg(F.count("*").alias("n")).collect()}
+    rate = n[1] / (n[1] + n[0])
+    k, tested = least_documents(by_count, rate)
+    least = float(np.log(max(1, tested) / CHANCE))
+    able = t.filter(F.col("t") >= k)
+    marks = sc.broadcast(_marked(able.select(F.xxhash64("feature").alias("h"))))
+    known = map_texts(train, "_id", "_t", words, f"_id {kind}, _t string").join(clean.hint("merge"), "_id").select("_t")
+    both_counts = able.join(_counted(known, marks).withColumnRenamed("n", "c"), "feature", "left").select("feature", "t", F.coalesce("c", F.lit(0)).alias("c"))
+    both = F.col("t") + F.col("c")
     unlikely = F.col("t") * F.log(F.col("t") / (both * rate)) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (both * (1 - rate)))).otherwise(0.0)
     ratio = F.log((F.col("t") + 0.5) / (n[1] + 1)) - F.log((F.col("c") + 0.5) / (n[0] + 1))
-    fine = tested.filter((F.col("t") > 0) & (F.col("t") * n[0] >= 8 * F.col("c") * n[1])).filter(unlikely >= least).withColumn("gain", F.col("t") * ratio)
+    fine = both_counts.filter(F.col("t") * n[0] >= 8 * F.col("c") * n[1]).filter(unlikely >= least).withColumn("gain", F.col("t") * ratio)
     best = fine.orderBy(F.desc("gain"), "feature").limit(CANDIDATES).collect()
+    for b in (toxic_marks, marks):
+        b.unpersist()
     return distinct_features([(r["feature"], r["t"], r["c"]) for r in best])[:FEATURES]
 
 
@@ -124,43 +192,51 @@ def distinct_features(found: list[tuple[str, int, int]]) -> list[tuple[str, int,
     return kept
 
 
-def _counts(toxic: Counter, clean: Counter) -> pa.RecordBatch:
-    names = list(toxic.keys() | clean.keys())
-    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([toxic[f] for f in names], pa.int64()), pa.array([clean[f] for f in names], pa.int64())], names=["feature", "toxic", "clean"])
+def _counts(found: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["feature", "n"])
 
 
-def _patterns(text: str, words: set[str]) -> list[int]:
-    """Numbers of the pattern voters that a text fires by itself."""
-    upper = sum(1 for w in words if len(w) > 1 and w.isupper())
-    symbols = sum(1 for w in words if len(w) > 1 and not w[-1].isalnum() and not w[-2].isalnum())
-    n = max(1, len(words))
-    out = []
-    if upper > 0.5 * n:
-        out.append(0)
-    if symbols > 0.5 * n:
-        out.append(1)
-    if _SHOUT.search(text):
-        out.append(2)
-    return out
+def _patterns(text: str, n: int, upper: int, symbols: int) -> list[int]:
+    """Numbers of the pattern voters that a text of n words fires by itself."""
+    fired_ = [upper > 0.5 * max(1, n), symbols > 0.5 * max(1, n), bool(_SHOUT.search(text))]
+    return [k for k, yes in enumerate(fired_) if yes]
 
 
 def firing(lexicon: Lexicon, texts: list[str], memory: dict[str, tuple]) -> list[list[int]]:
-    """Numbers of the features that fire on each text."""
-    number = {f: i for i, f in enumerate(lexicon.features)}
-    base = len(number)
-    insult = {number[f"w:{w}"] for w in INSULTS if f"w:{w}" in number}
+    """Numbers of the features that fire on each text. ``memory`` keeps what a word has: features, upper case, symbols."""
+    by_kind: dict[str, dict[str, int]] = {"w": {}, "p": {}, "s": {}}
+    for i, f in enumerate(lexicon.features):
+        by_kind[f[0]][f[2:]] = i
+    whole, prefix, suffix = by_kind.values()
+    base = len(lexicon.features)
+    insult = {whole[w] for w in lexicon.insults if w in whole}
+
+    def look(word: str) -> tuple:
+        w = word.lower().strip(_STRIP)
+        got = [whole[w]] if w in whole else []
+        for k in range(3, min(6, len(w)) + 1):
+            if (head := w[:k]) in prefix:
+                got.append(prefix[head])
+            if (tail := w[-k:]) in suffix:
+                got.append(suffix[tail])
+        upper = len(word) > 1 and word.isupper()
+        symbols = len(word) > 1 and not word[-1].isalnum() and not word[-2].isalnum()
+        return (got, upper, symbols) if got or upper or symbols else ()
+
     out = []
     for t in texts:
         words = set(t.split())
         found: set[int] = set()
+        upper = symbols = 0
         for w in words:
             got = memory.get(w)
             if got is None:
-                got = tuple(number[f] for f in word_features(w.lower()) if f in number)
-                memory[w] = got
+                got = memory[w] = look(w)
             if got:
-                found.update(got)
-        extra = _patterns(t, words)
+                found.update(got[0])
+                upper += got[1]
+                symbols += got[2]
+        extra = _patterns(t, len(words), upper, symbols)
         if found & insult and ("you" in words or "You" in words):
             extra.append(3)
         out.append(sorted(found) + [base + k for k in extra])
@@ -183,10 +259,10 @@ def fired(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 def voters(lexicon: Lexicon, mined: list[tuple[str, int, int]]) -> tuple[list[int], int, int]:
     """The voter of each feature (-1: none), how many voters are of the lexicon (they come first), and how many there are.
 
-    The best mined features, all insults and all patterns are voters of their own; of the others those in toxic documents
+    The best mined features, all named insults and all patterns are voters of their own; of the others those in toxic documents
     mostly share one for each pool, and the rest, about as often in clean ones, are for the classifier only.
     """
-    fixed = {f"w:{w}" for w in INSULTS}
+    fixed = {f"w:{w}" for w in lexicon.insults}
     pool = {f: next((f"pool {p}" for p in POOLS if t >= p * (t + c)), None) for f, t, c in mined[VOTERS:]}
     names = [f if i < VOTERS or f in fixed else pool[f] for i, f in enumerate(lexicon.features)]
     number = {name: k for k, name in enumerate(dict.fromkeys(n for n in names if n))}
@@ -292,14 +368,14 @@ def _sample(known: DataFrame, size: int) -> tuple[list[list[int]], np.ndarray |
     return [r["fired"] for r in rows], np.array([1 / r["chance"] for r in rows])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", insults: tuple[str, ...] = ()) -> tuple[Model, DataFrame]:
     """The model, and what fires on every document (written to the checkpoint folder, for scoring)."""
     texts = _documents(docs, id_col, text_col)
     truth = stable(truth_of(labels, id_col, label_col))
     mined = mine(texts, truth)
-    fixed = [f"w:{w}" for w in INSULTS]
+    fixed = [f"w:{w}" for w in insults]
     names = [f for f, _, _ in mined]
-    lexicon = Lexicon([*names, *[f for f in fixed if f not in names]])
+    lexicon = Lexicon([*names, *[f for f in fixed if f not in names]], tuple(insults))
     hits = stable(fired(texts, lexicon))
     voter, lexicon_votes, j = voters(lexicon, mined)
     number = F.lit(voter)
@@ -336,7 +412,11 @@ def scored(hits: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
     return map_batches(hits.select("_id", "fired"), run, f"_id {kind}, score double, predicted int").withColumnRenamed("_id", id_col)
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """(id, score, predicted) of every row of ``docs``: learned on the training fold of ``labels``, applied to all."""
-    model, hits = fit(docs, labels, id_col, text_col, label_col)
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", insults: tuple[str, ...] = ()) -> DataFrame:
+    """(id, score, predicted) of every row of ``docs``: learned on the training fold of ``labels``, applied to all.
+
+    ``insults`` are words the caller knows to be toxic; none by default, all words are learned. One row per row: repeated rows score alike, a null text like
+    an empty one, a row without an id is scored but not learned from. Null labels are no labels; of several the majority counts. Other columns are not read.
+    """
+    model, hits = fit(docs, labels, id_col, text_col, label_col, insults)
     return scored(hits, model, id_col)

@@ -1,4 +1,5 @@
 """Learned operators: held-out accuracy, what they may not look at, and odd rows."""
+import collections
 import random
 
 import numpy as np
@@ -79,7 +80,7 @@ def test_toxicity_held_out(spark):
     labels += [(5, 0, 0), (None, 1, 1), (2000, 1, None)]
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "0 as _id", "0 as y").withColumn("fold", held_out())
     truth = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    rows = toxicity.score(df, truth).collect()
+    rows = toxicity.score(df, truth, insults=("idiot", "moron")).collect()
     fold = {r.doc_id: r.fold for r in df.collect()}
     assert len(rows) == len(docs) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
     seen = [(r.predicted, int(r.doc_id % 6 == 0)) for r in rows if r.doc_id is not None and r.doc_id < 700 and fold[r.doc_id] and r.doc_id != 5]
@@ -111,3 +112,76 @@ def test_toxicity_odd_tables(spark, odd_docs, no_docs):
     for labels in (none, some):
         rows = toxicity.score(odd_docs, labels).collect()
         assert len(rows) == odd_docs.count() and not any(r.predicted for r in rows)
+
+
+def test_toxicity_counts_pass_test_and_marks(spark):
+    """Counts of ``mine`` and which features pass, by plain counting; the bitmap holds exactly what was put in."""
+    rnd = random.Random(8)
+    docs, labels = [], []
+    for i in range(500):
+        y = int(rnd.random() < 0.2)
+        words = [rnd.choice("kato miru senne beral Vero tox".split()) + rnd.choice(["", "s", "ing", "!"]) for _ in range(rnd.randint(0, 12))]
+        if y and rnd.random() < 0.5:
+            words.append(rnd.choice(["grumpf", "grumpfel", "Blorg"]))
+        docs.append((i, " ".join(words)))
+        if rnd.random() < 0.9:
+            labels.append((i, y))
+    df = spark.createDataFrame(docs, "_id long, _t string")
+    truth = spark.createDataFrame(labels, "_id long, y int").filter(~held_out("_id"))
+    mined = toxicity.mine(df, truth)
+    fold = {r._id: r.y for r in truth.collect()}
+    t, c = collections.Counter(), collections.Counter()
+    for i, text_ in docs:
+        if i in fold:
+            (t if fold[i] else c).update({f for w in text_.lower().split() for f in toxicity.word_features(w)})
+    n1, n0 = sum(fold.values()), len(fold) - sum(fold.values())
+    rate = n1 / (n1 + n0)
+    k = next(k for k in range(1, n1) if k * -np.log(rate) >= np.log(max(1, sum(x >= k for x in t.values())) / toxicity.CHANCE))
+    least = np.log(max(1, sum(x >= k for x in t.values())) / toxicity.CHANCE)
+    passed = {}
+    for f, a in t.items():
+        b = c[f]
+        tail = a * np.log(a / ((a + b) * rate)) + (b * np.log(b / ((a + b) * (1 - rate))) if b else 0)
+        if a >= k and a * n0 >= 8 * b * n1 and tail >= least:
+            passed[f] = a * (np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1)))
+    order = sorted(passed, key=lambda f: (-round(passed[f], 9), f))
+    assert mined and mined == toxicity.distinct_features([(f, t[f], c[f]) for f in order])
+    marks = toxicity._marked(spark.range(1000).selectExpr("xxhash64(id) h"))
+    have = {r.h & ((1 << toxicity.MARK_BITS) - 1) for r in spark.range(1000).selectExpr("xxhash64(id) h").collect()}
+    assert {int(x) for x in np.flatnonzero(np.unpackbits(marks, bitorder="little"))} == have
+
+
+def test_toxicity_label_model_sums(spark, monkeypatch):
+    """One round of expectation-maximisation by plain sums over single documents."""
+    monkeypatch.setattr(toxicity, "EM_ROUNDS", 2)
+    rnd = random.Random(9)
+    rows = []
+    for _ in range(400):
+        y = rnd.choice([0, 0, 1, None])
+        rows.append((sorted(k for k in range(4) if rnd.random() < (0.6 if y else 0.2)), y))
+    votes = spark.createDataFrame([(v, y, 1) for v, y in rows], "v array<int>, y int, n long")
+    accuracy, say = toxicity.label_model(votes, 4, 3)
+    known = [y for _, y in rows if y is not None]
+    base = (sum(known) + 1) / (len(known) + 10)
+    a = s = None
+    for _ in range(2):
+        toxic, total, one = np.zeros(5), np.zeros(5), np.zeros((5, 5))
+        for v, y in rows:
+            on = v if any(i < 3 for i in v) else [*v, 4]
+            for i in on:
+                for j in on:
+                    one[i, j] += 1
+            if y is None and s is None:
+                continue
+            p = y if y is not None else 1 / (1 + np.exp(-(np.log(base / (1 - base)) + sum(s[i] for i in on))))
+            for i in on:
+                toxic[i] += p
+                total[i] += 1
+        a = (toxic + 4 * base) / (total + 4)
+        fires = np.maximum(np.diag(one), 1e-9)
+        overlap = np.array([[1 if i == j else one[i, j] / np.sqrt(fires[i] * fires[j]) for j in range(5)] for i in range(5)])
+        s = (np.log(a / (1 - a)) - np.log(base / (1 - base))) / np.clip((overlap**2).sum(1), 1, 4)
+    assert np.allclose(accuracy, a) and np.allclose(say, s)
+    w, b = toxicity.regress([[0], [0], [1], []], np.array([0.9, 0.9, 0.1, 0.5]), 2)
+    prob = [1 / (1 + np.exp(-(x + b))) for x in (w[0], w[1], 0)]
+    assert prob[0] > 0.85 and prob[1] < 0.15 and abs(prob[2] - 0.5) < 0.1
