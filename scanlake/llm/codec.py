@@ -14,16 +14,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from scanlake.llm.pieces import SPACE, Vocabulary, default_path, unseen, vocabulary
-from scanlake.llm.tables import map_batches, map_texts
+from scanlake.llm.pieces import SPACE, Vocabulary, default_path, vocabulary
+from scanlake.llm.tables import map_batches, map_texts, recent
 
-#: Words whose ids a worker remembers; beyond it only those of the batch at hand stay.
-REMEMBERED = 500_000
-
-
-@functools.lru_cache(maxsize=2)
-def _memory(path: str) -> dict[str, bytes]:
-    return {}
+#: Words whose ids a worker remembers, next to those of the batch at hand.
+REMEMBERED = 150_000
 
 
 def word_ids(voc: Vocabulary, words: list[str]) -> dict[str, bytes]:
@@ -59,10 +54,11 @@ def word_ids(voc: Vocabulary, words: list[str]) -> dict[str, bytes]:
 
 def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
     """Ids of each text; words not seen before go through the lattice in one batch."""
-    voc, memory = vocabulary(path), _memory(path)
+    voc, memory = vocabulary(path), recent(("codec", path), REMEMBERED)
     cut = [voc.segments(t) for t in texts]
-    memory.update(word_ids(voc, unseen(memory, cut, REMEMBERED)))
-    return [np.frombuffer(b"".join(map(memory.__getitem__, words)), np.int32) for words in cut]
+    new = memory.missing(set().union(*cut))
+    memory.young.update(word_ids(voc, new))
+    return [np.frombuffer(b"".join(map(memory.young.__getitem__, words)), np.int32) for words in cut]
 
 
 def _piece_bytes(voc: Vocabulary) -> list[bytes]:

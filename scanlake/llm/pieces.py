@@ -183,16 +183,6 @@ class Vocabulary:
                 yield some, np.frombuffer(joined, np.uint32).reshape(len(some), n)
 
 
-def unseen(memory: dict, cut: list[list[str]], most: int) -> list[str]:
-    """Words of a batch that the memory lacks; a memory that grows over ``most`` keeps only words of this batch."""
-    words = set().union(*cut)
-    new = [w for w in words if w not in memory]
-    if len(memory) + len(new) > most:
-        for w in memory.keys() - words:
-            del memory[w]
-    return new
-
-
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     """Loaded once per worker process; the file is at the same path everywhere."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -50,6 +50,37 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, fn: Callable[[pa.Array,
     return map_batches(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")), run, schema)
 
 
+class Recent:
+    """What a worker remembers of words: the words of late, at most about ``most``. A word that is used again stays, the others go."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def missing(self, words: Iterable[str]) -> list[str]:
+        """Words that are not remembered; the others are in ``young`` afterwards. Generations change here, before a batch."""
+        if len(self.young) > self.most // 2:
+            self.old, self.young = self.young, {}
+        young, old, new = self.young, self.old, []
+        for w in words:
+            if w not in young:
+                if w in old:
+                    young[w] = old[w]
+                else:
+                    new.append(w)
+        return new
+
+
+_RECENT: dict[tuple, Recent] = {}
+
+
+def recent(owner: tuple, most: int) -> Recent:
+    """The memory of one operator in this worker; the worker serves operators one after the other, so others' memories go."""
+    if owner not in _RECENT:
+        _RECENT.clear()
+        _RECENT[owner] = Recent(most)
+    return _RECENT[owner]
+
+
 def held_out(id_col: str = "doc_id"):
     """True for the fifth of the rows whose labels must not be learned from, and for rows without an id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(True))

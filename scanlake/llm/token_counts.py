@@ -8,22 +8,15 @@ from one prefix to the next (a longer piece can replace two), so "fits" means th
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from scanlake.llm.pieces import Vocabulary, default_path, unseen, vocabulary
-from scanlake.llm.tables import map_texts
-
-#: Words whose counts a worker remembers; beyond it only those of the batch at hand stay.
-REMEMBERED = 900_000
+from scanlake.llm.pieces import Vocabulary, default_path, vocabulary
+from scanlake.llm.tables import map_texts, recent
 
-
-@functools.lru_cache(maxsize=2)
-def _memory(path: str) -> dict[str, int]:
-    return {}
+#: Words whose counts a worker remembers, next to those of the batch at hand.
+REMEMBERED = 200_000
 
 
 def _tokens_of_last(voc: Vocabulary, last: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -47,10 +40,11 @@ def prefix_counts(voc: Vocabulary, codes: np.ndarray) -> np.ndarray:
 
 
 def _totals(path: str, cut: list[list[str]]) -> dict[str, int]:
-    voc, memory = vocabulary(path), _memory(path)
-    for some, codes in voc.groups(unseen(memory, cut, REMEMBERED)):
-        memory.update(zip(some, prefix_counts(voc, codes)[:, -1].tolist()))
-    return memory
+    voc, memory = vocabulary(path), recent(("token_counts", path), REMEMBERED)
+    new = memory.missing(set().union(*cut))
+    for some, codes in voc.groups(new):
+        memory.young.update(zip(some, prefix_counts(voc, codes)[:, -1].tolist()))
+    return memory.young
 
 
 def _one(voc: Vocabulary, segment: str) -> np.ndarray:
@@ -75,7 +69,10 @@ def _fitting(voc: Vocabulary, words: list[str], counts: list[int], limit: int) -
 
 
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, path: str | None = None) -> DataFrame:
-    """(id, n_tokens, fit_chars): tokens of every whole text, and the characters of its longest prefix within ``limit``."""
+    """(id, n_tokens, fit_chars): tokens of every whole text, and the characters of its longest prefix within ``limit``.
+
+    One row per row, repeated rows alike; a null text counts as empty (no tokens). Other columns are not read.
+    """
     path = path or default_path()
 
     def run(ids, texts):

@@ -246,14 +246,16 @@ def firing(lexicon: Lexicon, texts: list[str], memory: dict[str, tuple]) -> list
 
 
 def fired(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(_id, fired) of every whole text."""
+    """(_id, _carried, fired) of every whole text."""
     held = docs.sparkSession.sparkContext.broadcast(lexicon)
+    docs = docs.select(F.struct("_id", "_carried").alias("_id"), "_t")
     memory: dict[str, tuple] = {}
 
     def run(ids, texts):
         return {"_id": ids, "fired": pa.array(firing(held.value, texts, memory), pa.list_(pa.int32()))}
 
-    return map_texts(docs, "_id", "_t", run, f"_id {docs.schema['_id'].dataType.simpleString()}, fired array<int>")
+    hits = map_texts(docs, "_id", "_t", run, f"_id {docs.schema['_id'].dataType.simpleString()}, fired array<int>")
+    return hits.select("_id._id", "_id._carried", "fired")
 
 
 def voters(lexicon: Lexicon, mined: list[tuple[str, int, int]]) -> tuple[list[int], int, int]:
@@ -344,8 +346,8 @@ def regress(rows: list[list[int]], target: np.ndarray, size: int, weight: np.nda
     return w, float(b)
 
 
-def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
+def _documents(df: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.struct(F.lit(0).alias("_"), *carry).alias("_carried"))
 
 
 def truth_of(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
@@ -368,9 +370,9 @@ def _sample(known: DataFrame, size: int) -> tuple[list[list[int]], np.ndarray |
     return [r["fired"] for r in rows], np.array([1 / r["chance"] for r in rows])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", insults: tuple[str, ...] = ()) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", insults: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> tuple[Model, DataFrame]:
     """The model, and what fires on every document (written to the checkpoint folder, for scoring)."""
-    texts = _documents(docs, id_col, text_col)
+    texts = _documents(docs, id_col, text_col, carry)
     truth = stable(truth_of(labels, id_col, label_col))
     mined = mine(texts, truth)
     fixed = [f"w:{w}" for w in insults]
@@ -406,17 +408,18 @@ def scored(hits: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
             own = np.repeat(np.arange(len(size)), size)
             x = np.bincount(own, w[lists.flatten().to_numpy(zero_copy_only=False)], len(size)) + model.bias
             p = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["_id", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_carried"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["_id", "_carried", "score", "predicted"])
 
-    kind = hits.schema["_id"].dataType.simpleString()
-    return map_batches(hits.select("_id", "fired"), run, f"_id {kind}, score double, predicted int").withColumnRenamed("_id", id_col)
+    kind, carried = (hits.schema[c].dataType for c in ("_id", "_carried"))
+    out = map_batches(hits.select("_id", "_carried", "fired"), run, f"_id {kind.simpleString()}, _carried {carried.simpleString()}, score double, predicted int")
+    return out.select(F.col("_id").alias(id_col), *[f"_carried.{c}" for c in carried.names if c != "_"], "score", "predicted")
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", insults: tuple[str, ...] = ()) -> DataFrame:
-    """(id, score, predicted) of every row of ``docs``: learned on the training fold of ``labels``, applied to all.
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", insults: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, carried columns, score, predicted) of every row of ``docs``: learned on the training fold of ``labels``, applied to all.
 
-    ``insults`` are words the caller knows to be toxic; none by default, all words are learned. One row per row: repeated rows score alike, a null text like
+    ``carry`` names columns to hand through, such as a row's own key. ``insults`` are words the caller knows to be toxic; none by default, all words are learned. One row per row: repeated rows score alike, a null text like
     an empty one, a row without an id is scored but not learned from. Null labels are no labels; of several the majority counts. Other columns are not read.
     """
-    model, hits = fit(docs, labels, id_col, text_col, label_col, insults)
+    model, hits = fit(docs, labels, id_col, text_col, label_col, insults, carry)
     return scored(hits, model, id_col)

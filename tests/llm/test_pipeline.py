@@ -23,6 +23,7 @@ def test_stages_take_effect(spark, tmp_path):
     leaky = [(300, f"{words(rnd, 20)} {item} {words(rnd, 9)}")]
     secret = [(400, words(rnd, 20) + " password = hunter2hunter2 " + words(rnd, 9))]
     odd = [(500, None), (501, ""), (None, words(rnd, 30)), (plain[3])]
+    odd += [(None, "idiot moron " + words(rnd, 30) + " idiot moron"), (None, plain[5][1]), (None, f"{words(rnd, 15)} {item} {words(rnd, 9)}"), (7, "moron idiot " + words(rnd, 30) + " moron idiot")]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x") for i, t in plain + toxic + copies + leaky + secret + odd], "doc_id long, text string, lang string, source string, n_chars long, fired string")
     folder = str(tmp_path)
     docs.write.parquet(f"{folder}/documents.parquet")
@@ -39,7 +40,10 @@ def test_stages_take_effect(spark, tmp_path):
     assert ids["toxicity"] == sorted(clean + [3] + list(range(200, 210)) + [300, 400, 500, 501])
     assert ids["simhash_dedup"] == sorted(clean + [300, 400, 500])
     assert ids["decontamination"] == ids["secret_scan"] == ids["sentencepiece"] == sorted(clean + [400, 500])
-    assert sum(r.doc_id is None for r in left["sentencepiece"]) == 1
+    assert sum(r.doc_id is None for r in left["sentencepiece"]) == 1  # the toxic one, the copy and the leak without an id are gone
+    twice = sorted(r.text for r in left["decontamination"] if r.doc_id == 3)
+    assert twice == sorted([plain[3][1]])
+    assert sorted(r.text for r in left["toxicity"] if r.doc_id == 7) == sorted([plain[7][1]])
     (hidden,) = [r for r in left["secret_scan"] if r.doc_id == 400]
     assert "hunter2" not in hidden.text and "[secret]" in hidden.text and hidden.n_chars == len(hidden.text)
     library = sentencepiece.SentencePieceProcessor(model_file=default_path())

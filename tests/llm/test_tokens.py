@@ -5,7 +5,7 @@ import pytest
 
 sentencepiece = pytest.importorskip("sentencepiece")
 
-from scanlake.llm import codec, token_counts  # noqa: E402
+from scanlake.llm import codec, tables, token_counts  # noqa: E402
 from scanlake.llm.pieces import default_path, vocabulary  # noqa: E402
 
 FIXED = ["", " ", "  a", "a  ", "\n", "a\n", " \n b", "\n\n x", "a \n\n  b", "a▁b", "<s> </s> <0x0A> <unk>", "日本語 テキスト", "é ﬁ 😀😀 x", "\t\ta\tb", " " * 50 + "x" + " " * 33,
@@ -67,7 +67,15 @@ def test_token_counts_odd_rows(odd_docs, no_docs, library):
 
 
 def test_memory_that_overflows_changes_nothing(monkeypatch, library):
-    monkeypatch.setattr(codec, "REMEMBERED", 5)
-    for t in FIXED:
+    held = tables.Recent(5)
+    monkeypatch.setattr(codec, "recent", lambda owner, most: held)
+    for t in FIXED * 3:
         assert codec.encode_texts(default_path(), [t])[0].tolist() == library.encode(t)
+    counts = tables.Recent(5)
+    monkeypatch.setattr(token_counts, "recent", lambda owner, most: counts)
+    for t in FIXED * 3:
+        cut = [vocabulary(default_path()).segments(t)]
+        found = token_counts._totals(default_path(), cut)
+        assert sum(found[w] for w in cut[0]) == len(library.encode(t))
+    assert tables.recent(("a",), 5) is tables.recent(("a",), 5) is not tables.recent(("b",), 5) and ("a",) not in tables._RECENT
     assert vocabulary(default_path()).newline_breaks
