@@ -102,6 +102,44 @@ def extract(files: DataFrame, patterns: Mapping[str, str], anchor: str) -> DataF
     return files.filter(F.col("content").rlike(anchor)).select("scan_id", "path", "content").mapInPandas(run, SCHEMA)
 
 
+def program_facts(files: DataFrame, call: str, shapes: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """Functions and calls of files in several languages; every file is read once.
+
+    ``files(scan_id, path, lang, has_functions, content)``; ``shapes`` gives header and style by language. Rows of kind ``function`` have name,
+    params, start_line and end_line (exclusive), rows of kind ``call`` (on one line) have line, text, start, g and args.
+    """
+    names = ["scan_id", "path", "lang", "kind", "name", "params", "start_line", "end_line", "line", "text", "start", "g", "args"]
+    shapes = dict(shapes)
+
+    def rows(lang: str, has_functions: bool, content: str) -> Iterator[tuple]:
+        if has_functions:
+            header, style = heads[lang]
+            for f in _function_rows(content, header, style):
+                yield (lang, "function", *f, None, None, None, None, None)
+        for _, at, _, line, _, g, _, close, close_line, args, _, _, text in file_facts(content, calls):
+            if close is not None and close_line == line:
+                yield (lang, "call", None, None, None, None, line, text, at, g, args)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        heads.update({k: (re.compile(h), style) for k, (h, style) in shapes.items()})
+        calls["call"] = re.compile(call)
+        held: list[tuple] = []
+        for batch in batches:
+            for scan_id, path, lang, has_functions, content in batch.itertuples(index=False):
+                for r in rows(lang, has_functions, content):
+                    held.append((scan_id, path, *r))
+                    if len(held) >= 20_000:
+                        yield pd.DataFrame(held, columns=names, dtype=object)
+                        held = []
+        if held:
+            yield pd.DataFrame(held, columns=names, dtype=object)
+
+    heads: dict[str, tuple] = {}
+    calls: dict[str, re.Pattern] = {}
+    schema = "scan_id string, path string, lang string, kind string, name string, params string, start_line int, end_line int, line int, text string, start int, g array<string>, args array<string>"
+    return files.select("scan_id", "path", "lang", "has_functions", "content").mapInPandas(run, schema)
+
+
 def functions_of(files: DataFrame, header: str, style: str, anchor: str) -> DataFrame:
     """Function rows (scan_id, path, name, params text, start_line, end_line exclusive).
 
