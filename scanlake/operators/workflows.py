@@ -121,16 +121,16 @@ def untrusted_env_flows(lines: DataFrame) -> DataFrame:
     bodies, env, reads = run_bodies(lines), step_environment(lines), references(lines)
     here = F.struct("line", "text")
     direct = bodies.filter(F.col("text").rlike(UNTRUSTED) & ~F.col("text").rlike(RUNNER_WRITE)).select(
-        *KEY, "job", "step", here.alias("entry"), here.alias("sink"), F.lit("shell command interpolates untrusted GitHub event data directly").alias("detail"))
-    own = reads.join(env.filter("untrusted").select(*KEY, "step", "name", here.alias("entry")), [*KEY, "step", "name"]).withColumn("scope", F.lit("in the same step"))
+        *KEY, "job", "step", here.alias("entry"), here.alias("sink"), F.lit("an event field of the contributor is pasted into a shell line").alias("detail"))
+    own = reads.join(env.filter("untrusted").select(*KEY, "step", "name", here.alias("entry")), [*KEY, "step", "name"]).withColumn("scope", F.lit("in its own step"))
     names = env.select(*KEY, "step", "name").distinct()
     outer = reads.join(names, [*KEY, "step", "name"], "left_anti")
     job = outer.join(job_environment(lines).select(*KEY, "job", "name", here.alias("entry")), [*KEY, "job", "name"]) \
-        .withColumn("scope", F.concat(F.lit("at job scope for "), "job"))
-    earlier = earlier_step_flows(outer, environment_writes(lines)).withColumn("scope", F.concat(F.lit("through GITHUB_ENV in an earlier step of job "), "job"))
+        .withColumn("scope", F.concat(F.lit("for all of job "), "job"))
+    earlier = earlier_step_flows(outer, environment_writes(lines)).withColumn("scope", F.concat(F.lit("by way of GITHUB_ENV, before, in job "), "job"))
     cols = [*KEY, "job", "step", "name", "entry", "sink", "scope"]
     via = own.select(*cols).unionByName(job.select(*cols)).unionByName(earlier.select(*cols))
-    via = via.withColumn("detail", F.concat(F.lit("shell command references "), "name", F.lit(", which is assigned from untrusted GitHub event data "), "scope"))
+    via = via.withColumn("detail", F.concat(F.lit("a shell line reads "), "name", F.lit(", set from an event field of the contributor "), "scope"))
     flows = direct.unionByName(via.select(*direct.columns))
     return flows.groupBy(*KEY, "job", "step", "entry", "sink").agg(F.max("detail").alias("detail"))
 
@@ -181,7 +181,7 @@ def mutable_refs(lines: DataFrame) -> DataFrame:
 
 # ---- candidates --------------------------------------------------------------------------------------
 
-ADDED_NOTE = "This CI/CD workflow finding is anchored to a newly added diff line."
+ADDED_NOTE = "The line is new in this change."
 
 
 def _made(rows: DataFrame, rule: Rule, notes: Column) -> DataFrame:
@@ -209,15 +209,15 @@ def workflow_candidates(files: DataFrame, added: DataFrame | None = None) -> Dat
     pair = lambda detail, role: F.array(evidence("pattern", detail, _at(F.col("line"), F.col("text"), role)),
                                         evidence("context", F.lit(ADDED_NOTE), _at(F.col("line"), F.col("text"), role)))
     perms = keep(write_permissions(whole).join(hot, KEY), F.col("line"))
-    out = _made(perms, CI_RULES["write-permissions"], pair(F.concat(F.lit("Current pull_request_target trigger at line "), F.col("trigger_line").cast("string"), F.lit(" has write permission.")), "root_control"))
+    out = _made(perms, CI_RULES["write-permissions"], pair(F.concat(F.lit("Write access for a pull_request_target workflow, triggered at line "), F.col("trigger_line").cast("string"), F.lit(".")), "root_control"))
     flows = untrusted_env_flows(lines).join(hot, KEY)
     at_sink = keep(flows, F.col("sink.line")).withColumn("anchor", F.col("sink")).withColumn("_role", F.lit("sink"))
     if added is not None:
         rest = flows.join(at_sink.select(*KEY, "entry", "sink"), [*KEY, "entry", "sink"], "left_anti")
         at_sink = at_sink.unionByName(keep(rest, F.col("entry.line")).withColumn("anchor", F.col("entry")).withColumn("_role", F.lit("entrypoint")))
     f = at_sink.withColumn("line", F.col("anchor.line")).withColumn("text", F.col("anchor.text"))
-    notes = F.array(evidence("pattern", F.concat(F.lit("pull_request_target "), "detail", F.lit(".")), _at(F.col("sink.line"), F.col("sink.text"), "sink")),
-                    evidence("context", F.lit("The event-derived value is the source for this shell execution path."), _at(F.col("entry.line"), F.col("entry.text"), "entrypoint")),
+    notes = F.array(evidence("pattern", F.concat(F.lit("In a pull_request_target workflow "), "detail", F.lit(".")), _at(F.col("sink.line"), F.col("sink.text"), "sink")),
+                    evidence("context", F.lit("Here the value comes in."), _at(F.col("entry.line"), F.col("entry.text"), "entrypoint")),
                     evidence("context", F.lit(ADDED_NOTE), F.struct(F.col("path").alias("file"), F.col("line"), F.substring("text", 1, 240).alias("excerpt"), F.col("_role").alias("role"))))
     out = out.unionByName(_made(f, CI_RULES["untrusted-shell"], notes))
     runs = run_keys(lines)
@@ -227,7 +227,7 @@ def workflow_candidates(files: DataFrame, added: DataFrame | None = None) -> Dat
     points = F.explode(F.array_compact(F.array(*[F.when(F.col(p).isNotNull(), F.struct(F.lit(i).alias("n"), F.col(p).alias("p"))) for i, p in enumerate(("field", "checkout", "later"))])))
     c = keep(c.withColumn("a", points), F.col("a.p.line")).groupBy(*KEY, "job", "step", "trigger_line", "field").agg(F.min("a").alias("a"))
     c = c.withColumn("line", F.col("a.p.line")).withColumn("text", F.col("a.p.text"))
-    told = F.concat(F.lit("pull_request_target checks out pull-request head data at line "), F.col("field.line").cast("string"), F.lit(" before a later run step in job "), "job", F.lit("."))
+    told = F.concat(F.lit("Job "), "job", F.lit(" of a pull_request_target workflow runs a step after line "), F.col("field.line").cast("string"), F.lit(" took the contributor's commit."))
     out = out.unionByName(_made(c, CI_RULES["untrusted-checkout"], F.when(F.col("a.n") < 2, pair(told, "entrypoint")).otherwise(pair(told, "sink"))))
     m = keep(mutable_refs(lines), F.col("line"))
-    return out.unionByName(_made(m, CI_RULES["mutable-action-ref"], pair(F.lit("GitHub Action uses a mutable ref; pin an immutable commit SHA."), "root_control")))
+    return out.unionByName(_made(m, CI_RULES["mutable-action-ref"], pair(F.lit("The action's ref can be moved; name a commit."), "root_control")))

@@ -94,12 +94,12 @@ places as (select l.*, coalesce(ph.n, 0) as n, coalesce(ph.ctx, 0) as ctx, famil
 
 @query("matched_claims", f"""with {CLAIMS_SQL}, {PLACES_SQL} select id, n_locations, n_readable, exact_matches, context_matches, status, case when status = 'needs_information' then 'low' else 'medium' end as status_confidence,
   coalesce(lim.t, '') as unmatched, coalesce(evi.t, '') as matched from st
-  left join (select id, string_agg(distinct 'No compatible evidence matched ' || file || coalesce(':' || line, '') || '.', '|' order by 'No compatible evidence matched ' || file || coalesce(':' || line, '') || '.') as t from places where readable and n = 0 and family is not null group by id) lim using (id)
+  left join (select id, string_agg(distinct 'Nothing that fits at ' || file || coalesce(':' || line, '') || '.', '|' order by 'Nothing that fits at ' || file || coalesce(':' || line, '') || '.') as t from places where readable and n = 0 and family is not null group by id) lim using (id)
   left join (select id, string_agg(distinct file || coalesce(':' || line, '') || ' holds ' || n || ' compatible match(es), ' || ctx || ' with context.', '|' order by file || coalesce(':' || line, '') || ' holds ' || n || ' compatible match(es), ' || ctx || ' with context.') as t from places where n > 0 group by id) evi using (id)""")
 def matched_claims(spark, sf):
     m = tr.triage_status(tr.match_imported(claims(spark, sf), *local(spark, sf)))
     told = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), "|")
-    missed = F.filter("limitations", lambda x: F.startswith(x, F.lit("No compatible evidence matched ")))
+    missed = F.filter("limitations", lambda x: F.startswith(x, F.lit("Nothing that fits at ")))
     return m.select("id", "n_locations", "n_readable", "exact_matches", "context_matches", "status", "status_confidence", told(missed).alias("unmatched"), told("evidence_lines").alias("matched"))
 
 
