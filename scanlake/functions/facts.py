@@ -50,7 +50,10 @@ def _arguments(text: str, start: int, close: int, commas: list[int]) -> list[str
 
 
 def file_facts(text: str, patterns: Mapping[str, re.Pattern]) -> Iterator[tuple]:
-    """All pattern hits of one text in position order. A hit that ends in a bracket carries its extent."""
+    """All pattern hits of one text in position order. A hit that ends in a bracket carries its extent.
+
+    Line and text are those of the hit's start, or of its group ``spot`` where the pattern has one.
+    """
     closes, commas = _brackets(text)
     breaks = [m.start() for m in re.finditer("\n", text)]
     row = lambda at: bisect_right(breaks, at - 1) + 1
@@ -68,7 +71,7 @@ def file_facts(text: str, patterns: Mapping[str, re.Pattern]) -> Iterator[tuple]
         last = m.end() - 1
         end = closes.get(last)
         args = _arguments(text, last, end, commas.get(last, [])) if end is not None and text[last] == "(" else None
-        n = row(at)
+        n = row(m.start("spot") if "spot" in m.re.groupindex and m["spot"] is not None else at)
         begin = breaks[n - 2] + 1 if n > 1 else 0
         stop = breaks[n - 1] if n <= len(breaks) else len(text)
         yield (kind, at, m.end(), n, row(max(at, m.end() - 1)), [x or "" for x in m.groups()],

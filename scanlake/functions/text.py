@@ -124,11 +124,16 @@ def slug(text: Column, limit: int | None = 180) -> Column:
     return F.when(dashed == "", "root-control").otherwise(dashed)
 
 
+def rest(text: Column, start: int) -> Column:
+    """Everything from a character on (counted from 1)."""
+    return F.substring(text, start, 2**31 - 1)
+
+
 def taxonomy(rule_id: Column) -> Column:
     """Label of the part before the first dot; otherwise that part in words, capitalised."""
     key = F.replace(F.split(rule_id, r"\.")[0], F.lit("."), F.lit("-"))
     words = F.replace(key, F.lit("-"), F.lit(" "))
-    spoken = F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 1_000_000))
+    spoken = F.concat(F.upper(F.substring(words, 1, 1)), rest(words, 2))
     return F.coalesce(lookup(TAXONOMY_LABELS, key), spoken)
 
 

@@ -48,13 +48,13 @@ def parse_diffs(patches: DataFrame) -> DataFrame:
     ln = ln.withColumn("_o", seen(["-", " "])).withColumn("_n", seen(["+", " "]))
     ln = ln.withColumn("inside", F.col("side").isNotNull() & ((F.col("_o") < F.col("n_old")) | (F.col("_n") < F.col("n_new"))))
     raw = F.col("raw")
-    name = F.when(~F.col("inside") & raw.rlike(r"^\+\+\+ b/"), F.substring("raw", 7, 1_000_000)) \
+    name = F.when(~F.col("inside") & raw.rlike(r"^\+\+\+ b/"), tx.rest(raw, 7)) \
         .when(~F.col("inside") & raw.rlike(r"^\+\+\+ /dev/null"), F.lag(F.regexp_extract("raw", r"^--- a/(.*)\z", 1)).over(order))
     ln = ln.withColumn("file", F.last(diff_path(name), ignorenulls=True).over(up_to))
     return ln.filter("inside").select(
         "scan_id", "patch_id", "hunk", "pos", F.coalesce("file", F.lit("unknown")).alias("file"), "side",
         (F.col("old0") + F.col("_o")).alias("old_line"), (F.col("new0") + F.col("_n")).alias("new_line"),
-        F.when(F.col("raw") == "", "").otherwise(F.substring("raw", 2, 1_000_000)).alias("text"))
+        F.when(F.col("raw") == "", "").otherwise(tx.rest(raw, 2)).alias("text"))
 
 
 def added_lines(diff_lines: DataFrame) -> DataFrame:

@@ -244,8 +244,9 @@ def round_saturation(sightings: DataFrame, rounds: DataFrame, stop_after: int =
 
 
 def append_candidates(findings: DataFrame, reported: DataFrame, scan_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Reported candidates not yet present, with one ledger row and one validation task each."""
-    fresh = reported.dropDuplicates(["fingerprint"]).join(findings.select("fingerprint"), "fingerprint", "left_anti")
+    """Reported candidates not yet present, with one ledger row and one validation task each; of several reports of one fingerprint the smallest."""
+    one = reported.groupBy("fingerprint").agg(F.min(F.struct(*reported.columns)).alias("r")).select("r.*")
+    fresh = one.join(findings.select("fingerprint"), "fingerprint", "left_anti")
     cand = tx.candidate_id(F.lit(scan_id), F.col("rule_id"), F.col("file"), F.col("line"))
     fresh = fresh.withColumn("candidate_id", cand)
     ledger = fresh.select("candidate_id", F.lit("discovery").alias("phase"), F.lit("discovered").alias("disposition"),

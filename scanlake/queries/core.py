@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.rules import Rule
-from ..operators import patterns as pt, reduce as rd
+from ..operators import patterns as pt, reduce as rd, search as sr
 from ..plans import views as v
 from .registry import query
 
@@ -176,3 +176,28 @@ select path, line, left(text, 300) as text from numbered_lines where regexp_matc
 order by path, line limit 50""")
 def corpus_search(spark, sf):
     return pt.corpus_search(v.files(spark, sf), "secret|token", 50)
+
+
+@query("indexed_search", f"""
+with {LINES_SQL}
+select path, line, left(text, 300) as text from numbered_lines where regexp_matches(text, '(?i)licen[sc]e|secret|token')
+order by path, line limit 50""")
+def indexed_search(spark, sf):
+    """The search by way of a trigram index of the whole corpus, built here."""
+    files = v.files(spark, sf)
+    index = sr.store_folder(spark, "index")
+    sr.add_to_index(files, index)
+    return sr.indexed_search(files, index, "licen[sc]e|secret|token", 50)
+
+
+@query("many_rules", """
+select 'deal' || l_orderkey as rule_id, count(*) as matches from lineitem join orders on l_orderkey = o_orderkey group by 1
+union all select 'part' || l_partkey, count(*) from lineitem join part on l_partkey = p_partkey group by 1
+union all select 'long', count(*) from lineitem where length(cast(l_orderkey as varchar)) >= 5 or length(cast(l_partkey as varchar)) >= 5""")
+def many_rules(spark, sf):
+    """Every order and every part as a rule of its own, and one rule that needs no word, over a line per line item."""
+    lines = v.table(spark, sf, "lineitem").select(F.concat(F.lit("sold Deal"), "l_orderkey", F.lit(" of part"), "l_partkey", F.lit(";")).alias("text"))
+    of = lambda table, key, name, head, tail: v.table(spark, sf, table).select(F.concat(F.lit(name), key).alias("rule_id"), F.concat(F.lit(head), key, F.lit(tail)).alias("pattern"))
+    rules = of("orders", "o_orderkey", "deal", r"\bDeal", r"\b").unionByName(of("part", "p_partkey", "part", "(?i)PART", ";"))
+    rules = rules.unionByName(spark.range(1).select(F.lit("long").alias("rule_id"), F.lit(r"\d{5}").alias("pattern")))
+    return sr.many_rules(lines, rules.withColumn("rule_no", F.xxhash64("rule_id"))).groupBy("rule_id").agg(F.count("*").alias("matches"))

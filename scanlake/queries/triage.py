@@ -187,7 +187,7 @@ def sarif_findings(spark, sf):
     docs = d.select(F.concat(F.lit("doc"), "doc_id").alias("source_path"), F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("content"))
     f = intake.sarif_findings(docs)
     return f.select("source_path", "rule_id", "title", "cwe", F.col("locations")[0].file.alias("file"), F.col("locations")[0].line.alias("line"),
-                    F.when(F.length("description") > 1, tx.sha256(F.substring("description", 2, 1_000_000))).alias("text_sha"))
+                    F.when(F.length("description") > 1, tx.sha256(tx.rest(F.col("description"), 2))).alias("text_sha"))
 
 
 @query("generic_findings", """
