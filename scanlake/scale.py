@@ -85,6 +85,16 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence, value: Colu
     return out.withColumn(name, F.col("_run") + F.coalesce("_base", F.lit(0))).drop("_v", "_run", "_base", CHUNK)
 
 
+def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence, values: dict[str, Column]) -> DataFrame:
+    """Several inclusive running sums over one order."""
+    if keys_fit(df, keys):
+        w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        return df.withColumns({name: F.sum(value.cast("long")).over(w) for name, value in values.items()})
+    for name, value in values.items():
+        df = running_sum(df, keys, order, value, name)
+    return df
+
+
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence, name: str = "rank") -> DataFrame:
     """``row_number`` per key. The order must be total for a repeatable answer."""
     return running_sum(df, keys, order, F.lit(1), name)

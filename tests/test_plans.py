@@ -1,6 +1,12 @@
 """End-to-end scans on small corpora: identity across renames, twins, deep passes, diff review, backlog."""
 
-from scanlake.operators import compare as cp
+import random
+
+from pyspark.sql import functions as F
+
+from scanlake import scale
+from scanlake.functions.versions import in_range, range_intervals, semver
+from scanlake.operators import compare as cp, triage
 from scanlake.plans.backlog import triage_claims
 from scanlake.plans.review import review_diffs
 from scanlake.plans.scan import scan_corpus
@@ -80,3 +86,32 @@ def test_backlog_dependency_verdicts(spark, corpus):
         # a claim without a location has no surface, so a location in product code carries the boundary
         r = triage_claims(claim(spark, locations=[("src/a.ts", None)]), corpus(files), none).first()
         assert (r.dependency_status, r.verdict) == (status, verdict)
+
+
+def test_ranges_as_intervals(spark):
+    """The intervals of a range hold a version exactly if the range test says so."""
+    rnd = random.Random(4)
+    number = lambda: ".".join(str(rnd.randint(0, 3)) for _ in range(rnd.randint(1, 3)))
+    term = lambda: rnd.choice([lambda: rnd.choice([">", ">=", "<", "<=", "=", "^", "~", "~ ", ""]) + rnd.choice(["", "v"]) + number(), lambda: rnd.choice(["*", "x", "1.x", "2.*", "1.2.x", "odd", ""])])()
+    branch = lambda: rnd.choice([lambda: " ".join(term() for _ in range(rnd.randint(1, 3))), lambda: f"{number()} - {number()}", lambda: ","])()
+    pairs = [(rnd.choice([number(), "v" + number(), number() + "-rc1", "none", None]), " || ".join(branch() for _ in range(rnd.randint(1, 3)))) for _ in range(1500)] + [("1.0.0", None), ("1.0.0", "")]
+    df = spark.createDataFrame(pairs, "v string, r string").withColumn("i", range_intervals(F.col("r")))
+    held = F.when(semver(F.col("v")).isNotNull() & F.col("i").isNotNull(), F.exists("i", lambda x: (semver(F.col("v")) >= x.lo) & (semver(F.col("v")) < x.hi)))
+    rows = df.select("v", "r", "i", in_range(F.col("v"), F.col("r")).alias("a"), held.alias("b")).collect()
+    assert not [tuple(r) for r in rows if r.a != r.b]
+    assert all(a.hi < b.lo for r in rows if r.i for a, b in zip(r.i, r.i[1:])) and len({r.a for r in rows}) == 3
+
+
+def test_popular_component_without_pairs(spark, monkeypatch):
+    """One component with many versions and many ranges, in one task and cut into pieces: counts as by testing each pair."""
+    rnd = random.Random(5)
+    versions = [("c", f"{rnd.randint(0, 9)}.{rnd.randint(0, 9)}.{i % 7}", rnd.choice(["runtime", "development", None])) for i in range(400)] + [("c", "odd", "runtime"), ("c", None, "runtime"), ("d", "1.0.0", "runtime")]
+    ranges = [("c", f">={rnd.randint(0, 9)}.{rnd.randint(0, 9)} <{rnd.randint(0, 9)}.1 || ^{rnd.randint(0, 9)}.2") for _ in range(60)] + [("d", "<1"), ("d", "*"), ("e", "*")]
+    v = spark.createDataFrame(versions, "component string, version string, scope string").distinct()
+    r = spark.createDataFrame(ranges, "component string, affected_version string").distinct()
+    pairs = r.join(v, "component", "left").withColumn("hit", in_range(F.col("version"), F.col("affected_version")).cast("int"))
+    one = lambda s: F.coalesce(F.sum(F.when(F.col("scope") == s, F.col("hit"))), F.lit(0))
+    want = {tuple(x) for x in pairs.groupBy("component", "affected_version").agg(F.coalesce(F.sum("hit"), F.lit(0)), one("runtime"), one("development")).collect()}
+    for rows in (2_000_000, 50):
+        monkeypatch.setattr(scale, "ONE_TASK_ROWS", rows)
+        assert {tuple(x) for x in triage.versions_inside(r, v, ["component"]).collect()} == want
