@@ -52,10 +52,16 @@ def sample_lines(spark, sf):
     return v.table(spark, sf, "documents").select("doc_id", F.array_join(cl.sample_lines(F.col("text")), "|").alias("sample"))
 
 
-@query("file_previews")
+@query("file_previews", f"""with {CODE_SQL},
+s as (select doc_id, lang, source, ls, len(ls) as n, greatest(1, floor((len(ls) - 1) / 9.0))::int as step from (select doc_id, lang, source, string_split_regex(content, '\\r?\\n') as ls from code)),
+p as (select doc_id, [case lang when 'en' then 'def ' when 'fr' then 'arrow ' when 'de' then 'class ' else 'func ' end || source]
+  || case when n <= 11 then ls[1:10] else [ls[1 + i * step] for i in range(0, 10) if 1 + i * step <= n] end as ps from s),
+u as (select doc_id, unnest(ps) as part, generate_subscripts(ps, 1) as i from p),
+c as (select *, sum(strlen(part)) over (partition by doc_id order by i) as total from u)
+select doc_id, string_agg(part, chr(10) order by i) as preview from c where i = 1 or (total - strlen(part) < 1024 and total <= 1024) group by doc_id""")
 def file_previews(spark, sf):
-    """Fold with a byte budget; the fixture test checks it against a direct computation."""
-    return v.table(spark, sf, "documents").select("doc_id", cl.file_preview(F.col("text")).alias("preview"))
+    """Outline and spread lines of every document as code, as many as fit the byte budget."""
+    return _code(spark, sf).select("doc_id", cl.file_preview(F.col("content")).alias("preview"))
 
 
 SIG = [
@@ -301,9 +307,21 @@ def preflight_checks(spark, sf):
     return corpus.preflight(r).select("scan_id", "n_files", "n_manifests", F.array_join("commands", ",").alias("commands"), F.array_join("languages", ",").alias("languages"), "status")
 
 
-@query("knowledge_base_load")
+@query("knowledge_base_load", """
+with recursive d as (select source as scan_id, doc_id || case lang when 'de' then '.pdf' else '.md' end as path, lang, length(text) as n, strlen(text) as b from documents),
+f as (select *, row_number() over (partition by scan_id order by path) as k from d where lang <> 'de' and n <= 20000 and b <= 20000),
+walk(scan_id, k, used, taken, path, ok) as (
+  select distinct scan_id, cast(0 as bigint), cast(0 as hugeint), 0, '', false from f
+  union all
+  select f.scan_id, f.k, w.used + case when w.used + f.n <= 60000 and w.taken < 30 then f.n else 0 end, w.taken + case when w.used + f.n <= 60000 and w.taken < 30 then 1 else 0 end, f.path, w.used + f.n <= 60000 and w.taken < 30
+  from walk w join f on f.scan_id = w.scan_id and f.k = w.k + 1),
+t as (select scan_id, path from walk where ok),
+l as (select scan_id, max(path) as last_path from t group by scan_id having count(*) >= 30)
+select d.scan_id, d.path, cast(d.n as bigint) as n_chars, t.path is not null as loaded,
+       case when t.path is not null then null when d.b > 20000 then 'too large' when d.path > l.last_path then 'document limit' when d.lang = 'de' then 'unsupported type' when d.n > 20000 then 'too large' else 'total limit' end as reason
+from d left join t using (scan_id, path) left join l using (scan_id)""")
 def knowledge_base_load(spark, sf):
-    """Greedy budget per source; the fixture test checks it against a direct loop."""
+    """Greedy budget per source."""
     d = v.table(spark, sf, "documents").select(F.col("source").alias("scan_id"), F.concat("doc_id", F.when(F.col("lang") == "de", ".pdf").otherwise(".md")).alias("path"), F.col("text").alias("content"))
     return corpus.knowledge_base(d, doc_limit=20_000, max_docs=30, total_limit=60_000)
 

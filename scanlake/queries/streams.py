@@ -65,7 +65,21 @@ def stream_late_receipts(spark, sf):
     return jobs.read_batches(spark, f"{out}/late").select("event_id", "scan_id")
 
 
-@query("stream_lease_expiry")
+@query("stream_lease_expiry", """
+with recursive e as (
+  select user_id, epoch_us(ts) // 1000 as now, case event_type when 'signup' then 'claim' when 'click' then 'renew' else 'complete' end as action,
+         row_number() over (partition by user_id order by ts) as k
+  from events where event_type in ('signup', 'click', 'purchase')),
+walk(user_id, k, held, gone) as (
+  select distinct user_id, cast(0 as bigint), cast(null as bigint), cast(null as bigint) from e
+  union all
+  select user_id, k, case when action = 'complete' then null when action = 'claim' and still is null or action = 'renew' and still is not null then now + 21600000 else still end, case when held <= now then held end
+  from (select e.user_id, e.k, e.action, e.now, w.held, case when w.held > e.now then w.held end as still from walk w join e on e.user_id = w.user_id and e.k = w.k + 1)),
+last as (select w.user_id, w.held from walk w join (select user_id, max(k) as k from walk group by user_id) m using (user_id, k)),
+gone as (
+  select user_id, gone as till from walk where gone is not null
+  union all select user_id, held from last where held < (select max(now) from e) - 600000)
+select 't' || user_id as task_id, 'o' || user_id as owner, make_timestamp(till * 1000) as expired_at from gone""")
 def stream_lease_expiry(spark, sf):
     """Users claim on signup, renew on click and complete on purchase; expired claims come out."""
     out, state = _place(spark, "lease")
@@ -73,7 +87,7 @@ def stream_lease_expiry(spark, sf):
     e = _stream(spark, sf, "events").select(F.concat(F.lit("t"), "user_id").alias("task_id"), F.concat(F.lit("o"), "user_id").alias("owner"), action.alias("action"), F.col("ts").cast("timestamp").alias("at"))
     q = jobs.lease_expiry(e, lease_seconds=6 * 3600).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(jobs.LEASE_OUT).parquet(out)
+    return spark.read.schema(jobs.LEASE_OUT).parquet(out).withColumn("expired_at", F.col("expired_at").cast("timestamp_ntz"))
 
 
 @query("stream_activity_counts", f"""

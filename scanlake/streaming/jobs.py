@@ -58,10 +58,10 @@ def lease_expiry(events: DataFrame, lease_seconds: int = 120, delay: str = "10 m
             out.append((key[0], owner, pd.Timestamp(expires, unit="ms")))
             state.remove()
         else:
-            rows = sorted((r for f in frames for r in f[["at", "action", "owner"]].itertuples(index=False)), key=lambda r: r[0])
+            rows = sorted((r for f in frames for r in f[["at", "action", "owner"]].itertuples(index=False)), key=lambda r: (r[0], r[1], r[2] or ""))
             held = state.get if state.exists else None
             for at, action, owner in rows:
-                now = int(at.timestamp() * 1000)
+                now = at.value // 1_000_000  # whole milliseconds
                 if held and held[1] <= now:
                     out.append((key[0], held[0], pd.Timestamp(held[1], unit="ms")))
                     held = None
