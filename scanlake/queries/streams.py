@@ -52,6 +52,7 @@ def stream_finding_state(spark, sf):
     e = _stream(spark, sf, "events").select(F.concat_ws(":", F.col("user_id").cast("string"), F.to_date("ts").cast("string")).alias("candidate_id"), F.expr(PHASE).alias("phase"),
                                             F.lit("discovered").alias("disposition"), F.col("ts").cast("timestamp").alias("at"), "event_id")
     jobs.finding_state(e, out, state, delay="40 days").awaitTermination()
+    jobs.compact_state(spark, out)
     return jobs.current_state(spark, out).select("candidate_id", "phase", "n_rows")
 
 
@@ -65,6 +66,21 @@ def stream_late_receipts(spark, sf):
     return jobs.read_batches(spark, f"{out}/late").select("event_id", "scan_id")
 
 
+@query("stream_judged_receipts", f"""
+with l as (select event_id, 'u' || user_id as scan_id, {PHASE} as phase, ts from events), d as (select scan_id, min(ts) as t from l where phase = 'finalization' group by all)
+select event_id, scan_id from l join d using (scan_id) where ts > t and ts <= t + interval 20 days""")
+def stream_judged_receipts(spark, sf):
+    """Late receipts by two joined streams: completions land as a table of their own and arrive as a stream."""
+    out, state = _place(spark, "judged")
+    landed = out[: -len("out")] + "completions"
+    done = log(spark, sf).filter("phase = 'finalization'").groupBy("scan_id").agg(F.min("recorded_at").cast("timestamp").alias("completed_at"))
+    done.write.parquet(landed)
+    arriving = spark.readStream.schema(done.schema).parquet(landed)
+    judged = jobs.judged_receipts(_activity(_stream(spark, sf, "events")), arriving, "20 days")
+    judged.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(judged.schema).parquet(out).filter("late").select("event_id", "scan_id")
+
+
 @query("stream_lease_expiry", """
 with recursive e as (
   select user_id, epoch_us(ts) // 1000 as now, case event_type when 'signup' then 'claim' when 'click' then 'renew' else 'complete' end as action,

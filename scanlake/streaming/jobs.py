@@ -84,29 +84,71 @@ def lease_expiry(events: DataFrame, lease_seconds: int = 120, delay: str = "10 m
     return keyed.applyInPandasWithState(expire, LEASE_OUT, LEASE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def _merged(rows: DataFrame) -> DataFrame:
+    """One row per candidate out of partial ones: the newest phase and disposition, the newest time, all rows counted."""
+    newest = F.max(F.struct("at", "event_id", "phase", "disposition"))
+    return rows.groupBy("candidate_id").agg(newest.alias("last"), F.sum("n_rows").alias("n_rows")).select("candidate_id", "last.phase", "last.disposition", "last.at", "last.event_id", "n_rows")
+
+
 def finding_state(ledger: DataFrame, out: str, checkpoint: str, delay: str = "1 hour", **trigger) -> StreamingQuery:
     """Ledger rows to the latest phase and disposition per candidate; repeated rows within the delay are dropped.
 
-    State per candidate is one struct. Only changed candidates are written, one version per batch.
+    The stream itself remembers event ids for the delay and nothing else, so its state does not grow with the candidates. Each batch
+    writes what it saw of its own candidates; ``current_state`` puts the batches together, ``compact_state`` makes one of many.
     """
     rows = ledger.withWatermark("at", delay).dropDuplicatesWithinWatermark(["event_id"])
-    state = rows.groupBy("candidate_id").agg(F.max_by(F.struct("phase", "disposition"), F.struct("at", "event_id")).alias("last"),
-                                             F.max("at").alias("at"), F.count("*").alias("n_rows"))
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch.select("candidate_id", "last.phase", "last.disposition", "at", "n_rows"), out, batch_id)
-    return state.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+        write_batch(_merged(batch.withColumn("n_rows", F.lit(1).cast("long"))), f"{out}/batches", batch_id)
+    return rows.writeStream.outputMode("append").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def _numbers(spark: SparkSession, folder: str, name: str) -> list[int]:
+    """Numbers of the whole tables ``folder/name=<number>``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}=*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
+
+
+def _state_rows(spark: SparkSession, out: str) -> tuple[DataFrame | None, int]:
+    """Partial rows that make the state, and the newest batch among them: the newest compacted table and the batches behind it."""
+    merged, batches = _numbers(spark, f"{out}/merged", "through"), _numbers(spark, f"{out}/batches", "batch")
+    through = merged[-1] if merged else -1
+    parts = [f"{out}/merged/through={through}"] if merged else []
+    parts += [f"{out}/batches/batch={b}" for b in batches if b > through]
+    return (spark.read.parquet(*parts) if parts else None), max([through, *batches])
 
 
 def current_state(spark: SparkSession, out: str) -> DataFrame:
-    """Newest version per candidate."""
-    v = read_batches(spark, out)
-    cols = [c for c in v.columns if c not in ("candidate_id", "batch")]
-    return v.groupBy("candidate_id").agg(F.max_by(F.struct(*cols), "batch").alias("s")).select("candidate_id", "s.*")
+    """The state of every candidate: (candidate_id, phase, disposition, at, n_rows). Nothing written yet is an empty table."""
+    rows, _ = _state_rows(spark, out)
+    if rows is None:
+        return spark.createDataFrame([], "candidate_id string, phase string, disposition string, at timestamp, n_rows long")
+    return _merged(rows).drop("event_id")
+
+
+def compact_state(spark: SparkSession, out: str) -> int:
+    """Write the state as one table and remove the batches and tables it replaces; the number of the newest batch in it.
+
+    A reader or a stream that runs meanwhile is not disturbed: the new table counts once it is complete, and batches behind it are kept.
+    """
+    rows, through = _state_rows(spark, out)
+    old, batches = _numbers(spark, f"{out}/merged", "through"), _numbers(spark, f"{out}/batches", "batch")
+    if rows is None or through in old and not [b for b in batches if b > through]:
+        return through
+    _merged(rows).write.mode("overwrite").parquet(f"{out}/merged/through={through}")
+    conf = spark._jsc.hadoopConfiguration()
+    for gone in [f"{out}/merged/through={n}" for n in old if n < through] + [f"{out}/batches/batch={b}" for b in batches if b <= through]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(gone)
+        path.getFileSystem(conf).delete(path, True)
+    return through
 
 
 def late_receipts(receipts: DataFrame, completed: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Receipts split at their scan's completion: accepted rows and a side table of refused late ones."""
+    """Receipts split at their scan's completion, where completions are a table: accepted rows and a side table of refused late ones.
+
+    For a table of completions that grows for ever, ``judged_receipts`` keeps only what the watermark leaves open.
+    """
     def split(batch: DataFrame, batch_id: int) -> None:
         j = batch.join(completed.select("scan_id", "completed_at"), "scan_id", "left").persist()
         late = F.col("completed_at").isNotNull() & (F.col("at") > F.col("completed_at"))
@@ -116,6 +158,18 @@ def late_receipts(receipts: DataFrame, completed: DataFrame, out: str, checkpoin
     return receipts.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def judged_receipts(receipts: DataFrame, completions: DataFrame, horizon: str = "30 days", delay: str = "1 hour") -> DataFrame:
+    """Receipts with ``late``: two streams joined on the scan, each with a watermark, so both sides leave the state in time.
+
+    ``receipts(scan_id, at, ...)``, ``completions(scan_id, completed_at)`` with one row a scan. A receipt is late if it comes after its scan's completion, at most
+    ``horizon`` after it. Late ones come out at once, the others as soon as the watermark shows that no completion before them can still arrive.
+    """
+    r = receipts.withWatermark("at", delay)
+    c = completions.select(F.col("scan_id").alias("_scan"), "completed_at").withWatermark("completed_at", delay)
+    after = (F.col("at") > F.col("completed_at")) & (F.col("at") <= F.col("completed_at") + F.expr(f"interval {horizon}"))
+    return r.join(c, (F.col("scan_id") == F.col("_scan")) & after, "leftOuter").withColumn("late", F.col("completed_at").isNotNull()).drop("_scan")
+
+
 def activity_counts(activity: DataFrame, width: str = "1 hour", slide: str | None = None, delay: str = "1 hour") -> DataFrame:
     """Rows per phase and event-time window (tumbling, or sliding with ``slide``); batch or stream."""
     a = activity.withWatermark("at", delay) if activity.isStreaming else activity
