@@ -114,4 +114,4 @@ def test_popular_component_without_pairs(spark, monkeypatch):
     want = {tuple(x) for x in pairs.groupBy("component", "affected_version").agg(F.coalesce(F.sum("hit"), F.lit(0)), one("runtime"), one("development")).collect()}
     for rows in (2_000_000, 50):
         monkeypatch.setattr(scale, "ONE_TASK_ROWS", rows)
-        assert {tuple(x) for x in triage.versions_inside(r, v, ["component"]).collect()} == want
+        assert {tuple(x) for x in triage.versions_inside(triage.per_value(r, "affected_version", "intervals", range_intervals), triage.per_value(v, "version", "at", semver), ["component"]).collect()} == want
