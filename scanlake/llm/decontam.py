@@ -8,7 +8,9 @@ all hits together miss the bound, and the rest is sorted by item place in overla
 count finds the windows that meet the bound. Windows that lie whole on one diagonal are found by that; the others are
 verified by alignment inside their band, after a part of them that many windows have in common.
 
-The benchmark is handled in blocks of ``BLOCK_BYTES``, each against all documents, so what a task holds is bounded.
+An item of fewer than ``LEAST`` bytes is too short for the lemma to tell anything; it is found where a document holds exactly its words, in a row.
+
+The benchmark is handled in blocks of ``BLOCK_BYTES``, one after the other, each against all documents, so what the driver and a task hold is bounded.
 """
 
 from __future__ import annotations
@@ -21,16 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from scanlake.llm.tables import map_batches, slices
+from scanlake.scale import stable
 
 Q = 8
 #: Bytes of a window: what a document must hold of a longer item to be a leak.
 WINDOW = 96
 #: Bytes that neighbouring windows have in common and that are aligned first.
 PART = 64
-#: Items with fewer bytes than this are too short to tell a leak from chance and match nothing.
+#: Items with fewer bytes than this match as whole words, without edits.
 LEAST = 24
 BLOCK_BYTES = 4_000_000
-_TABLE_BITS = 20
+#: Slots of the bit table: at least 2 to this, and this many for each q-gram.
+_TABLE_BITS, _SLOTS = 20, 8
 _WORDS = bytes(b if b >= 0x80 or chr(b).isalnum() else 32 for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _GAP = b"\x00" * (2 * WINDOW)
@@ -59,6 +63,7 @@ class Windows(NamedTuple):
     first: np.ndarray  # of each gram in ``place``; one more at the end
     place: np.ndarray
     table: np.ndarray
+    bits: int  # of a place in the table
     reach: int  # the longest region of a window
     least: int  # the smallest bound
 
@@ -68,8 +73,8 @@ def _grams(data: bytes) -> np.ndarray:
     return np.ndarray((max(n, 0),), "<u8", data, strides=(1,)) if n > 0 else np.zeros(0, np.uint64)
 
 
-def _slot(grams: np.ndarray) -> np.ndarray:
-    return (grams * _MIX) >> np.uint64(64 - _TABLE_BITS)
+def _slot(grams: np.ndarray, bits: int) -> np.ndarray:
+    return (grams * _MIX) >> np.uint64(64 - bits)
 
 
 def windows(items: list[bytes], rate: float = 0.1) -> Windows:
@@ -85,9 +90,10 @@ def windows(items: list[bytes], rate: float = 0.1) -> Windows:
     grams = _grams(data)[place]
     order = np.argsort(grams, kind="stable")
     names, first = np.unique(grams[order], return_index=True)
-    table = np.zeros(1 << _TABLE_BITS, bool)
-    table[_slot(names)] = True
-    return Windows(np.frombuffer(data, np.uint8), start, length, edits, bound, start + size - length, names, np.append(first, len(grams)), place[order], table,
+    bits = max(_TABLE_BITS, int(_SLOTS * len(names)).bit_length())
+    table = np.zeros(1 << bits, bool)
+    table[_slot(names, bits)] = True
+    return Windows(np.frombuffer(data, np.uint8), start, length, edits, bound, start + size - length, names, np.append(first, len(grams)), place[order], table, bits,
                    int((length + edits).max(initial=0)), int(bound.min(initial=1)))
 
 
@@ -149,7 +155,7 @@ def _match(w: Windows, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.n
     data = _GAP + _GAP.join(texts) + _GAP
     begin = np.cumsum([len(_GAP)] + [len(t) + len(_GAP) for t in texts])[:-1]
     grams = _grams(data)
-    hit = np.flatnonzero(w.table[_slot(grams)])
+    hit = np.flatnonzero(w.table[_slot(grams, w.bits)])
     at = np.minimum(np.searchsorted(w.grams, grams[hit]), len(w.grams) - 1)
     good = w.grams[at] == grams[hit]
     hit, at = hit[good], at[good]
@@ -227,12 +233,27 @@ def _least(w: Windows, raw: np.ndarray, found: np.ndarray, length: int, edits: i
     return np.concatenate(out)
 
 
+def short_matches(items: list[bytes], texts: list[bytes]) -> list[tuple[int, int]]:
+    """(text, item) for items of few words, wherever a text holds exactly their words in a row."""
+    by_size: dict[int, dict[bytes, list[int]]] = {}
+    for i, item in enumerate(items):
+        if item:
+            by_size.setdefault(item.count(b" ") + 1, {}).setdefault(item, []).append(i)
+    out = set()
+    for t, text in enumerate(texts):
+        words = text.split()
+        for n, known in by_size.items():
+            found = known.keys() & {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)} if n > 1 else known.keys() & set(words)
+            out |= {(t, i) for item in found for i in known[item]}
+    return sorted(out)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", rate: float = 0.1) -> DataFrame:
     """(id, item_id, n_windows, edits): documents that hold part of a benchmark item, one row per document and item.
 
     ``n_windows`` counts the item's windows found (one starts at every byte that leaves it whole), ``edits`` is the least
-    number of edits of one of them. A leak is one whole window (or the whole item, if shorter) within ``rate`` edits. Null
-    texts and items hold nothing; repeated documents of one id give one row.
+    number of edits of one of them. A leak is one whole window (or the whole item, if shorter) within ``rate`` edits; an item of fewer
+    than ``LEAST`` bytes is one window without edits. Null texts and items, and items without a letter or digit, hold nothing; repeated documents of one id give one row.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("body")).filter("item is not null and body is not null").distinct()
@@ -245,17 +266,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     for i in range(blocks):
         body = items.withColumn("hash", F.xxhash64("item", "body")).filter(F.pmod("hash", F.lit(blocks)) == i).orderBy("item", "body").collect()
         held = spark.sparkContext.broadcast([(r["item"], r["hash"], normal(r["body"])) for r in body])
+        del body
         part = map_batches(texts, functools.partial(_find, held, rate), schema)
+        if blocks > 1:  # its matches are written, then the block is let go
+            part = stable(part)
+            held.destroy()
         found = part if found is None else found.unionByName(part)
     each = found.select("_id", "item_id", "body", F.explode(F.sequence("low", "high")).alias("window"), "edits")
     return each.groupBy("_id", "item_id").agg(F.countDistinct("body", "window").alias("n_windows"), F.min("edits").alias("edits")).withColumnRenamed("_id", id_col)
 
 
 def _find(held, rate: float, batches):
-    kept = [(i, h, t) for i, h, t in held.value if len(t) >= LEAST]
+    kept = sorted(held.value, key=lambda k: len(k[2]) < LEAST)  # the short ones last
+    long = sum(len(t) >= LEAST for _, _, t in kept)
     number, name = (np.array([k[c] for k in kept], np.int64) for c in (0, 1))
-    w = windows([t for _, _, t in kept], rate)
+    w, short = windows([t for _, _, t in kept[:long]], rate), [t for _, _, t in kept[long:]]
     for batch, texts in slices(batches, "_t"):
-        text, item, low, high, edits = matches(w, [normal(t) for t in texts]).T
+        plain = [normal(t) for t in texts]
+        rows = matches(w, plain)
+        if any(short):
+            rows = np.concatenate([rows, *[np.array([[t, long + i, 0, 0, 0]]) for t, i in short_matches(short, plain)]])
+        text, item, low, high, edits = rows.T
         columns = [pa.array(np.ascontiguousarray(c)) for c in (number[item], name[item], low, high, edits)]
         yield pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(np.ascontiguousarray(text))), *columns], names=["_id", "item_id", "body", "low", "high", "edits"])

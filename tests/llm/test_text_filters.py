@@ -69,7 +69,7 @@ def test_leaks(spark):
             docs.append((10 * i + k, f"{words(rnd, 40)} {text} {words(rnd, 25)}"))
             want.add((10 * i + k, i))
     docs += [(900, words(rnd, 3000)), (901, None), (902, ""), (903, "too short"), (904, items[1] + " " + items[2]), (904, items[1]), (None, items[0]), (905, "x" + "é" * 60)]
-    want |= {(904, 1), (904, 2), (None, 0), (905, 6)}
+    want |= {(904, 1), (904, 2), (None, 0), (905, 6), (903, 4)}
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as _id", "2 as window", "3 as item_id")
     bench = spark.createDataFrame(list(enumerate(items)) + [(None, "x " * 50)], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.leaks(df, bench).collect()}
@@ -109,6 +109,29 @@ def test_leaks_of_the_promised_length(spark):
     assert got == want
 
 
+def test_short_items_match_as_words(spark, monkeypatch):
+    """Items of 1 to 23 bytes: found exactly where their words stand in a row, in one block or several."""
+    rnd = random.Random(12)
+    some = lambda n: " ".join(rnd.choice("ab cd efg hi jklm no".split()) for _ in range(n))
+    items = ["a", "Ab", "ab cd", "cd, efg", "hi-hi", "é", "...", "", "jklm no ab", some(5), some(6)[:22], "one item that is long enough to be a window " * 2]
+    docs = [(i, some(rnd.randint(0, 12))) for i in range(120)] + [(500, "AB; cd."), (501, "abcd"), (502, "É!"), (503, None), (504, items[-1])]
+    spaced = lambda t: f" {decontam.normal(t or '').decode()} "
+    want = {(d, i) for d, t in docs for i, item in enumerate(items) if spaced(item).strip() and spaced(item) in spaced(t)}
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for block in (decontam.BLOCK_BYTES, 40):
+        monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+        found = decontam.leaks(df, bench).collect()
+        assert {(r.doc_id, r.item_id) for r in found} == want and all((r.n_windows, r.edits) == (1, 0) for r in found if r.item_id != 11)
+    assert {(501, 2), (504, 11)} & want == {(504, 11)}
+
+
+def test_large_block_has_a_table_to_match():
+    rnd = random.Random(13)
+    items = [" ".join("".join(rnd.choice(string.ascii_lowercase) for _ in range(7)) for _ in range(5000)).encode() for _ in range(8)]
+    w = decontam.windows(items)
+    assert len(w.table) >= decontam._SLOTS * len(w.grams) and w.table.mean() < 0.15
+
+
 def test_leaks_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 300)
     rnd = random.Random(9)
