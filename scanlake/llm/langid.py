@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 from scanlake.llm.tables import held_out, map_batches, map_texts, slices
 
 DOCS_PER_LANGUAGE, SENTENCES_PER_DOC, SWITCHED = 300, 20, 0.25
-#: Words of one chain; a longer sentence is several chains.
-CHAIN = 256
+#: Words of a sentence that are learned from, at most, and of a training chain joined from several.
+SENTENCE_WORDS = 256
 BITS = 16
 ROUNDS = 40
 #: Words whose scores a worker remembers; beyond it only those of the batch at hand stay.
@@ -74,10 +74,10 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _chains(tokens: list[str]):
-    """Lists of words between sentence ends, at most CHAIN long."""
+    """Lists of words between sentence ends, whatever their length (the recursion is linear in it)."""
     chain: list[str] = []
     for t in tokens:
-        if t in _STOP or len(chain) == CHAIN:
+        if t in _STOP:
             if chain:
                 yield chain
             chain = []
@@ -187,7 +187,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
             for t, lang in zip(texts, batch.column("_lang").to_pylist()):
                 found = list(_chains(_TOKENS.findall(t.lower())))
                 found.sort(key=lambda c: zlib.crc32(" ".join(c).encode("utf-8", "surrogatepass")))
-                out += [" ".join(c) for c in found[:SENTENCES_PER_DOC]]
+                out += [" ".join(c[:SENTENCE_WORDS]) for c in found[:SENTENCES_PER_DOC]]
                 langs += [lang] * min(len(found), SENTENCES_PER_DOC)
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.string())], names=["lang", "s"])
 
@@ -202,7 +202,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     join = rng.random(len(mixed)) < SWITCHED
     for (s, lang), joined in zip(mixed, join.tolist()):
         words = s.split(" ")
-        if joined and chains and len(chains[-1]) + len(words) <= CHAIN:
+        if joined and chains and len(chains[-1]) + len(words) <= SENTENCE_WORDS:
             chains[-1] = chains[-1] + words
             labels[-1] = labels[-1] + [number[lang]] * len(words)
         else:
@@ -258,8 +258,6 @@ def label_shares(m: Model, texts: list[str], memory: dict) -> tuple[np.ndarray,
     total, n = np.zeros((len(texts), k)), np.bincount(text, minlength=len(texts))
     if len(ids):
         begins = np.flatnonzero(np.diff(run, prepend=-1))
-        place = np.arange(len(run)) - np.repeat(begins, np.diff(np.append(begins, len(run))))
-        begins = np.flatnonzero((place % CHAIN) == 0)
         p, _, _ = forward_backward(memory["scores"][ids], arrange(np.diff(np.append(begins, len(run)))), m.moves.astype(np.float32), m.first.astype(np.float32))
         total = np.stack([np.bincount(text, p[:, j], len(texts)) for j in range(k)], 1)
     return total, n

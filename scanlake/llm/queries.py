@@ -116,7 +116,7 @@ from parts p left join ruled d using (rid)
 
 @query("op9_url_filter", OP9_SQL)
 def url_verdicts(spark, sf_dir):
-    return url_filter.verdicts(table(spark, sf_dir, "pages"))
+    return url_filter.verdicts(table(spark, sf_dir, "pages"), listed=url_filter.LISTED)
 
 
 @query("op10_toxicity")

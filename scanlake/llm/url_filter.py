@@ -5,8 +5,9 @@ The cascade is built over the complete set of the corpus's distinct keys: level
 level 0 lets through by mistake, level 2 the listed keys that level 1 lets through, and so on until no mistake is
 left. The first level that does not hold a key decides, so membership is exact for every key of the
 corpus and a lookup needs no join. A level has about 1.5 to 12 bits per key it holds; each level's size is known from
-the counts before it is built, and listed keys beyond ``MAX_KEYS`` go into several cascades, one lookup after
-the other, so that what is broadcast stays below ``MAX_KEYS * 24`` bits however long the lists are.
+the counts before it is built. Listed keys beyond ``MAX_KEYS`` go into several cascades; each has a lookup of its own whose result is written before
+the next begins, so what a worker holds at a time stays below ``MAX_KEYS * 24`` bits however long the lists are. Keys are told apart by 64-bit
+hashes, so membership is exact up to two keys of one hash.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ from scanlake.llm.tables import map_batches
 from scanlake.scale import stable
 
 MAX_KEYS = 20_000_000
+#: Position of a key that is in no list.
+NONE = 2**31 - 1
 
 #: The rules (action, host, path prefix).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Listed domains, blocked with all subdomains where no rule decides.
+#: A list of domains for ``verdicts`` (the hosts of the given pages that one would block); lists of any length come as a table.
 LISTED_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 LISTED = tuple(f"{name}.example.{top}" for name in LISTED_NAMES for top in ("com", "net", "org"))
 
@@ -156,36 +159,40 @@ def cascades(pages_keys: DataFrame, listed: DataFrame) -> list[list[Level]]:
     return [build_cascade(present.filter(part == i), rest.unionByName(present.filter(part != i))) for i in range(slices)]
 
 
-def _first_listed(filters: list[list[Level]]):
-    """Arrow function: (id, list of key hashes) -> position of the first listed key, from 1; 0 if none is."""
+def _first_listed(held):
+    """Arrow function: list of key hashes -> position of the first listed key, from 1; none if none is, or the position found before."""
     def run(batches):
         for b in batches:
             lists = b.column("hs")
             flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            hit = np.zeros(len(flat), bool)
-            for levels in filters:
-                hit |= member(levels, flat)
+            hit = member(held.value, flat) if held.value else np.zeros(len(flat), bool)
             ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
             at = np.flatnonzero(hit)
             first = at[np.minimum(np.searchsorted(at, ends[:-1]), max(len(at) - 1, 0))] if len(at) else np.full(len(ends) - 1, -1)
-            found = np.where((first >= ends[:-1]) & (first < ends[1:]), first - ends[:-1] + 1, 0)
-            cols = [b.column(i) for i in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(found.astype(np.int32))], names=[*b.schema.names[:-1], "found"])
+            found = np.where((first >= ends[:-1]) & (first < ends[1:]), first - ends[:-1] + 1, NONE)
+            before = b.column("found").to_numpy(zero_copy_only=False)
+            yield b.set_column(b.schema.get_field_index("found"), "found", pa.array(np.minimum(found, before).astype(np.int32)))
     return run
 
 
 def _lookup(df: DataFrame, keys_col: str, filters: list[list[Level]], name: str) -> DataFrame:
-    """Add the first key of the list that is listed, or null."""
-    hashed = df.withColumn("hs", F.transform(keys_col, lambda k: F.xxhash64(k)))
-    found = map_batches(hashed, _first_listed(filters), f"{', '.join(f'`{n}` {t}' for n, t in df.dtypes)}, found int")
-    return found.withColumn(name, F.when(F.col("found") > 0, F.element_at(keys_col, F.greatest("found", F.lit(1))))).drop("found")
-
-
-def verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, listed: DataFrame | Sequence[str] = LISTED, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """Add the first key of the list that is listed, or null. One cascade after the other."""
+    sc = df.sparkSession.sparkContext
+    out = df.withColumn("hs", F.transform(keys_col, lambda k: F.xxhash64(k))).withColumn("found", F.lit(NONE))
+    for levels in filters:
+        held = sc.broadcast(levels)
+        out = map_batches(out, _first_listed(held), ", ".join(f"`{n}` {t}" for n, t in out.dtypes))
+        if len(filters) > 1:
+            out = stable(out)
+            held.destroy()
+    return out.withColumn(name, F.when(F.col("found") < NONE, F.get(keys_col, F.col("found") - 1))).drop("found", "hs")
+
+
+def verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, listed: DataFrame | Sequence[str] = (), id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id, host, path, rule, verdict) of every row.
 
     The longest rule (domain and path together, then domain) that fits decides; where none does, a url is blocked if its host
-    or a parent domain is listed and allowed otherwise. Null urls and urls without ``://`` have an empty host
+    or a parent domain is in ``listed`` (names, or a table with ``domain``) and allowed otherwise. Null urls and urls without ``://`` have an empty host
     and path, fit no rule and are allowed. Repeated rows are judged one by one.
     """
     spark = pages.sparkSession

@@ -64,6 +64,18 @@ def test_language_odd_tables(spark, odd_docs, no_docs):
     assert {r.lang_pred for r in langid.predict(unlabelled, langid.fit(unlabelled)).collect()} == {"und"}
 
 
+def test_long_sentence_is_one_chain(spark):
+    """A sentence of 3,000 words without an end: its labels are those of one chain, over all words."""
+    rnd = random.Random(4)
+    model = langid.fit(spark.createDataFrame(corpus(rnd), "doc_id long, text string, lang string"))
+    words = [w.strip(".") for w in (text(rnd, "aa", 1500) + " " + text(rnd, "bb", 1500)).split(" ")]
+    total, n = langid.label_shares(model, [" ".join(words), "kato miru."], {"row": {}, "scores": None})
+    score = langid._scores(model, [w.lower() for w in words])
+    one = langid.arrange(np.array([len(words)]))
+    p, _, _ = langid.forward_backward(score.astype(np.float32), one, model.moves.astype(np.float32), model.first.astype(np.float32))
+    assert n.tolist() == [3000, 2] and np.allclose(total[0], p.sum(0), rtol=1e-4)
+
+
 def test_toxicity_held_out(spark):
     rnd = random.Random(6)
     docs, labels = [], []

@@ -160,7 +160,7 @@ def test_urls(spark):
             "http://example.com/de/?q", "http://a.org/fr/b#c", "http://org/fr/", "http://spam-farm.example.com/fr/", "http://m.free-bets.example.org/fr/1", "http://xfree-bets.example.org/", "http://casino-win.example.net?x=/en/",
             "http://u@h.net:80/p", "http://ÄÖ.example.org/ü", "http://..net/", "http://a\nb.net/en/", "x://y://z"]
     df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)] + [(4, urls[4], "x"), (None, urls[5], None)], "page_id long, url string, host string")
-    got = sorted((str(r.page_id), r.host, r.path, r.rule or "", r.verdict) for r in url_filter.verdicts(df).collect())
+    got = sorted((str(r.page_id), r.host, r.path, r.rule or "", r.verdict) for r in url_filter.verdicts(df, listed=url_filter.LISTED).collect())
     want = []
     for r in df.collect():
         h, p, rule, v = slow_verdict(r.url)
@@ -169,6 +169,23 @@ def test_urls(spark):
     assert url_filter.verdicts(df.limit(0)).count() == 0
 
 
+def test_verdicts_with_several_cascades(spark, monkeypatch):
+    """Five cascades, one lookup each, give what one gives; the first listed domain counts; no list blocks nothing."""
+    names = [f"d{i}.example.com" for i in range(50)]
+    urls = [f"http://{'a.' * (i % 3)}{n}/x{i}" for i, n in enumerate(names)] + ["http://other.example.com/", None, "http://d1.example.com.d2.example.com/"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    listed = names[::2] + ["example.com", "not-there.example"]
+    once = sorted(map(str, url_filter.verdicts(df, rules=[("allow", "other.example.com", "/")], listed=listed).collect()))
+    assert sum("block" in r for r in once) == 51
+    calls = []
+    real = url_filter.build_cascade
+    monkeypatch.setattr(url_filter, "build_cascade", lambda *a: calls.append(1) or real(*a))
+    monkeypatch.setattr(url_filter, "MAX_KEYS", 6)
+    assert sorted(map(str, url_filter.verdicts(df, rules=[("allow", "other.example.com", "/")], listed=spark.createDataFrame([(d,) for d in listed], "domain string")).collect())) == once
+    assert len(calls) >= 5
+    assert {r.verdict for r in url_filter.verdicts(df, rules=[("block", "zzz", "/")]).collect()} == {"allow"}
+
+
 def test_cascade_is_exact(spark, monkeypatch):
     keys = spark.range(3000).selectExpr("concat('k', id) as key")
     listed = spark.range(0, 3600, 4).selectExpr("concat('k', id) as key")
