@@ -24,6 +24,8 @@ from scanlake.llm.tables import map_batches
 from scanlake.scale import stable
 
 MAX_KEYS = 20_000_000
+#: Key hashes that a task of a level reads.
+KEYS_A_TASK = 500_000
 #: Position of a key that is in no list.
 NONE = 2**31 - 1
 
@@ -122,6 +124,11 @@ def _passing(hashes: DataFrame, level: Level, number: int) -> DataFrame:
     return map_batches(hashes, run, "h long")
 
 
+def _sized(hashes: DataFrame, n: int) -> DataFrame:
+    """As many partitions as so many hashes need; the levels that follow inherit them."""
+    return hashes.coalesce(max(1, -(-n // KEYS_A_TASK)))
+
+
 def build_cascade(listed: DataFrame, others: DataFrame) -> list[Level]:
     """Levels for two disjoint sets of key hashes (column ``h``): listed keys and all other keys of the corpus.
 
@@ -130,6 +137,7 @@ def build_cascade(listed: DataFrame, others: DataFrame) -> list[Level]:
     """
     inside, outside = stable(listed), stable(others)
     n, rest = inside.count(), outside.count()
+    inside, outside = _sized(inside, n), _sized(outside, rest)
     levels: list[Level] = []
     rate = min(0.5, n * math.sqrt(2) / max(rest, 1)) if rest else 0.5
     while n:
