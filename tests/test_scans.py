@@ -85,7 +85,7 @@ def test_what_was_found_at_each_location(spark, corpus):
     found = spark.createDataFrame([("r", "x.py", 3, [("context",)]), ("r", "x.py", 4, [("pattern",)])], "rule string, file string, line int, evidence array<struct<kind:string>>")
     out = {r.id: r for r in tr.triage_status(tr.match_imported(claims, found, corpus({"x.py": ""}).drop("scan_id"))).collect()}
     assert (out["k"].n_readable, out["k"].exact_matches, out["k"].context_matches, out["k"].status) == (3, 3, 2, "affected")
-    assert out["k"].limitations == ["An imported location could not be read.", "No compatible evidence matched x.py:9."]
+    assert out["k"].limitations == ["An imported location could not be read.", "Nothing that fits at x.py:9."]
     assert out["k"].evidence_lines == ["x.py:3 holds 1 compatible match(es), 1 with context.", "x.py holds 2 compatible match(es), 1 with context."]
     assert out["none"].limitations == [tr.NO_FAMILY] and out["none"].evidence_lines == []
     assert out["bare"].limitations == [tr.NO_LOCATION] and out["bare"].status == "needs_information"
