@@ -193,7 +193,7 @@ def indexed_search(spark, sf):
 @query("many_rules", """
 select 'deal' || l_orderkey as rule_id, count(*) as matches from lineitem join orders on l_orderkey = o_orderkey group by 1
 union all select 'part' || l_partkey, count(*) from lineitem join part on l_partkey = p_partkey group by 1
-union all select 'long', count(*) from lineitem where length(cast(l_orderkey as varchar)) >= 5 or length(cast(l_partkey as varchar)) >= 5""")
+union all select 'long', count(*) from lineitem where length(cast(l_orderkey as varchar)) >= 5 or length(cast(l_partkey as varchar)) >= 5 having count(*) > 0""")
 def many_rules(spark, sf):
     """Every order and every part as a rule of its own, and one rule that needs no word, over a line per line item."""
     lines = v.table(spark, sf, "lineitem").select(F.concat(F.lit("sold Deal"), "l_orderkey", F.lit(" of part"), "l_partkey", F.lit(";")).alias("text"))
