@@ -9,46 +9,66 @@ as the library does; null reads as the empty text and has no ids.
 from __future__ import annotations
 
 import functools
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from scanlake.llm.pieces import SPACE, Vocabulary, default_path, vocabulary
+from scanlake.llm.pieces import LONG_WORD, SPACE, Vocabulary, default_path, vocabulary
 from scanlake.llm.tables import map_batches, map_texts, recent
 
 #: Words whose ids a worker remembers, next to those of the batch at hand.
 REMEMBERED = 150_000
 
 
+def _other_ids(voc: Vocabulary, path: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> bytes:
+    """Ids of a path that holds characters outside the vocabulary."""
+    got: list[int] = []
+    for i, e in zip(path.tolist(), ends.tolist()):
+        if i >= 0:
+            got.append(i)
+        else:
+            char = chr(int(codes[e - 1])).encode("utf-8", "surrogatepass")
+            got.extend(voc.byte_ids[list(char)].tolist() if voc.has_bytes else [voc.unk])
+    return np.array(got, np.int32).tobytes()
+
+
+def _long_path(back: np.ndarray) -> np.ndarray:
+    """Ends of the pieces of one long word."""
+    steps, ends, at = back.tobytes(), array("q"), len(back) - 1
+    while at:
+        ends.append(at)
+        at -= steps[at]
+    return np.frombuffer(ends, np.int64)[::-1]
+
+
 def word_ids(voc: Vocabulary, words: list[str]) -> dict[str, bytes]:
     """Ids (int32 bytes) of distinct segments."""
     out = {}
     for some, codes in voc.groups(words):
         last, back = voc.lattice(codes)
         m, n = codes.shape
+        if n > LONG_WORD:
+            for w, word in enumerate(some):
+                ends = _long_path(back[w])
+                p = last[w, ends]
+                out[word] = _other_ids(voc, p, ends, codes[w]) if (p < 0).any() else p.tobytes()
+            continue
         at = np.full(m, n)
         rows = np.arange(m)
-        ends, ids = [], []
-        while (live := at > 0).any():
-            ends.append(np.where(live, at, 0))
-            ids.append(np.where(live, last[rows, at], -2))
-            at = np.where(live, at - back[rows, at], 0)
-        path, ends = np.array(ids[::-1]).T, np.array(ends[::-1]).T
-        for w, word in enumerate(some):
-            p = path[w]
-            keep = p != -2
-            if (p[keep] < 0).any():
-                got: list[int] = []
-                for i, e in zip(p[keep].tolist(), ends[w][keep].tolist()):
-                    if i >= 0:
-                        got.append(i)
-                    else:
-                        char = chr(int(codes[w, e - 1])).encode("utf-8", "surrogatepass")
-                        got.extend(voc.byte_ids[list(char)].tolist() if voc.has_bytes else [voc.unk])
-                out[word] = np.array(got, np.int32).tobytes()
-            else:
-                out[word] = p[keep].astype(np.int32).tobytes()
+        all_ends = []
+        while at.any():
+            all_ends.append(at)
+            at = at - back[rows, at]  # no step from the beginning
+        ends = np.array(all_ends[::-1]).T
+        path = last[rows[:, None], ends]
+        keep = ends > 0
+        flat = path[keep].tobytes()
+        stop = np.cumsum(keep.sum(1)) * 4
+        out.update(zip(some, [flat[a:b] for a, b in zip([0, *stop[:-1].tolist()], stop.tolist())]))
+        for w in np.flatnonzero((path < 0).any(1)).tolist():
+            out[some[w]] = _other_ids(voc, path[w, keep[w]], ends[w, keep[w]], codes[w])
     return out
 
 
@@ -58,7 +78,9 @@ def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
     cut = [voc.segments(t) for t in texts]
     new = memory.missing(set().union(*cut))
     memory.young.update(word_ids(voc, new))
-    return [np.frombuffer(b"".join(map(memory.young.__getitem__, words)), np.int32) for words in cut]
+    out = [np.frombuffer(b"".join(map(memory.young.__getitem__, words)), np.int32) for words in cut]
+    memory.forget(new, LONG_WORD)
+    return out
 
 
 def _piece_bytes(voc: Vocabulary) -> list[bytes]:

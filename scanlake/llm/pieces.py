@@ -4,6 +4,10 @@ BPE merges never cross the edge between two pieces of the result, so what stands
 of that prefix, and two pieces can stand side by side exactly if merging their joined text gives the two back.
 Each prefix therefore has one last piece: the one piece that ends there, fits behind the last piece of the prefix
 before it, and the lattice finds it for every prefix from left to right.
+
+What follows a prefix depends on its last characters and their last pieces only, as many as the longest piece has. A run
+without a space, however long, is therefore cut into rows of equal length that advance together, each from a guess; rows whose
+guess differs from what the row before them ends with go again from there until they run as before.
 """
 
 from __future__ import annotations
@@ -19,6 +23,12 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 _PROBE_BITS, _PAIR_BITS = 20, 20
 #: Characters (words x length) that one numpy lattice holds at most.
 LATTICE_CHARS = 120_000
+#: Words longer than this are cut into rows of ``ROW`` characters.
+LONG_WORD, ROW = 1024, 256
+#: Rounds in which all rows of a block go again together; what is still unsettled goes row by row.
+ROUNDS = 3
+#: Last piece of a prefix that a row does not know.
+_UNKNOWN = -2
 _SEGMENTS = re.compile(r" *[^ \n]+| +|\n[^ \n]*")
 _SEGMENTS_ANY = re.compile(r" *[^ ]+| +")
 
@@ -46,6 +56,9 @@ class Vocabulary:
             raise ValueError("pieces that reach over a space need whole texts")
         self.newline_breaks = not any("\n" in names[i] for i in normal)
         self.longest = max((len(names[i]) for i in normal), default=1)
+        self.lengths = np.ones(self.size + 2, np.uint8)  # of a last piece: 1 for a character outside the vocabulary (-1), 0 before the first piece
+        self.lengths[normal] = [len(names[i]) for i in normal]
+        self.lengths[self.size] = 0
         self.powers = np.array([pow(int(_BASE), k, 1 << 64) for k in range(self.longest + 1)], np.uint64)
         keys = np.array([self._hash(names[i]) for i in normal], np.uint64)
         order = np.argsort(keys, kind="stable")
@@ -119,35 +132,99 @@ class Vocabulary:
             ids[row[same], col[same]] = found[same]
         return ids
 
-    def lattice(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For words of one length (rows of code points): last piece and its length at every prefix.
-
-        All words advance together. The score of a candidate is 0 if it is a piece that fits and minus infinity
-        otherwise, a single character that is no piece stands for itself (id -1); the maximum over candidate lengths
-        is the back pointer.
-        """
+    def endings(self, codes: np.ndarray) -> np.ndarray:
+        """[word, end, length - 1]: the piece of that length that ends there, -1 where there is none."""
         m, n = codes.shape
         top = min(self.longest, n)
         h = np.zeros((m, n + 1), np.uint64)
         for i in range(n):
             h[:, i + 1] = h[:, i] * _BASE + codes[:, i] + np.uint64(1)
-        ending = np.full((m, n + 1, top), -1, np.int32)  # [word, end, length - 1]
+        ending = np.full((m, n + 1, top), -1, np.int32)
         for k in range(1, top + 1):
             ending[:, k:, k - 1] = self.probe(h[:, k:] - h[:, :-k] * self.powers[k], codes, k)
-        last = np.full((m, n + 1), self.size, np.int32)  # before the first piece: the vocabulary's size
-        back = np.zeros((m, n + 1), np.int32)
-        for end in range(1, n + 1):
-            width = min(top, end)
-            piece = ending[:, end, :width]
-            before = last[:, end - width : end][:, ::-1]
-            ok = piece >= 0
-            after_other = ok & (before < 0)  # what follows a character outside the vocabulary begins anew
+        return ending
+
+    def advance(self, ending: np.ndarray, last: np.ndarray, begin: int, again: np.ndarray | None = None) -> None:
+        """Fill ``last`` from prefix ``begin`` on; rows ``again`` only until they run as they did before.
+
+        The score of a candidate is 0 if it is a piece that fits and minus infinity otherwise, a single character that is
+        no piece stands for itself (id -1); the maximum over candidate lengths is the last piece, its length the back pointer.
+        """
+        rows = np.arange(len(last)) if again is None else again
+        alike = np.zeros(len(rows), np.int32)
+        for end in range(begin, last.shape[1]):
+            width = min(ending.shape[2], end)
+            piece = ending[:, end, :width] if again is None else ending[rows, end, :width]
+            before = (last[:, end - width : end] if again is None else last[rows, end - width : end])[:, ::-1]
+            ok = (piece >= 0) & (before > _UNKNOWN)
             row, col = np.nonzero(ok)
-            left = np.where(after_other, self.size, before)[row, col]
+            left = before[row, col]
+            left[left < 0] = self.size  # what follows a character outside the vocabulary begins anew
             ok[row, col] = self.fits(left, piece[row, col])
-            back[:, end] = np.where(ok.any(1), ok.argmax(1) + 1, 1)
-            last[:, end] = np.where(ok.any(1), piece[np.arange(m), back[:, end] - 1], -1)
-        return last, back
+            at = np.arange(len(rows))
+            length = ok.argmax(1)
+            found = np.where(ok[at, length], piece[at, length], -1)
+            if again is None:
+                last[:, end] = found
+                continue
+            alike = np.where(found == last[rows, end], alike + 1, 0)
+            last[rows, end] = found
+            open_rows = alike < self.longest
+            rows, alike = rows[open_rows], alike[open_rows]
+            if not len(rows):
+                return
+
+    def chain(self, codes: np.ndarray) -> np.ndarray:
+        """Last piece at every prefix of one long word, block by block."""
+        lead, n = self.longest - 1, len(codes)
+        row = max(ROW, self.longest)
+        out = np.full(n + 1, self.size, np.int32)
+        entry = np.full(lead + 1, _UNKNOWN, np.int32)
+        entry[-1] = self.size
+        block = max(1, LATTICE_CHARS // row) * row
+        for begin in range(0, n, block):
+            some = codes[max(0, begin - lead) : begin + block]
+            size = min(block, n - begin)
+            padded = np.zeros(lead + -(-size // row) * row, np.uint32)
+            padded[lead + size - len(some) : lead + size] = some
+            cut = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, lead + row)[::row])
+            ending = self.endings(cut)
+            last = np.full((len(cut), lead + row + 1), _UNKNOWN, np.int32)
+            last[:, lead] = self.size  # the guess: a row begins anew
+            last[0, : lead + 1] = entry
+            self.advance(ending, last, lead + 1)
+            self.settle(cut, ending, last, lead, row)
+            out[begin + 1 : begin + size + 1] = last[:, lead + 1 :].reshape(-1)[:size]
+            entry = last[-1, row:]
+        return out
+
+    def settle(self, cut: np.ndarray, ending: np.ndarray, last: np.ndarray, lead: int, row: int) -> None:
+        """Let every row begin with what the row before it ends with."""
+        for _ in range(ROUNDS):
+            wrong = np.flatnonzero((last[1:, : lead + 1] != last[:-1, row:]).any(1)) + 1
+            if not len(wrong):
+                return
+            last[wrong, : lead + 1] = last[wrong - 1, row:]
+            self.advance(ending, last, lead + 1, wrong)
+        known: dict[tuple[bytes, bytes], np.ndarray] = {}
+        for r in range(int(wrong[0]), len(last)):
+            if (last[r, : lead + 1] != last[r - 1, row:]).any():
+                key = (last[r - 1, row:].tobytes(), cut[r].tobytes())
+                if key not in known:
+                    last[r, : lead + 1] = last[r - 1, row:]
+                    self.advance(ending, last, lead + 1, np.array([r]))
+                    known[key] = last[r].copy()
+                last[r] = known[key]
+
+    def lattice(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For words of one length (rows of code points): last piece and its length at every prefix. All words advance together."""
+        m, n = codes.shape
+        if n > LONG_WORD:
+            last = np.stack([self.chain(word) for word in codes])
+        else:
+            last = np.full((m, n + 1), self.size, np.int32)  # before the first piece: the vocabulary's size
+            self.advance(self.endings(codes), last, 1)
+        return last, self.lengths[last]
 
     def segments(self, text: str) -> list[str]:
         """Cut a text where no piece can reach over: each segment is a run of spaces with what follows it.

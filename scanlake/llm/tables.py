@@ -69,6 +69,12 @@ class Recent:
                     new.append(w)
         return new
 
+    def forget(self, words: Iterable[str], longest: int) -> None:
+        """Don't remember those of ``words`` that are longer than ``longest``, so that what is remembered has bounded size."""
+        for w in words:
+            if len(w) > longest:
+                del self.young[w]
+
 
 _RECENT: dict[tuple, Recent] = {}
 

@@ -8,11 +8,13 @@ from one prefix to the next (a longer piece can replace two), so "fits" means th
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from scanlake.llm.pieces import Vocabulary, default_path, vocabulary
+from scanlake.llm.pieces import LONG_WORD, Vocabulary, default_path, vocabulary
 from scanlake.llm.tables import map_texts, recent
 
 #: Words whose counts a worker remembers, next to those of the batch at hand.
@@ -21,17 +23,29 @@ REMEMBERED = 200_000
 
 def _tokens_of_last(voc: Vocabulary, last: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Tokens that the last piece of each prefix stands for: 1, or the bytes of a character outside the vocabulary."""
-    n_bytes = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
-    out = np.ones(last.shape, np.int32)
+    out = np.ones(last.shape, np.uint8)
     if voc.has_bytes:
-        out[:, 1:] = np.where(last[:, 1:] < 0, n_bytes, 1)
+        other = last[:, 1:] < 0
+        for more in (0x7F, 0x7FF, 0xFFFF):
+            out[:, 1:] += other & (codes > more)
     return out
 
 
+def _long_counts(back: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Token counts of one long word: a prefix's count is that of the prefix ``back`` characters shorter and its own step."""
+    counts = array("i", [0])
+    for b, s in zip(back[1:].tobytes(), step[1:].tobytes()):
+        counts.append(counts[-b] + s)
+    return np.frombuffer(counts, np.int32)
+
+
 def prefix_counts(voc: Vocabulary, codes: np.ndarray) -> np.ndarray:
     """Token count at every prefix (0..n) of words of one length."""
     last, back = voc.lattice(codes)
     step = _tokens_of_last(voc, last, codes)
+    if codes.shape[1] > LONG_WORD:
+        return np.stack([_long_counts(b, s) for b, s in zip(back, step)])
+    back = back.astype(np.int32)
     counts = np.zeros(last.shape, np.int32)
     rows = np.arange(len(codes))
     for end in range(1, codes.shape[1] + 1):
@@ -39,12 +53,15 @@ def prefix_counts(voc: Vocabulary, codes: np.ndarray) -> np.ndarray:
     return counts
 
 
-def _totals(path: str, cut: list[list[str]]) -> dict[str, int]:
+def _totals(path: str, cut: list[list[str]]) -> list[list[int]]:
+    """Tokens of each segment of each text."""
     voc, memory = vocabulary(path), recent(("token_counts", path), REMEMBERED)
     new = memory.missing(set().union(*cut))
     for some, codes in voc.groups(new):
         memory.young.update(zip(some, prefix_counts(voc, codes)[:, -1].tolist()))
-    return memory.young
+    found = [list(map(memory.young.__getitem__, words)) for words in cut]
+    memory.forget(new, LONG_WORD)
+    return found
 
 
 def _one(voc: Vocabulary, segment: str) -> np.ndarray:
@@ -62,9 +79,10 @@ def _fitting(voc: Vocabulary, words: list[str], counts: list[int], limit: int) -
     before = np.concatenate([[0], np.cumsum(counts)])
     k = min(int(np.searchsorted(before, limit, "right")) - 1, len(words) - 1)
     taken = _taken(voc, words)
-    inside = _one(voc, words[k]) + before[k]
+    reach = int(limit - before[k]) * voc.longest + 1  # no token has more characters than the longest piece
+    inside = _one(voc, words[k][:reach]) + before[k]
     p = int(np.flatnonzero(inside <= limit)[-1])
-    added = len(inside) - 1 - taken[k]  # 1 if the library's own leading space is not in the text
+    added = voc.surface(words[k]) != words[k] and k == 0  # the library's own leading space is not in the text
     return sum(taken[:k]) + max(0, p - added)
 
 
@@ -78,10 +96,8 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(ids, texts):
         voc = vocabulary(path)
         cut = [voc.segments(t) for t in texts]
-        memory = _totals(path, cut)
         n, fit = [], []
-        for t, words in zip(texts, cut):
-            counts = list(map(memory.__getitem__, words))
+        for t, words, counts in zip(texts, cut, _totals(path, cut)):
             n.append(sum(counts))
             fit.append(len(t) if n[-1] <= limit else _fitting(voc, words, counts, limit))
         return {"_id": ids, "n_tokens": pa.array(n, pa.int64()), "fit_chars": pa.array(fit, pa.int64())}

@@ -5,7 +5,7 @@ import pytest
 
 sentencepiece = pytest.importorskip("sentencepiece")
 
-from scanlake.llm import codec, tables, token_counts  # noqa: E402
+from scanlake.llm import codec, pieces, tables, token_counts  # noqa: E402
 from scanlake.llm.pieces import default_path, vocabulary  # noqa: E402
 
 FIXED = ["", " ", "  a", "a  ", "\n", "a\n", " \n b", "\n\n x", "a \n\n  b", "a▁b", "<s> </s> <0x0A> <unk>", "日本語 テキスト", "é ﬁ 😀😀 x", "\t\ta\tb", " " * 50 + "x" + " " * 33,
@@ -75,7 +75,39 @@ def test_memory_that_overflows_changes_nothing(monkeypatch, library):
     monkeypatch.setattr(token_counts, "recent", lambda owner, most: counts)
     for t in FIXED * 3:
         cut = [vocabulary(default_path()).segments(t)]
-        found = token_counts._totals(default_path(), cut)
-        assert sum(found[w] for w in cut[0]) == len(library.encode(t))
+        assert sum(token_counts._totals(default_path(), cut)[0]) == len(library.encode(t))
     assert tables.recent(("a",), 5) is tables.recent(("a",), 5) is not tables.recent(("b",), 5) and ("a",) not in tables._RECENT
     assert vocabulary(default_path()).newline_breaks
+
+
+def test_long_words(monkeypatch, library):
+    """Runs without a space go as rows; every kind of guess, blocks of several rows, characters outside the vocabulary."""
+    rnd = random.Random(3)
+    monkeypatch.setattr(pieces, "LATTICE_CHARS", 2048)
+    runs = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(7001)), "a" * 5000, "ab" * 2600, "abc" * 1700, "=-" * 1025, "the" * 1500, "internationalisation" * 260,
+            "".join(rnd.choice("日本語😀éß\x01ab") for _ in range(4100)), "01" * 700 + "\n" + "x" * 1500, "\n" + "word" * 900, "x" * 1024, "x" * 1023]
+    for t, ids in zip(runs, codec.encode_texts(default_path(), runs)):
+        assert ids.tolist() == library.encode(t), t[:40]
+    voc = vocabulary(default_path())
+    for t, counts in zip(runs, token_counts._totals(default_path(), [voc.segments(t) for t in runs])):
+        assert sum(counts) == len(library.encode(t)), t[:40]
+    held = tables.recent(("token_counts", default_path()), token_counts.REMEMBERED)
+    assert max(map(len, held.young), default=0) <= pieces.LONG_WORD
+
+
+def test_rows_that_never_agree(monkeypatch, library):
+    """Without joint rounds every row is settled from the one before it."""
+    monkeypatch.setattr(pieces, "ROUNDS", 1)
+    for t in ("abcde" * 900, "a" * 3001, "thethe" * 400):
+        assert codec.encode_texts(default_path(), [t])[0].tolist() == library.encode(t)
+
+
+def test_fit_in_long_words(spark, library):
+    rnd = random.Random(5)
+    some = ["".join(rnd.choice("abinrt") for _ in range(1500)), "ab " + "xyz" * 600]
+    df = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    for limit in (0, 1, 7, 100):
+        for r in token_counts.token_counts(df, limit=limit).collect():
+            t = some[r.doc_id]
+            assert r.n_tokens == len(library.encode(t))
+            assert r.fit_chars == max(k for k in range(min(len(t), 2000) + 1) if len(library.encode(t[:k])) <= limit)
