@@ -11,9 +11,9 @@ but differ from empty ones when compared.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from scanlake.scale import running_sum, stable
+from scanlake.scale import CHUNK, keys_fit, range_chunks, running_sum, stable
 
 #: Turns (rows) that one rendered row holds at most; a longer conversation has several parts that follow on each other.
 PART_TURNS = 1024
@@ -22,25 +22,25 @@ PART_BYTES = 64 << 20
 HASH = ["h1", "h2"]
 
 
-def _chunk(turn: str = "turn") -> Column:
-    return F.floor(F.col(turn) / PART_TURNS)
-
-
 def prefix_hashes(rows: DataFrame) -> DataFrame:
     """(conv_id, turn, h1, h2): hash of the prefix that ends with this turn.
 
-    Turns are summed in chunks first, so no task sorts more than a chunk of one conversation at a time.
+    Steps are narrow rows, written once. A conversation of more steps than one task may sort is cut into range pieces by position,
+    whatever its turn numbers are; each piece starts from the XOR of those before it, of which there are no more than range partitions.
     """
     salted = [F.bit_xor(F.xxhash64(F.lit(salt), F.coalesce("turn", F.lit(-1)), F.col("turn").isNull(), F.col("role").isNull(), F.coalesce("role", F.lit("")),
                                    F.col("text").isNull(), F.coalesce("text", F.lit("")))).alias(h) for salt, h in zip((1, 2), HASH)]
-    steps = rows.groupBy("conv_id", "turn").agg(*salted).withColumn("chunk", _chunk())
-    chunks = steps.groupBy("conv_id", "chunk").agg(*[F.bit_xor(h).alias(f"{h}_all") for h in HASH])
-    earlier = W.partitionBy("conv_id").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    chunks = chunks.select("conv_id", "chunk", *[F.coalesce(F.bit_xor(f"{h}_all").over(earlier), F.lit(0)).alias(f"{h}_base") for h in HASH])
-    inside = W.partitionBy("conv_id", "chunk").orderBy("turn").rowsBetween(W.unboundedPreceding, 0)
-    cond = (F.col("s.conv_id") == F.col("c.conv_id")) & F.col("s.chunk").eqNullSafe(F.col("c.chunk"))
-    run = steps.select("conv_id", "turn", "chunk", *[F.bit_xor(h).over(inside).alias(h) for h in HASH])
-    return run.alias("s").join(chunks.alias("c"), cond).select("s.conv_id", "s.turn", *[F.col(f"s.{h}").bitwiseXOR(F.col(f"c.{h}_base")).alias(h) for h in HASH])
+    steps = stable(rows.groupBy("conv_id", "turn").agg(*salted))
+    if keys_fit(steps, ["conv_id"]):
+        upto = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, 0)
+        return steps.select("conv_id", "turn", *[F.bit_xor(h).over(upto).alias(h) for h in HASH])
+    pieces = range_chunks(steps, ["conv_id"], ["turn"])
+    earlier = W.partitionBy("conv_id").orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    bases = pieces.groupBy("conv_id", CHUNK).agg(*[F.bit_xor(h).alias(h) for h in HASH])
+    bases = bases.select("conv_id", CHUNK, *[F.bit_xor(h).over(earlier).alias(f"{h}_base") for h in HASH]).filter("h1_base is not null")
+    inside = W.partitionBy("conv_id", CHUNK).orderBy("turn").rowsBetween(W.unboundedPreceding, 0)
+    run = pieces.select("conv_id", "turn", CHUNK, *[F.bit_xor(h).over(inside).alias(h) for h in HASH])
+    return run.join(F.broadcast(bases), ["conv_id", CHUNK], "left").select("conv_id", "turn", *[F.col(h).bitwiseXOR(F.coalesce(f"{h}_base", F.lit(0))).alias(h) for h in HASH])
 
 
 def maximal(rows: DataFrame) -> DataFrame:

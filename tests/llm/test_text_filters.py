@@ -233,3 +233,19 @@ def test_chat_parts_are_bounded(spark, monkeypatch):
                 assert "".join(r.rendered for r in own) == "".join(piece(r, t) for i, _, r, t in rows if i == c)
                 assert len({r.part for r in own}) == len(own) and own[0].part == 0 and max(r.n_turns for r in own) <= (most if c == 3 else 4)
                 assert sum(r.n_turns for r in own) == sum(i == c for i, *_ in rows) and {r.copies for r in own} == {1}
+
+
+def test_chat_with_time_stamps_as_turns(spark, monkeypatch):
+    """Sparse, huge and negative turn numbers: the same conversations stay, whether a conversation fits one task or is cut by position."""
+    from scanlake import scale
+    base = 1_700_000_000_000
+    steps = [(None, "system", "begin")] + [(-5, "user", "early")] + [(base + 61_007 * k, "user" if k % 2 else "assistant", f"text {k % 7}") for k in range(40)] + [(2**62, "user", "late")]
+    rows = [(c, *s) for c, n in ((1, 43), (2, 43), (3, 17), (4, 30), (5, 1)) for s in steps[:n]] + [(6, *s) for s in steps[:20]] + [(6, base + 61_007 * 18, "user", "another way")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    for one_task in (2_000_000, 10):
+        monkeypatch.setattr(scale, "ONE_TASK_ROWS", one_task)
+        got = chat.collapsed(df).collect()
+        assert sorted((r.conv_id, r.copies, r.n_turns) for r in got) == [(1, 2, 43), (6, 1, 21)]
+        hashes = {(r.conv_id, r.turn): (r.h1, r.h2) for r in chat.prefix_hashes(df).collect()}
+        assert all(hashes[3, t] == hashes[1, t] for t, *_ in steps[:17]) and len({hashes[1, t] for t, *_ in steps}) == 43
+        assert hashes[6, base + 61_007 * 18] != hashes[1, base + 61_007 * 18]
