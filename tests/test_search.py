@@ -70,3 +70,20 @@ def test_many_rules(spark, monkeypatch):
         found = [(r.path, r.line, r.rule_no) for r in sr.many_rules(frame, table).collect()]
         assert len(found) == len(set(found)) and set(found) == want
     assert sr.many_rules(frame, table.limit(0)).count() == 0 and sr.many_rules(frame.limit(0), table).count() == 0
+
+
+def test_many_rules_reads_the_lines_once(spark, monkeypatch):
+    """However many rules there are, the lines are read once, and only the literal's hash brings a line and a rule together."""
+    monkeypatch.setattr(sr, "LOT_BYTES", 100)
+    texts = [f"sold Deal{i} of part{i % 7};" for i in range(60)] + ["deal12\u212a", "Deal7\u0130", "xdeal5", "deal5_", "-deal5-", "abcdefghijklmnopqrst", "xabcdefghijklmnopqrstu"]
+    rules = [(i, f"d{i}", rf"(?i)\bdeal{i}\b") for i in range(60)] + [(100 + i, f"p{i}", f"PART{i};") for i in range(7)] + [(200 + i, f"q{i}", f"(?i)PART{i};") for i in range(7)]
+    rules += [(300, "long", r"\babcdefghijklmnopqrst\b"), (301, "either", "(?:deal5|part5|sold)"), (302, "two", r"\d\d")]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    table = spark.createDataFrame(rules, "rule_no int, rule_id string, pattern string")
+    plain = frame.select("text", *[frame.text.rlike(p).alias(str(i)) for i, _, p in rules])
+    want = sorted((r["text"], i) for r in plain.collect() for i, _, _ in rules if r[str(i)])
+    found = sr.many_rules(frame, table)
+    assert sorted((r.text, r.rule_no) for r in found.collect()) == want
+    # one pass that looks for literals, not one for each lot of rules
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow near(") == 1
