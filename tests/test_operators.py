@@ -193,3 +193,16 @@ def test_lease_expiry_stream(spark, tmp_path):
     q.awaitTermination()
     got = sorted((r.task_id, r.owner, str(r.expired_at)) for r in spark.read.schema(jobs.LEASE_OUT).parquet(str(tmp_path / "out")).collect())
     assert got == [("t1", "a", "2024-01-01 00:02:00"), ("t1", "d", "2024-01-01 00:07:00"), ("t3", "c", "2024-01-01 00:03:00")]
+
+
+def test_facts_go_back_as_arrow(corpus):
+    """Fact rows leave Python as typed Arrow columns (as pandas objects they cost more than finding them), in batches of bounded size."""
+    from scanlake.functions import facts as fa
+
+    files = corpus({"a.c": "f(x, (y));\n" * 3, "b.c": "", "c.c": "g = 1"})
+    found = fa.extract(files, {"call": r"\b(f)\s*\(", "name": r"(g)|(h)"}, "[fg]")
+    assert "MapInArrow" in found._jdf.queryExecution().toString()
+    rows = sorted(found.collect(), key=lambda r: (r.path, r.start))
+    assert [(r.path, r.kind, r.line, r.g, r.open, r.close, r.args, r.parens) for r in rows] == [
+        ("a.c", "call", 1, ["f"], 1, 8, ["x", "(y)"], []), ("a.c", "call", 2, ["f"], 12, 19, ["x", "(y)"], []), ("a.c", "call", 3, ["f"], 23, 30, ["x", "(y)"], []),
+        ("c.c", "name", 1, ["g", ""], None, None, None, [])]
