@@ -206,3 +206,17 @@ def test_facts_go_back_as_arrow(corpus):
     assert [(r.path, r.kind, r.line, r.g, r.open, r.close, r.args, r.parens) for r in rows] == [
         ("a.c", "call", 1, ["f"], 1, 8, ["x", "(y)"], []), ("a.c", "call", 2, ["f"], 12, 19, ["x", "(y)"], []), ("a.c", "call", 3, ["f"], 23, 30, ["x", "(y)"], []),
         ("c.c", "name", 1, ["g", ""], None, None, None, [])]
+
+
+def test_a_preview_splits_its_text_once(spark):
+    """The lines of a text are made once, not again for every line that is shown; the sort of the work order reads finished rows."""
+    from scanlake.operators import planning as pl
+
+    frame = spark.createDataFrame([("s", "a.py", "\n".join(f"line {i}\x01" for i in range(40))), ("s", "b.py", ""), ("s", "c.py", "class A:\n  x"), ("s", "d.py", None)], "scan_id string, path string, content string")
+    assert str(cl.sample_lines(F.col("content"))).count("split(") == 1
+    assert str(cl.file_preview(F.col("content"))).count("regexp_replace(") == 1
+    got = {r.path: r.p for r in frame.select("path", cl.file_preview(F.col("content")).alias("p")).collect()}
+    assert got == {"a.py": "\n".join(f"line {i}" for i in range(0, 40, 4)), "b.py": "", "c.py": "class A\nclass A:\n  x", "d.py": None}
+    ranked = pl.rank_input(pl.file_worklist(frame, preview=True))
+    assert "regexp_replace" not in ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.path for r in ranked.collect()] == ["a.py", "b.py", "c.py", "d.py"]
