@@ -89,8 +89,13 @@ def is_binary(content: Column) -> Column:
     return F.contains(content, F.lit("\0"))
 
 
+#: The characters of ``BLANK``, one by one.
+_BLANKS = "".join(map(chr, (*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
+
+
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{BLANK}+|{BLANK}+\z", "")
+    """Without white space at both ends; looks at the ends alone, where a pattern would be tried at every character."""
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def squeeze(text: Column) -> Column:

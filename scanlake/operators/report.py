@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
@@ -145,16 +147,22 @@ SECTIONS = ("## Executive Summary", "## Background", "## Vulnerability Details",
 
 def section_errors(reports: DataFrame, sections=SECTIONS) -> DataFrame:
     """Missing headings per report. A heading counts only after the previous found one, so this is a
-    fold over the headings; each report is one row and no line leaves it."""
-    lines = F.transform(tx.split_lines(F.col("content")), tx.trim)
-    r = reports.withColumn("_l", lines).withColumn("_at", F.lit(0))
-    missing = []
-    for i, s in enumerate(sections):
-        rest = F.slice("_l", F.col("_at") + 1, F.size("_l"))
-        r = r.withColumn(f"_p{i}", F.array_position(rest, F.lit(s)))
-        r = r.withColumn("_at", F.when(F.col(f"_p{i}") > 0, (F.col("_at") + F.col(f"_p{i}")).cast("int")).otherwise(F.col("_at")))
-        missing.append(F.when(F.col(f"_p{i}") == 0, F.lit(f"Missing required section: {s}")))
-    return r.withColumn("error", F.explode(tx.compact(*missing))).select("report_id", "error")
+    fold over the headings; each report is one row and no line leaves it.
+
+    Only lines that hold a heading's text are trimmed and compared; a ``\\r`` at a line's end goes with the trim. The fold is one
+    expression and the explode an outer one, so that Spark works neither out twice.
+    """
+    heading = lambda line: reduce(lambda a, b: a | b, [F.contains(line, F.lit(s)) for s in sections])
+    lines = F.transform(F.filter(F.split("content", "\n", -1), heading), tx.trim)
+
+    def step(acc, s):
+        found = F.array(F.array_position(F.slice(F.col("_l"), acc.at + 1, F.size("_l")), s).cast("int"))
+        return F.transform(found, lambda p: F.struct(
+            F.when(p > 0, acc.at + p).otherwise(acc.at).alias("at"),
+            F.when(p == 0, F.concat(acc.missing, F.array(F.concat(F.lit("Missing required section: "), s)))).otherwise(acc.missing).alias("missing")))[0]
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("missing"))
+    missing = F.aggregate(F.array(*[F.lit(s) for s in sections]), none, step, lambda acc: acc.missing)
+    return reports.filter("content is not null").withColumn("_l", lines).select("report_id", F.explode_outer(missing).alias("error")).filter("error is not null")
 
 
 def projection_errors(findings: DataFrame, reports: DataFrame) -> DataFrame:
