@@ -26,9 +26,12 @@ def evidence(kind: str, detail: Column, loc: Column | None = None) -> Column:
 
 
 def explode_lines(files: DataFrame) -> DataFrame:
-    """One row per numbered line; trailing empty lines are kept."""
+    """One row per numbered line; trailing empty lines are kept.
+
+    ``posexplode`` would have Spark test the size of the array before, which splits every text a second time.
+    """
     keep = [c for c in files.columns if c != "content"]
-    return files.select(*keep, F.posexplode(tx.split_lines(F.col("content"))).alias("pos", "text")) \
+    return files.select(*keep, F.posexplode_outer(tx.split_lines(F.col("content"))).alias("pos", "text")).filter("pos is not null") \
         .select(*keep, (F.col("pos") + 1).alias("line"), "text")
 
 
@@ -125,7 +128,8 @@ def rule_receipts(files: DataFrame, matches: DataFrame, rules: Sequence[Rule] =
 # ---- embedded credentials ---------------------------------------------------------------
 # Two alternatives (double and single quoted) instead of a back reference, with possessive
 # loops so that a long literal cannot exhaust the regex stack. An escaped quote never closes.
-_ASSIGN = tx.ascii_words(r"""(?s)(?:\b[A-Za-z_$][\w$]*\s*\.\s*)?\$?([A-Za-z_$][\w$]*)\s*(?::=|=|:)\s*"""
+# A name is read from its first letter and never given back, so a long word is read once, not once per letter.
+_ASSIGN = tx.ascii_words(r"""(?s)(?<![A-Za-z_$])(?=[A-Za-z_$])(?:\b[A-Za-z_$][\w$]*+\s*+\.\s*+)?\$?([A-Za-z_$][\w$]*+)\s*+(?::=|=|:)\s*+"""
            r"""(?:"((?:[^"\\]++|\\.)*+)"|'((?:[^'\\]++|\\.)*+)')""")
 
 
@@ -136,34 +140,33 @@ _SCRIPT_ASSIGN = _ASSIGN + r"(?=\s*(?:[;,)}\]\r\n]|//|\z))"
 def embedded_credentials(files: DataFrame, script: bool = False) -> DataFrame:
     """Credential-named field assigned a literal of 8+ characters that is no placeholder.
 
-    The pattern runs on the whole text, since a literal may span lines. The offset of match
-    k is the length of the k pieces between matches plus the k matches before it. The script
+    The pattern runs on the whole text, since a literal may span lines. The line of match k is
+    one more than the line breaks in the k+1 pieces and the k matches before it. The script
     form (line facts, no syntax tree) takes the literal as written and has its own placeholders.
     """
     content = F.col("content")
     assign = _SCRIPT_ASSIGN if script else _ASSIGN
-    whole = F.regexp_extract_all(content, F.lit(assign), 0)
-    src = files.filter(content.rlike(SECRET_FIELD)).filter(content.rlike(assign)) \
-        .select("scan_id", F.col("path").alias("file"), "content",
-                F.arrays_zip(F.transform(F.split(content, assign, -1), lambda p: F.length(p)).alias("gap"), whole.alias("hit")).alias("z"))
-    # running offset: fold over the (gap, match) pairs of one file
-    start = F.aggregate(
-        F.col("z"), F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,hit:string>>").alias("out")),
+    breaks = lambda text: F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    pieces = F.arrays_zip(F.transform(F.split(content, assign, -1), breaks).alias("gap"), F.regexp_extract_all(content, F.lit(assign), 0).alias("hit"))
+    # running line: fold over the (gap, match) pairs of one file
+    spots = F.aggregate(
+        pieces, F.struct(F.lit(1).alias("line"), F.array().cast("array<struct<line:int,hit:string>>").alias("out")),
         lambda acc, x: F.struct(
-            (acc.at + x.gap + F.coalesce(F.length(x.hit), F.lit(0))).alias("at"),
+            (acc.line + x.gap + F.coalesce(breaks(x.hit), F.lit(0))).alias("line"),
             F.when(F.regexp_extract(x.hit, _ASSIGN, 1).rlike(SECRET_FIELD),
-                   F.concat(acc.out, F.array(F.struct((acc.at + x.gap).alias("at"), x.hit.alias("hit")))))
+                   F.concat(acc.out, F.array(F.struct((acc.line + x.gap).alias("line"), x.hit.alias("hit")))))
             .otherwise(acc.out).alias("out")),
         lambda acc: acc.out)
-    hits = src.withColumn("m", F.explode(start)).select(
-        "scan_id", "file", tx.line_at(F.col("content"), F.col("m.at")).alias("line"),
-        tx.split_lines(F.col("content")).alias("_lines"), F.col("m.hit").alias("hit"))
-    hits = hits.withColumn("excerpt", tx.source_line(F.col("_lines"), F.col("line"))).drop("_lines")
-    raw = F.concat(F.regexp_extract("hit", _ASSIGN, 2), F.regexp_extract("hit", _ASSIGN, 3))
-    value = raw if script else tx.trim(F.regexp_replace(raw, r"""\\(?:[\\'"nrt])""", ""))
-    hits = hits.withColumn("field", F.regexp_extract("hit", _ASSIGN, 1)).withColumn("value", value) \
-        .filter(~F.col("excerpt").rlike(r"^\s*(?://|#|/\*|\*)")) \
-        .filter((F.length("value") >= 8) & ~F.col("value").rlike(SCRIPT_PLACEHOLDER if script else PLACEHOLDER_VALUE))
+
+    def shown(lines, m):
+        raw = F.concat(F.regexp_extract(m.hit, _ASSIGN, 2), F.regexp_extract(m.hit, _ASSIGN, 3))
+        value = raw if script else tx.trim(F.regexp_replace(raw, r"""\\(?:[\\'"nrt])""", ""))
+        return F.struct(m.line.alias("line"), tx.source_line(lines, m.line).alias("excerpt"), F.regexp_extract(m.hit, _ASSIGN, 1).alias("field"), value.alias("value"))
+    real = lambda h: ~h.excerpt.rlike(r"^\s*(?://|#|/\*|\*)") & (F.length(h.value) >= 8) & ~h.value.rlike(SCRIPT_PLACEHOLDER if script else PLACEHOLDER_VALUE)
+    # all within one expression over the file's lines, and an outer explode: Spark would test a plain one, or a filter after it, by working it out again
+    found = F.transform(F.array(tx.split_lines(content)), lambda lines: F.filter(F.transform(spots, lambda m: shown(lines, m)), real))[0]
+    hits = files.filter(content.rlike(SECRET_FIELD)).select("scan_id", F.col("path").alias("file"), F.explode_outer(found).alias("h")) \
+        .filter("h is not null").select("scan_id", "file", "h.*")
     rule = CONFIGURATION_RULES["secret"]
     place = lambda role: location("file", F.col("line"), F.col("excerpt"), role)
     size = F.length("value").cast("string")

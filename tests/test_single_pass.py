@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from scanlake.functions import text as tx
-from scanlake.operators import report as rp
+from scanlake.operators import patterns as pt, report as rp
 
 
 def plan(df):
@@ -23,6 +23,13 @@ def test_trim_looks_at_the_ends(spark):
     assert frame.filter(F.col("p") != tx.trim(F.col("c"))).count() == 0
 
 
+def test_lines_are_split_once(spark, corpus):
+    files = corpus({"a": "x\r\n\n", "b": "", "c": None})
+    lines = pt.explode_lines(files)
+    assert sorted((r.path, r.line, r.text) for r in lines.collect()) == [("a", 1, "x"), ("a", 2, ""), ("a", 3, ""), ("b", 1, "")]
+    assert plan(lines).count("split(") == 1
+
+
 def test_sections_are_folded_once(spark):
     a, b, c = "## A", "## B", "## C"
     rows = [("all", f"{a}  \r\ntext {b}\n\t{b}\n{c}"), ("order", f"{b}\n{a}\n{c}"), ("none", "text"), ("empty", ""), ("null", None)]
@@ -34,3 +41,15 @@ def test_sections_are_folded_once(spark):
         got[r.report_id].append(r.error)
     assert {k: sorted(v) for k, v in got.items()} == want
     assert plan(out).count("array_position") == 1
+
+
+def test_credentials_are_folded_once(spark, corpus):
+    files = corpus({
+        "a.py": 'note = """one\ntwo"""\nx.api_key = "k1-abcdefgh"\n# token = "abcdefgh1"\n9password: \'multi\nline-1\'\nsecret = "example-value"\nsecret = "short"\ndb_token:="t2-abcdefgh"',
+        "b.py": "secret " + "w" * 100_000 + " = 1",
+    })
+    started = time.time()
+    out = pt.embedded_credentials(files)
+    got = {(r.file, r.line, r.field, r.value) for r in out.collect()}
+    assert got == {("a.py", 3, "api_key", "k1-abcdefgh"), ("a.py", 5, "password", "multi\nline-1"), ("a.py", 9, "db_token", "t2-abcdefgh")}
+    assert time.time() - started < 20 and plan(out).count("regexp_extract_all") == 1
