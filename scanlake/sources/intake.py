@@ -32,7 +32,7 @@ def words(v: Column, path: str) -> Column:
 def value(v: Column, path: str) -> Column:
     """Text of a string or number member; null otherwise."""
     text = tx.trim(F.try_variant_get(v, path, "string"))
-    return F.when((_kind(v, path) == "STRING") | _kind(v, path).rlike(r"^(?:BIGINT|DOUBLE|DECIMAL)"), F.when(text != "", text))
+    return F.when(_kind(v, path).rlike(r"^(?:STRING\z|BIGINT|DOUBLE|DECIMAL)"), F.when(text != "", text))
 
 
 def members(v: Column, path: str) -> Column:
@@ -157,8 +157,9 @@ def normalize_alerts(raw: DataFrame, instances: DataFrame, source: str) -> DataF
     def spot(x):
         path = F.coalesce(value(x, "$.most_recent_instance.location.path"), value(x, "$.location.path"), value(x, "$.path"))
         return F.struct(path.alias("file"), _number(x, "$.most_recent_instance.location.start_line", "$.location.start_line", "$.line").alias("line"))
-    spots = i.select("repository", "number", spot(w).alias("s")).filter("s.file is not null").groupBy("repository", "number") \
-        .agg(F.array_sort(F.collect_set("s")).alias("i_locations"))
+    # a filter before the grouping would parse every instance again for each path it looks at; the set leaves nulls out itself
+    spots = i.select("repository", "number", spot(w).alias("s")).groupBy("repository", "number") \
+        .agg(F.array_sort(F.collect_set(F.when(F.col("s.file").isNotNull(), F.col("s")))).alias("i_locations"))
     empty = F.array().cast(LOCATIONS)
     if source == "code_scanning":
         a = a.join(spots, ["repository", "number"], "left").withColumn("locations", F.coalesce(F.col("i_locations").cast(LOCATIONS), empty))

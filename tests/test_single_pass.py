@@ -1,11 +1,13 @@
 """Steps that Spark or a pattern used to work out more than once: one look per text, and the same rows."""
 
+import re
 import time
 
 from pyspark.sql import functions as F
 
 from scanlake.functions import text as tx
 from scanlake.operators import patterns as pt, report as rp
+from scanlake.sources import intake
 
 
 def plan(df):
@@ -53,3 +55,11 @@ def test_credentials_are_folded_once(spark, corpus):
     got = {(r.file, r.line, r.field, r.value) for r in out.collect()}
     assert got == {("a.py", 3, "api_key", "k1-abcdefgh"), ("a.py", 5, "password", "multi\nline-1"), ("a.py", 9, "db_token", "t2-abcdefgh")}
     assert time.time() - started < 20 and plan(out).count("regexp_extract_all") == 1
+
+
+def test_alert_instances_are_parsed_once(spark):
+    raw = spark.createDataFrame([("r", 0, '{"number":1}'), ("r", 1, '{"number":2}')], "repository string, pos int, alert string")
+    spots = [("r", "1", '{"location":{"path":" b ","start_line":2}}'), ("r", "1", '{"path":"a","line":1}'), ("r", "1", '{"path":{"x":1}}'), ("r", "2", "no json")]
+    out = intake.normalize_alerts(raw, spark.createDataFrame(spots, "repository string, number string, instance string"), "code_scanning")
+    assert {r.input_id: [tuple(x) for x in r.locations] for r in out.collect()} == {"r:code_scanning:1": [("a", 1), ("b", 2)], "r:code_scanning:2": []}
+    assert len(re.findall(r"(?:parse_json|parseJson)\(instance", plan(out))) == 1
