@@ -1,12 +1,13 @@
 """Steps that Spark or a pattern used to work out more than once: one look per text, and the same rows."""
 
+import random
 import re
 import time
 
 from pyspark.sql import functions as F
 
-from scanlake.functions import text as tx
-from scanlake.operators import patterns as pt, report as rp
+from scanlake.functions import facts, text as tx
+from scanlake.operators import graph, patterns as pt, report as rp, taint as tt
 from scanlake.sources import intake
 
 
@@ -63,3 +64,42 @@ def test_alert_instances_are_parsed_once(spark):
     out = intake.normalize_alerts(raw, spark.createDataFrame(spots, "repository string, number string, instance string"), "code_scanning")
     assert {r.input_id: [tuple(x) for x in r.locations] for r in out.collect()} == {"r:code_scanning:1": [("a", 1), ("b", 2)], "r:code_scanning:2": []}
     assert len(re.findall(r"(?:parse_json|parseJson)\(instance", plan(out))) == 1
+
+
+def test_program_makes_what_is_read(corpus):
+    p = tt.program(corpus({"a.py": "def f(x):\n    os.system(x)\nf(1)\n"}), "python")
+    assert {(r.line, r.callee) for r in p.edges.collect()} == {(1, "a.py:f"), (3, "a.py:f")}
+    assert not {"assigns", "sinks", "spans"} & set(vars(p))
+
+
+def test_call_rows_are_those_of_the_facts():
+    rnd = random.Random(3)
+    call = re.compile(tt.CALL)
+    bits = ["f(", "a.b(", "x, ", ")", "\n", '"', "'", "[1, 2]", "{", "}", "(", "y", " ", "`", "\r\n", "g(h(1), 2)"]
+    for _ in range(500):
+        text = "".join(rnd.choices(bits, k=rnd.randrange(40)))
+        want = [(line, shown, at, g, args) for _, at, _, line, _, g, _, close, close_line, args, _, _, shown in facts.file_facts(text, {"call": call}) if close is not None and close_line == line]
+        assert list(facts._call_rows(text, call)) == want
+
+
+def test_spread_by_home(spark, monkeypatch):
+    rnd = random.Random(5)
+    schema = "s string, fn string, p int, s_at string, fn_at string, p_at int"
+    monkeypatch.setattr(graph, "LOCAL_EDGES", 6)
+    contracted = []
+    inner = graph._contracted
+    monkeypatch.setattr(graph, "_contracted", lambda e, s: contracted.append(1) or inner(e, s))
+    for crossing in (False, True):
+        links, given = [], []
+        for f in range(6):
+            name = lambda i, f=f: f"d/f{f}.py:g{i}"
+            links += [("s", name(i), 0, "s", name(i + 1), 0) for i in range(5)]
+            given.append(("s", name(rnd.randrange(2, 6)), 0, f"sink{f}"))
+        if crossing:
+            links += [("s", "d/f0.py:g4", 0, "s", "d/f1.py:g0", 0), ("s", "d/f1.py:g1", 0, "s", "d/f2.py:g2", 0)]
+        frame, known = spark.createDataFrame(links, schema), spark.createDataFrame(given, "s string, fn string, p int, sink string")
+        keys = ["s", "fn", "p"]
+        contracted.clear()
+        split = {tuple(r) for r in graph.spread(frame, known, keys, keys, ["sink"], home=lambda fn: F.regexp_replace(fn, r":[^:]*\z", "")).collect()}
+        assert bool(contracted) == crossing
+        assert split == {tuple(r) for r in graph.spread(frame, known, keys, keys, ["sink"]).collect()} and split
