@@ -25,9 +25,12 @@ def observation_evidence(candidates: DataFrame) -> DataFrame:
 
 
 def dedupe_observations(candidates: DataFrame) -> DataFrame:
-    """One row per (rule, file, line, excerpt): first candidate's fields, union of distinct evidence."""
+    """One row per (rule, file, line, excerpt): first candidate's fields, union of distinct evidence.
+
+    The distinct evidence of a line comes to one task, where ``reduce_candidates`` then groups without moving the arrays again.
+    """
     meta = F.struct("severity", "rationale", "cwe")
-    g = observation_evidence(candidates).groupBy(*CANDIDATE_KEY).agg(
+    g = observation_evidence(candidates).repartition("file", "line").groupBy(*CANDIDATE_KEY).agg(
         F.array_sort(F.collect_list(F.struct("seen", "severity", "rationale", "cwe", "kind", "detail", "location"))).alias("all"),
         (F.min(meta) == F.max(meta)).alias("same"))
     notes = F.transform(F.filter("all", lambda x: x.kind.isNotNull()),
