@@ -84,7 +84,8 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     cells = dealt.select(F.explode(_cells(_cell(F.col("fp")))).alias("cell"), "fp")
     left, right = cells.withColumnRenamed("fp", "a"), cells.withColumnRenamed("fp", "b")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
-    return left.join(right, "cell").filter(near).select("a", "b").distinct()
+    # Spark sizes the 33 rows like the one they come from and would send them all through the driver
+    return left.hint("merge").join(right, "cell").filter(near).select("a", "b").distinct()
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

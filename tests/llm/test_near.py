@@ -99,3 +99,10 @@ def test_odd_vectors(spark):
     assert {(7, 2, 7, True), (8, 2, 7, False), (10, 2, 7, False), (9, 0, 9, True), (11, 0, 11, True), (12, 1, 12, True), (13, 1, 12, False), (None, 0, None, False)} <= got
     assert {(i, 0, i, True) for i in range(1, 7)} <= got and len(got) == 14
     assert cap_filters.near_vectors(vectors(spark, [])).count() == 0
+
+
+def test_cells_are_never_broadcast(spark):
+    """A small table of fingerprints grows 33 rows each after Spark sized it; the join must not collect them."""
+    fps = spark.range(200).selectExpr("id as fp")
+    plan = simhash.fingerprint_links(fps)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
